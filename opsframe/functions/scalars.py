@@ -52,7 +52,7 @@ def human_size(size: Column) -> Column:
 def path_join(parent: Column, child: Column) -> Column:
     """Parent and child with one slash between; blank or root parent gives a child of the root."""
     return F.when(parent.isin("", "/"), F.concat(F.lit("/"), child)).otherwise(
-        F.concat(F.regexp_replace(parent, "/$", ""), F.lit("/"), child)
+        F.concat(F.regexp_replace(parent, r"/\z", ""), F.lit("/"), child)
     )
 
 
@@ -106,7 +106,7 @@ def extract_access_url(text: Column) -> Column:
 def rewrite_url_path(url: Column, path: Column) -> Column:
     """Put another path into a URL; scheme, authority, query and fragment stay."""
     head = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*", 0)
-    tail = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*[^?#]*(.*)$", 1)
+    tail = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*[^?#]*(?s)(.*)\z", 1)
     return F.concat(head, path, tail)
 
 
@@ -140,7 +140,7 @@ def template_fill(template: Column, uri: Column) -> Column:
 def placeholder_fill(template: Column, args: Column) -> Column:
     """Fill ``{0}``, ``{1}``, … from an array, in one pass; slots without an argument become blank."""
     tokens = F.split(template, r"(?<=\})|(?=\{\d+\})")
-    slot = r"^\{(\d+)\}$"
+    slot = r"^\{(\d+)\}\z"
 
     def fill(token: Column) -> Column:
         value = F.get(args, F.regexp_extract(token, slot, 1).try_cast("int"))
@@ -150,8 +150,11 @@ def placeholder_fill(template: Column, args: Column) -> Column:
 
 
 def strip_cr(text: Column, every: bool = False) -> Column:
-    """Take one trailing carriage return off, or all of them."""
-    return F.regexp_replace(text, "\r+$" if every else "\r$", "")
+    """Take one trailing carriage return off, or all of them.
+
+    ``$`` would also match before a last CR, hence the strict end of input.
+    """
+    return F.regexp_replace(text, r"\r+\z" if every else r"\r\z", "")
 
 
 def sha256_hex(content: Column) -> Column:

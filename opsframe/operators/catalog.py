@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions import scalars as S
-from opsframe.plans.session import broadcast_checked
 
 # Required folders, marker files, the template's files and the folder of compiled files.
 REQUIRED_FOLDERS = ("common_jdk", "hadoop", "kafka_kraft", "elasticsearch", "python")
@@ -181,12 +180,3 @@ def first_by_name(
 
 def is_csv(name: Column) -> Column:
     return F.lower(name).endswith(".csv")
-
-
-def subtree(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """Entries below any of the given directories (``dir``), matched by their ancestors and not by prefix scan."""
-    wanted = broadcast_checked(roots.select("dir").distinct())
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 2), lambda n: F.array_join(F.slice(parts, 1, n + 1), "/"))
-    rows = paths.select("path", F.explode(above).alias("dir")).join(wanted, "dir", "left_semi")
-    return rows.select("path").distinct()

@@ -34,7 +34,9 @@ def console_filter(lines: DataFrame, threshold: str = "all", query: str = "") ->
 
 def fatal_signature(lines: DataFrame, signatures: tuple[str, ...] = S.FATAL_SIGNATURES) -> DataFrame:
     """Lines with a load-failure signature, and the line without the blanks around it."""
-    return lines.filter(S.contains_any(F.col("text"), signatures)).withColumn("match", F.trim("text"))
+    return lines.filter(S.contains_any(F.col("text"), signatures)).withColumn(
+        "match", F.btrim("text", F.lit(" \t\n\r\f\x0b"))
+    )
 
 
 def format_file_line(ts: Column, level: Column, stream: Column, text: Column) -> Column:
@@ -148,11 +150,11 @@ def level_counts(lines: DataFrame) -> DataFrame:
 
 
 # How a step's title, success and failure show in its lines.
-STEP_TITLE = r"^\[(\d+)/(\d+)\] (.*)$"
-STEP_NAME = r"^Ejecutando (?:paso|acción): (.*)$"
-STEP_DONE = r"^(?:Paso completado|Acción completada): |^✓ Ejercicio completado\.$"
-STEP_FAILED = r"^(?:Paso fallido|Acción fallida): (.*)$"
-STEP_FAILED_AT = r"^Paso \d+ falló: (.*)\. Detengo la secuencia\.$"
+STEP_TITLE = r"(?s)^\[(\d+)/(\d+)\] (.*)\z"
+STEP_NAME = r"(?s)^Ejecutando (?:paso|acción): (.*)\z"
+STEP_DONE = r"^(?:Paso completado|Acción completada): |^✓ Ejercicio completado\.\z"
+STEP_FAILED = r"(?s)^(?:Paso fallido|Acción fallida): (.*)\z"
+STEP_FAILED_AT = r"(?s)^Paso \d+ falló: (.*)\. Detengo la secuencia\.\z"
 
 
 def step_runs(

@@ -34,14 +34,11 @@ def union_probes(services: DataFrame, extras: DataFrame | None = None) -> DataFr
 def port_scan(requests: DataFrame, listeners: DataFrame, ours: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """State of each requested port: ``free`` without a listener, ``ours`` if one of our pids holds it, else
     ``other``; ``releasable`` if someone else's pid is known."""
-    own = ours.select(*by, F.col("pid")).distinct().withColumn("_ours", F.lit(True))
-    held = listeners.select(*by, "port", "pid", F.col("name").alias("owner"))
+    own = ours.select(*by, "pid").distinct().withColumn("_ours", F.lit(True))
+    held = listeners.select(*by, "port", "pid", F.col("name").alias("owner"), F.lit(True).alias("_held"))
     joined = requests.join(held, [*by, "port"], "left").join(own, [*by, "pid"], "left")
     known = F.coalesce(F.col("pid"), F.lit(0)) > 0
-    free = F.col("pid").isNull() & F.col("owner").isNull() & F.col("_held").isNull()
-    joined = requests.join(held.withColumn("_held", F.lit(True)), [*by, "port"], "left").join(
-        own, [*by, "pid"], "left"
-    )
+    free = F.col("_held").isNull()
     status = F.when(free, "free").when(known & F.col("_ours").isNotNull(), "ours").otherwise("other")
     return joined.select(
         *requests.columns, "pid", "owner", status.alias("status"), ((status == "other") & known).alias("releasable")

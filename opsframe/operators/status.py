@@ -171,8 +171,9 @@ def time_to_healthy(samples: DataFrame, budget_seconds: int, width: int = CHUNK)
 
     The first healthy and the first not-running sample from the start on decide, if within the budget. Both are
     found by carrying the next such time backwards along the samples, so no start is paired with its samples.
+    A row without a ``running`` value marks a start only and is no sample.
     """
-    up = F.coalesce(F.col("running"), F.lit(False))
+    up = F.col("running")
     well = up & F.coalesce(F.col("healthy"), F.lit(False))
     ahead = {
         "_well": Fold("last", F.when(well, F.col("sample_ts"))),

@@ -58,48 +58,72 @@ def pipe_mapreduce(
 
 
 MapFunction = Callable[[pd.Series], pd.DataFrame]
-CombineFunction = Callable[[pd.DataFrame], pd.DataFrame]
-ReduceFunction = Callable[[Iterator[pd.DataFrame]], pd.DataFrame]
+ReduceFunction = Callable[[pd.DataFrame], pd.DataFrame]
+GroupFunction = Callable[[Iterator[pd.DataFrame]], pd.DataFrame]
+
+# Rows that a map task gathers before it passes them on.
+GATHER = 200_000
 
 
 def map_reduce_udf(
-    lines: DataFrame,
-    mapper: MapFunction,
-    reducer: ReduceFunction,
-    combiner: CombineFunction | None = None,
-    schema: str = "key STRING, value BIGINT",
-    salts: int = 64,
+    lines: DataFrame, mapper: MapFunction, reducer: ReduceFunction, schema: str = "key STRING, value BIGINT"
 ) -> DataFrame:
     """The same contract with Python functions over Arrow batches; the first column of ``schema`` is the key.
 
-    ``mapper`` turns a batch of lines into rows. ``reducer`` gets the rows of one key as an iterator of
-    batches, so a key never has to fit in memory. ``combiner`` is an associative function from rows to fewer
-    rows of the same keys: it runs on each batch before the shuffle and again per (key, salt), so that the
-    reducer of a frequent key gets at most ``salts`` groups of rows.
+    ``mapper`` turns a batch of lines into rows. ``reducer`` is an associative function from rows of any number
+    of keys to one row per key. It runs in the map tasks, so a frequent key leaves each of them as a few rows,
+    and again on the rows of each partition, sorted by key; only the last key of a batch is carried on.
     """
     text = lines.columns[0]
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = None
         for batch in batches:
             rows = mapper(batch[text])
-            yield combiner(rows) if combiner else rows
+            state = reducer(rows if state is None else pd.concat([state, rows], ignore_index=True))
+            if len(state) > GATHER:
+                yield state
+                state = None
+        if state is not None:
+            yield state
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carried = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if carried is None else pd.concat([carried, batch], ignore_index=True)
+            open_key = rows[key] == rows[key].iloc[-1]
+            carried = reducer(rows[open_key])
+            if not open_key.all():
+                yield reducer(rows[~open_key])
+        if carried is not None:
+            yield carried
+
+    mapped = lines.select(text).mapInPandas(gather, schema)
+    key = mapped.columns[0]
+    return mapped.repartition(key).sortWithinPartitions(key).mapInPandas(finish, schema)
+
+
+def map_group_udf(
+    lines: DataFrame, mapper: MapFunction, reducer: GroupFunction, schema: str = "key STRING, value BIGINT"
+) -> DataFrame:
+    """For a reducer that is not associative: it gets the rows of one key as an iterator of batches.
+
+    A key streams through one task and never has to fit in memory, but a frequent key makes a long task: prefer
+    ``map_reduce_udf`` where the reducer allows it.
+    """
+    text = lines.columns[0]
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = batch[names]
-            state = combiner(rows if state is None else pd.concat([state, rows], ignore_index=True))
-        yield state
+            yield mapper(batch[text])
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield reducer(batch[names] for batch in batches)
+        yield reducer(batches)
 
     mapped = lines.select(text).mapInPandas(emit, schema)
-    names = mapped.columns
-    if combiner:
-        salted = mapped.withColumn("_salt", F.spark_partition_id() % salts)
-        mapped = salted.groupBy(names[0], "_salt").applyInPandas(fold, schema)
-    return mapped.groupBy(names[0]).applyInPandas(finish, schema)
+    return mapped.groupBy(mapped.columns[0]).applyInPandas(finish, schema)
 
 
 # Fixed value: the ASCII whitespace that separates words.
