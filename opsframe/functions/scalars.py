@@ -161,14 +161,19 @@ def sha256_hex(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def to_int(text: Column) -> Column:
+    """A decimal number as INT, else null. Tested first: a failing ``try_cast`` costs an exception per row."""
+    return F.when(text.rlike(r"^[+-]?\d+\z"), text).try_cast("int")
+
+
 def extract_pid(text: Column) -> Column:
     """Process id of a lifecycle message, null if it names none."""
-    return F.regexp_extract(text, r"PID (\d+)", 1).try_cast("int")
+    return F.nullif(F.regexp_extract(text, r"PID (\d+)", 1), F.lit("")).try_cast("int")
 
 
 def extract_exit(text: Column) -> Column:
     """Exit code of a lifecycle message, null if it names none."""
-    return F.regexp_extract(text, r"\(exit (-?\d+)\)", 1).try_cast("int")
+    return F.nullif(F.regexp_extract(text, r"\(exit (-?\d+)\)", 1), F.lit("")).try_cast("int")
 
 
 def contains_any(text: Column, needles: Sequence[str]) -> Column:

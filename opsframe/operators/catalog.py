@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsframe.functions import scalars as S
 
@@ -123,7 +124,8 @@ def exercise_catalog(
 def exercise_files(files: DataFrame, prefix: str = EXERCISE_PREFIX, by: Sequence[str] = ("host",)) -> DataFrame:
     """Files of each exercise, sorted by id and name."""
     rows = _exercise_rows(files, prefix).withColumn("id", S.exercise_id(F.col("folder"), prefix))
-    return rows.filter(F.col("id").isNotNull()).select(*by, "id", "name").orderBy(*by, "id", "name")
+    order = [F.asc(column) for column in [*by, "id", "name"]]
+    return _sorted(rows.filter(F.col("id").isNotNull()), *order).select(*by, "id", "name")
 
 
 def _exercise_rows(files: DataFrame, prefix: str) -> DataFrame:
@@ -155,19 +157,28 @@ def dir_rollup(files: DataFrame, path: str = "path", length: str = "length") ->
     )
 
 
+def _sorted(df: DataFrame, *first: Column) -> DataFrame:
+    """Global sort with all other sortable columns as tie-breakers.
+
+    Ranges are cut between different sort keys, so many rows with one name would otherwise be one task.
+    """
+    rest = [field.name for field in df.schema.fields if isinstance(field.dataType, T.AtomicType)]
+    return df.orderBy(*first, *rest)
+
+
 def dir_first_sort(entries: DataFrame, locale: str | None = "UNICODE") -> DataFrame:
     """Directories first, then by name in a collation; ``locale=None`` sorts by bytes."""
     name = F.col("name") if locale is None else F.collate("name", locale)
-    return entries.orderBy((F.col("type") == "DIRECTORY").desc(), name, F.col("name"))
+    return _sorted(entries, (F.col("type") == "DIRECTORY").desc(), name.asc(), F.col("name").asc())
 
 
 def sort_by_id(df: DataFrame, key: str = "id") -> DataFrame:
-    return df.orderBy(key)
+    return _sorted(df, F.asc(key))
 
 
 def registration_order(df: DataFrame, ordinal: str = "ordinal", reverse: bool = False) -> DataFrame:
     """Rows in the order they were registered in, or the reverse."""
-    return df.orderBy(F.desc(ordinal) if reverse else F.asc(ordinal))
+    return _sorted(df, F.desc(ordinal) if reverse else F.asc(ordinal))
 
 
 def first_by_name(

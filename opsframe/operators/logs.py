@@ -110,8 +110,10 @@ def process_sessions(lines: DataFrame, width: int = CHUNK) -> DataFrame:
     The next lifecycle line of the service closes the session if it reports an exit. Otherwise the process
     counts as running: no end, exit code -1.
     """
+    lifecycle = F.contains("text", F.lit("PID ")) | F.contains("text", F.lit("(exit "))
     events = (
-        lines.select(
+        lines.filter(lifecycle)
+        .select(
             "service",
             "seq",
             "ts",
@@ -183,8 +185,8 @@ def step_runs(
         "seq",
         "ts",
         named.alias("_title"),
-        F.regexp_extract(text, title, 1).try_cast("int").alias("_n"),
-        F.regexp_extract(text, title, 2).try_cast("int").alias("_total"),
+        S.to_int(F.regexp_extract(text, title, 1)).alias("_n"),
+        S.to_int(F.regexp_extract(text, title, 2)).alias("_total"),
         message.alias("_message"),
         text.rlike(done).alias("_done"),
     )

@@ -52,7 +52,7 @@ def running(
     inputs = {name: f"_in_{name}" for name in folds}
     rows = df.select(
         "*",
-        F.floor(F.col(order) / F.lit(width)).cast("bigint").alias(chunk),
+        F.call_function("div", F.col(order), F.lit(width)).alias(chunk),
         *[fold.column.alias(inputs[name]) for name, fold in folds.items()],
     )
 

@@ -34,9 +34,12 @@ def union_probes(services: DataFrame, extras: DataFrame | None = None) -> DataFr
 def port_scan(requests: DataFrame, listeners: DataFrame, ours: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """State of each requested port: ``free`` without a listener, ``ours`` if one of our pids holds it, else
     ``other``; ``releasable`` if someone else's pid is known."""
+    # Our pids are looked up per listener, of which there are few, and not per request.
     own = ours.select(*by, "pid").distinct().withColumn("_ours", F.lit(True))
-    held = listeners.select(*by, "port", "pid", F.col("name").alias("owner"), F.lit(True).alias("_held"))
-    joined = requests.join(held, [*by, "port"], "left").join(own, [*by, "pid"], "left")
+    held = listeners.join(own, [*by, "pid"], "left").select(
+        *by, "port", "pid", F.col("name").alias("owner"), "_ours", F.lit(True).alias("_held")
+    )
+    joined = requests.join(held, [*by, "port"], "left")
     known = F.coalesce(F.col("pid"), F.lit(0)) > 0
     free = F.col("_held").isNull()
     status = F.when(free, "free").when(known & F.col("_ours").isNotNull(), "ours").otherwise("other")
@@ -99,11 +102,12 @@ def suggest_free_port(requests: DataFrame, listeners: DataFrame, by: Sequence[st
     """
     low = F.greatest(F.col("port"), F.lit(FIRST_PORT))
     high = F.least(low + (SEARCH_SPAN - 1), F.lit(END_PORT - 1))
-    starts = requests.select(*by, "port").distinct()
-    candidates = starts.filter(low <= high).select(
+    starts = requests.select(*by, "port").distinct().filter(low <= high)
+    candidates = starts.select(
         *by, F.col("port").alias("_start"), F.explode(F.sequence(low, high)).alias("port")
     )
     free = candidates.join(listeners.select(*by, "port"), [*by, "port"], "left_anti")
     best = free.groupBy(*by, F.col("_start").alias("port")).agg(F.min(free["port"]).alias("_free"))
-    joined = requests.join(best, [*by, "port"], "left")
+    # Without hosts there are at most as many starts as ports, few enough to broadcast.
+    joined = requests.join(best if by else F.broadcast(best), [*by, "port"], "left")
     return joined.select(*requests.columns, F.coalesce("_free", F.lit(0)).alias("free_port"))

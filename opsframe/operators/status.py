@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.operators.ordered import CHUNK, Fold, latest_by, running
+from opsframe.plans.session import broadcast_checked
 
 # Texts of a stopped service and of a captured link, and reason phrases of HTTP answers that
 # newer standards renamed.
@@ -123,10 +124,13 @@ def probe_latency(probes: DataFrame, quantiles: Sequence[float] = (0.5, 0.95), w
     counts = probes.groupBy("id", "latency_us").agg(
         F.count("*").alias("_n"), F.sum(F.col("healthy").cast("bigint")).alias("_healthy")
     )
-    totals = counts.groupBy("id").agg(
-        F.sum("_n").alias("probes"),
-        F.sum(F.col("_n") * F.col("latency_us")).alias("_sum"),
-        F.sum("_healthy").alias("_ok"),
+    # One row per service. Broadcast where that is few, so that the ranks are partly aggregated where they are.
+    totals = broadcast_checked(
+        counts.groupBy("id").agg(
+            F.sum("_n").alias("probes"),
+            F.sum(F.col("_n") * F.col("latency_us")).alias("_sum"),
+            F.sum("_healthy").alias("_ok"),
+        )
     )
     ranked = running(counts, ["id"], "latency_us", {"_upto": Fold("sum", F.col("_n"))}, width)
 

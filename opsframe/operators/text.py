@@ -45,16 +45,17 @@ def pipe_mapreduce(
     spark = lines.sparkSession
     text = lines.columns[0]
     step = mapper if combiner is None else f"{mapper} | LC_ALL=C sort | {combiner}"
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def split(line: str) -> tuple[str, str]:
-        key, _, value = line.partition("\t")
-        return key, value
+    def pipe(rows: DataFrame, command: str) -> DataFrame:
+        printed = rows.rdd.map(lambda row: row[0]).pipe(f"sh -c {shlex.quote(command)}", checkCode=True)
+        return spark.createDataFrame(printed.map(lambda line: (line,)), "line STRING")
 
-    mapped = lines.rdd.map(lambda row: row[text]).pipe(f"sh -c {shlex.quote(step)}", checkCode=True)
-    grouped = mapped.map(split).repartitionAndSortWithinPartitions(count)
-    reduced = grouped.map("\t".join).pipe(f"sh -c {shlex.quote(reducer)}", checkCode=True)
-    return spark.createDataFrame(reduced.map(split), "key STRING, value STRING")
+    key = F.substring_index("line", "\t", 1)
+    mapped = pipe(lines.select(text), step).withColumn("_key", key)
+    shuffled = mapped.repartition(partitions, "_key") if partitions else mapped.repartition("_key")
+    reduced = pipe(shuffled.sortWithinPartitions("_key").select("line"), reducer)
+    value = F.substring(F.col("line"), F.length(key) + 2, F.length("line"))
+    return reduced.select(key.alias("key"), value.alias("value"))
 
 
 MapFunction = Callable[[pd.Series], pd.DataFrame]

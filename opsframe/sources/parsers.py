@@ -17,8 +17,8 @@ def parse_netstat(lines: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
     rows = fields.filter((F.size("_f") >= 5) & (F.col("_f")[3] == "LISTENING")).select(
         *by,
         "line_no",
-        F.regexp_extract(F.col("_f")[1], r":(\d+)\z", 1).try_cast("int").alias("port"),
-        F.col("_f")[4].try_cast("int").alias("pid"),
+        S.to_int(F.regexp_extract(F.col("_f")[1], r":(\d+)\z", 1)).alias("port"),
+        S.to_int(F.col("_f")[4]).alias("pid"),
     )
     usable = rows.filter(F.col("port").isNotNull() & F.col("pid").isNotNull())
     return usable.groupBy(*by, "port").agg(F.min_by("pid", "line_no").alias("pid"))
@@ -27,7 +27,7 @@ def parse_netstat(lines: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
 def parse_lsof(lines: DataFrame, by: Sequence[str] = ("port",)) -> DataFrame:
     """Owner from tagged lines (``p`` pid, ``c`` command); the last line of each tag wins."""
     tag, rest = F.substring("line", 1, 1), F.substring(F.col("line"), F.lit(2), F.length("line"))
-    pid = F.when(tag == "p", rest).try_cast("int")
+    pid = S.to_int(F.when(tag == "p", rest))
     rows = lines.select(*by, "line_no", pid.alias("_pid"), F.when(tag == "c", rest).alias("_name"))
 
     def last(column: str):
@@ -43,4 +43,4 @@ def parse_tasklist(lines: DataFrame, column: str = "line") -> DataFrame:
     text = F.trim(F.col(column))
     rows = lines.filter((text != "") & ~text.startswith("INFO:"))
     parsed = rows.select(F.from_csv(text, schemas.TASKLIST).alias("_p"))
-    return parsed.select(F.col("_p.pid").try_cast("int").alias("pid"), F.col("_p.image").alias("image"))
+    return parsed.select(S.to_int(F.col("_p.pid")).alias("pid"), F.col("_p.image").alias("image"))
