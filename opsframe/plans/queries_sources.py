@@ -117,9 +117,8 @@ FROM documents GROUP BY source, lang""",
 )
 def _(v):
     place = scratch(v.spark, "tree")
-    v["documents"].select("source", "lang", F.col("text").alias("value")).write.partitionBy("source", "lang").text(
-        place
-    )
+    texts = v["documents"].select("source", "lang", F.col("text").alias("value"))
+    texts.write.partitionBy("source", "lang").text(place)
     found = readers.dir_listing(v.spark, place).filter(F.col("name").startswith("part-"))
     folder = r"source=([^/]+)/lang=([^/]+)/"
     return found.groupBy(

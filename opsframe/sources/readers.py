@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,7 +114,11 @@ def decode_listings(documents: DataFrame, column: str, *keep: str) -> DataFrame:
 
 
 def dir_listing(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder with name, size and time (ms). The content is not read; no folder, no rows."""
+    """Files anywhere below a folder, with name, size and time (ms), from Spark's own file index.
+
+    The content is not read; no folder, no rows. A file scan leaves out empty files and directories, which
+    ``list_folders`` has.
+    """
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     except AnalysisException as error:
@@ -126,12 +133,52 @@ def dir_listing(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+LISTED = "folder STRING, name STRING, is_dir BOOLEAN, size BIGINT, modified_ms BIGINT"
+
+
+def list_folders(folders: DataFrame) -> DataFrame:
+    """Entries of each folder (``path``): name, kind, size and time (ms), empty files and directories included.
+
+    Folders are listed in the tasks that hold their paths, on file systems that Arrow can open; an absent or
+    unreadable folder has no rows.
+    """
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["path"]:
+                yield _entries(folder)
+
+    return folders.select("path").mapInPandas(entries, LISTED)
+
+
+def _entries(folder: str) -> pd.DataFrame:
+    if folder.startswith(("/", "file:")):
+        system, place = fs.LocalFileSystem(), "/" + re.sub("^file:", "", folder).lstrip("/")
+    else:
+        system, place = fs.FileSystem.from_uri(folder)
+    try:
+        found = system.get_file_info(fs.FileSelector(place, allow_not_found=True))
+    except OSError:
+        found = []
+    rows = [
+        (folder, f.base_name, f.type == fs.FileType.Directory, f.size or 0, (f.mtime_ns or 0) // 1_000_000)
+        for f in found
+    ]
+    return pd.DataFrame(rows, columns=["folder", "name", "is_dir", "size", "modified_ms"])
+
+
 def output_check(spark: SparkSession, path: str, glob: str = "part-*") -> DataFrame:
-    """Did a job leave output? ``missing`` without part files, ``empty`` without bytes, else ``ok``."""
-    files = dir_listing(spark, path).filter(F.col("name").rlike("^" + glob.replace("*", ".*") + r"\z"))
-    totals = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
-    outcome = F.when(F.col("files") == 0, "missing").when(F.col("bytes") == 0, "empty").otherwise("ok")
-    return totals.select(outcome.alias("outcome"), "files", "bytes")
+    """Did a job leave output? ``missing`` without part files, ``empty`` without bytes, else ``ok``.
+
+    Whether there are part files at all is asked of the file system (one job's parts, at most one per task);
+    the bytes are summed over Spark's file index, which leaves out empty files.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{glob}")
+    parts = len(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop) or [])
+    named = dir_listing(spark, path).filter(F.col("name").rlike("^" + glob.replace("*", ".*") + r"\z"))
+    totals = named.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    outcome = F.when(F.lit(parts) == 0, "missing").when(F.col("bytes") == 0, "empty").otherwise("ok")
+    return totals.select(outcome.alias("outcome"), F.lit(parts).cast("bigint").alias("files"), "bytes")
 
 
 def read_settings(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
