@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opsframe.functions import scalars as S
 from opsframe.operators.ordered import latest_by
+from opsframe.plans.session import broadcast_checked
 
 # Default settings, and the active settings line that gets a value without blanks.
 DEFAULT_LANGUAGE = "es"
@@ -79,8 +80,11 @@ def checksum_audit(digests: DataFrame, expected: DataFrame, on: Sequence[str]) -
 
 
 def release_lookup(hosts: DataFrame, manifest: DataFrame) -> DataFrame:
-    """The release of each host's system and architecture."""
-    return hosts.join(manifest, ["os", "arch"])
+    """The release of each host's system and architecture.
+
+    There are few platforms and one may have most of the hosts, so the manifest is broadcast where it is small.
+    """
+    return hosts.join(broadcast_checked(manifest), ["os", "arch"])
 
 
 def release_drift(hosts: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -125,9 +129,8 @@ def line_rewrite(
 
 def upsert_registry(entries: DataFrame, key: str = "id", order: str = "pos") -> DataFrame:
     """Registering a key again replaces its value but keeps its first position (``ordinal``)."""
-    last = latest_by(entries, [key], order).drop(order)
-    first = entries.groupBy(key).agg(F.min(order).alias("ordinal"))
-    return first.join(last, key)
+    rows = latest_by(entries, [key], order, [F.min(order).alias("ordinal")])
+    return rows.select(key, "ordinal", *[name for name in entries.columns if name not in (key, order)])
 
 
 def apply_changes(

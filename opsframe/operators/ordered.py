@@ -121,19 +121,21 @@ def newest_rows(
     return salted.drop("_salt")
 
 
-def latest_by(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+def latest_by(df: DataFrame, keys: Sequence[str], order: str, also: Sequence[Column] = ()) -> DataFrame:
     """The row of each key with the highest ``order`` (unique within the key): the last write wins.
 
     Aggregates before the shuffle, so a hot key sends one row per map task. With fixed-width columns the
-    aggregation needs no sort.
+    aggregation needs no sort. ``also`` are more aggregates of the key, added as columns.
     """
     others = [field for field in df.schema.fields if field.name not in keys]
     if all(isinstance(field.dataType, _FIXED) for field in others):
         picked = [F.max_by(field.name, order).alias(field.name) for field in others]
-        return df.groupBy(*keys).agg(*picked).select(*df.columns)
-    whole = F.max_by(F.struct(*[field.name for field in others]), order).alias("_row")
-    rows = df.groupBy(*keys).agg(whole).select(*keys, "_row.*")
-    return rows.select(*df.columns)
+        rows = df.groupBy(*keys).agg(*picked, *also)
+    else:
+        whole = F.max_by(F.struct(*[field.name for field in others]), order).alias("_row")
+        rows = df.groupBy(*keys).agg(whole, *also).select("*", "_row.*").drop("_row")
+    extra = [name for name in rows.columns if name not in df.columns]
+    return rows.select(*df.columns, *extra)
 
 
 _FIXED = (

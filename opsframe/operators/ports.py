@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions import scalars as S
+from opsframe.plans.session import broadcast_checked
 
 # The searchable ports, the length of a gap search and the ports watched besides the services'.
 FIRST_PORT = 1024
@@ -39,7 +40,8 @@ def port_scan(requests: DataFrame, listeners: DataFrame, ours: DataFrame, by: Se
     held = listeners.join(own, [*by, "pid"], "left").select(
         *by, "port", "pid", F.col("name").alias("owner"), "_ours", F.lit(True).alias("_held")
     )
-    joined = requests.join(held, [*by, "port"], "left")
+    # Without hosts there is one listener per port: few enough to broadcast, if that is so.
+    joined = requests.join(held if by else broadcast_checked(held), [*by, "port"], "left")
     known = F.coalesce(F.col("pid"), F.lit(0)) > 0
     free = F.col("_held").isNull()
     status = F.when(free, "free").when(known & F.col("_ours").isNotNull(), "ours").otherwise("other")

@@ -94,12 +94,19 @@ def service_overview(services: DataFrame, latest: DataFrame) -> DataFrame:
     )
 
 
-def statuses_map(latest: DataFrame, shard_chars: int = 2) -> DataFrame:
-    """Latest statuses as maps from id to status, one map per shard of the ids.
+# Ids per map of statuses, about.
+MAP_SIZE = 1000
 
-    One map for a whole fleet would be one row in one task, so ids are split by the leading hex digits of their
-    MD5; use more digits for more services. The union of the maps is the whole table.
+
+def statuses_map(latest: DataFrame, size: int = MAP_SIZE) -> DataFrame:
+    """Latest statuses as maps from id to status: one map, or one per shard where there are many ids.
+
+    One map for a whole fleet would be one row in one task, so beyond ``size`` ids they are split by the leading
+    hex digits of their MD5, as many digits as it takes. The union of the maps is the whole table.
     """
+    ids, shard_chars = latest.count(), 0
+    while size * 16**shard_chars < ids:
+        shard_chars += 1
     others = [name for name in latest.columns if name != "id"]
     entry = F.struct(F.col("id"), F.struct(*others).alias("status"))
     shard = F.substring(F.md5(F.col("id").cast("binary")), 1, shard_chars)

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.udtf import UserDefinedTableFunction
 
+from opsframe.plans.session import ship
+
+ship(__name__)
+
 
 def words(lines: DataFrame, text: str = "text") -> DataFrame:
     """One row per token; tokens are separated by whitespace and kept as they are."""
@@ -62,8 +66,16 @@ MapFunction = Callable[[pd.Series], pd.DataFrame]
 ReduceFunction = Callable[[pd.DataFrame], pd.DataFrame]
 GroupFunction = Callable[[Iterator[pd.DataFrame]], pd.DataFrame]
 
-# Rows that a map task gathers before it passes them on.
+# Rows that a map task gathers before it passes them on, and characters that a mapper gets at once.
 GATHER = 200_000
+SLICE_CHARS = 8_000_000
+
+
+def slices(lines: pd.Series) -> Iterator[pd.Series]:
+    """A batch of lines in parts of bounded text size; a longer line is a part of its own."""
+    until = lines.str.len().fillna(0).cumsum() // SLICE_CHARS
+    for _, part in lines.groupby(until, sort=False):
+        yield part
 
 
 def map_reduce_udf(
@@ -80,11 +92,12 @@ def map_reduce_udf(
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = None
         for batch in batches:
-            rows = mapper(batch[text])
-            state = reducer(rows if state is None else pd.concat([state, rows], ignore_index=True))
-            if len(state) > GATHER:
-                yield state
-                state = None
+            for part in slices(batch[text]):
+                rows = mapper(part)
+                state = reducer(rows if state is None else pd.concat([state, rows], ignore_index=True))
+                if len(state) > GATHER:
+                    yield state
+                    state = None
         if state is not None:
             yield state
 
@@ -118,7 +131,8 @@ def map_group_udf(
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield mapper(batch[text])
+            for part in slices(batch[text]):
+                yield mapper(part)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield reducer(batches)

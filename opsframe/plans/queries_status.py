@@ -86,9 +86,11 @@ def _(v):
 
 @query(
     "statuses_map",
-    f"""SELECT substr(md5(id), 1, 2) AS shard, count(*) AS services,
+    f"""SELECT substr(md5(id), 1, (SELECT CASE WHEN n <= 1000 THEN 0 WHEN n <= 16000 THEN 1 WHEN n <= 256000 THEN 2
+         WHEN n <= 4096000 THEN 3 WHEN n <= 65536000 THEN 4 ELSE 5 END FROM (SELECT count(DISTINCT id) AS n FROM status)))
+         AS shard, count(*) AS services,
        string_agg(concat(id, '=', pid, CASE WHEN running THEN '+' ELSE '-' END), ',' ORDER BY id) AS statuses
-FROM {LATEST} GROUP BY substr(md5(id), 1, 2)""",
+FROM {LATEST} GROUP BY ALL""",
     "status",
 )
 def _(v):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+def ship(module: str) -> None:
+    """Send a module's functions to the executors by value, so that the package need not be installed there."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def local_session(app: str = "opsframe", cores: str | None = None) -> SparkSession:
     """A local session for tests and the bench. On a cluster, use the session it provides."""
     cores = cores or os.environ.get("BENCH_CPUS", "8")

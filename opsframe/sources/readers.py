@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from opsframe.functions import scalars as S
 from opsframe.operators.config import settings_defaults
 from opsframe.plans import schemas
+from opsframe.plans.session import ship
+
+ship(__name__)
 
 # Splits of a file start at least this far apart (the reader's opening cost is 4 MiB unless it is set lower).
 SPLIT_STEP = 1 << 20

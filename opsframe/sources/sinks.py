@@ -9,8 +9,14 @@ from opsframe.functions import scalars as S
 from opsframe.operators.logs import format_file_line
 
 
-def write_log_files(lines: DataFrame, path: str) -> None:
-    """Append formatted lines, one folder per service; each task writes its own files, nothing is shuffled."""
+def write_log_files(lines: DataFrame, path: str, rebalance: bool = False) -> None:
+    """Append formatted lines, one folder per service.
+
+    Each task writes its own files and nothing is shuffled. With many tasks and services that makes many small
+    files; ``rebalance`` shuffles the lines by service into files of a good size, a large service into several.
+    """
+    if rebalance:
+        lines = lines.hint("rebalance", "service")
     line = format_file_line(F.col("ts"), F.col("level"), F.col("stream"), F.col("text"))
     lines.select("service", line.alias("value")).write.partitionBy("service").mode("append").text(path)
 

@@ -230,7 +230,9 @@ def fan_out(lines: DataFrame, place: str) -> StreamingQuery:
 
     def step(batch: DataFrame, number: int) -> None:
         _put(batch.drop("topic"), f"{place}/log", number)
-        batch.write.mode("overwrite").partitionBy("topic").parquet(f"{place}/topics/batch={number}")
+        # Few files per topic, several for a large one.
+        sized = batch.hint("rebalance", "topic")
+        sized.write.mode("overwrite").partitionBy("topic").parquet(f"{place}/topics/batch={number}")
 
     return each_batch(lines, f"{place}/checkpoint", step)
 

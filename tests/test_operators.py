@@ -2,6 +2,7 @@
 
 import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,9 +49,15 @@ def test_failing_program_fails_the_job(spark):
         text.pipe_mapreduce(lines, "exit 3", "cat").collect()
 
 
-@pytest.mark.parametrize("gather", [1, 200_000])
-def test_python_functions(spark, monkeypatch, gather):
-    monkeypatch.setattr(text, "GATHER", gather)
+def test_slices_hold_whole_lines(monkeypatch):
+    monkeypatch.setattr(text, "SLICE_CHARS", 10)
+    lines = pd.Series(["abc", "defg", None, "x" * 25, "", "y"])
+    parts = list(text.slices(lines))
+    assert [line for part in parts for line in part] == list(lines) and len(parts) > 1
+    assert all(len(part) == 1 or part.str.len().sum() <= 35 for part in parts)
+
+
+def test_python_functions(spark):
     data = [("hot x",)] * 50 + [(f"w{n} hot",) for n in range(30)] + [("",)]
     lines = spark.createDataFrame(data, "text STRING").repartition(4)
     want = rows(text.word_count(lines))
@@ -221,8 +228,12 @@ def test_overview_and_maps(spark):
     services = spark.createDataFrame([("a", 1), ("b", 2)], "id STRING, port INT")
     latest = spark.createDataFrame([("a", True, True, 7)], "id STRING, running BOOLEAN, healthy BOOLEAN, pid INT")
     assert rows(status.service_overview(services, latest)) == [("a", 1, "healthy", "7"), ("b", 2, "stopped", "—")]
-    one = status.statuses_map(latest, 0).first()
+    one = status.statuses_map(latest).first()
     assert one.shard == "" and one.statuses["a"].pid == 7
+    many = spark.range(100).selectExpr("concat('s', id) AS id", "true AS running")
+    maps = status.statuses_map(many, 10).collect()
+    assert {len(m.shard) for m in maps} == {1}
+    assert sorted(key for m in maps for key in m.statuses) == sorted(f"s{n}" for n in range(100))
 
 
 def test_state_flips(spark):
