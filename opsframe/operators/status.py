@@ -128,15 +128,13 @@ def probe_latency(probes: DataFrame, quantiles: Sequence[float] = (0.5, 0.95), w
     Works on counts per distinct latency, so repeated values collapse before the shuffle; ranks come from a
     running total in chunks of the latency axis. No task holds a whole service.
     """
-    counts = probes.groupBy("id", "latency_us").agg(
-        F.count("*").alias("_n"), F.sum(F.col("healthy").cast("bigint")).alias("_healthy")
-    )
+    counts = probes.groupBy("id", "latency_us").agg(F.count("*").alias("_n"))
     # One row per service. Broadcast where that is few, so that the ranks are partly aggregated where they are.
     totals = broadcast_checked(
-        counts.groupBy("id").agg(
-            F.sum("_n").alias("probes"),
-            F.sum(F.col("_n") * F.col("latency_us")).alias("_sum"),
-            F.sum("_healthy").alias("_ok"),
+        probes.groupBy("id").agg(
+            F.count("*").alias("probes"),
+            F.sum("latency_us").alias("_sum"),
+            F.sum(F.col("healthy").cast("bigint")).alias("_ok"),
         )
     )
     ranked = running(counts, ["id"], "latency_us", {"_upto": Fold("sum", F.col("_n"))}, width)
@@ -149,7 +147,7 @@ def probe_latency(probes: DataFrame, quantiles: Sequence[float] = (0.5, 0.95), w
     for n, q in enumerate(quantiles):
         place = F.lit(float(q)) * (F.col("probes") - 1)
         ends += [at(F.floor(place)).alias(f"_low{n}"), at(F.ceil(place)).alias(f"_high{n}")]
-    picked = ranked.join(totals, "id").groupBy("id", "probes", "_sum", "_ok").agg(*ends)
+    picked = ranked.join(totals, "id", "left").groupBy("id", "probes", "_sum", "_ok").agg(*ends)
 
     values = []
     for n, q in enumerate(quantiles):
