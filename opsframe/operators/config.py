@@ -119,7 +119,9 @@ def line_rewrite(
     left alone, so a second pass changes nothing.
     """
     new = prefix + value
-    done = lines.filter(F.contains("line", F.lit(new))).select(key).distinct().withColumn("_done", F.lit(True))
+    # Few files or none before the first pass, and then no line is shuffled.
+    found = lines.filter(F.contains("line", F.lit(new))).select(key).distinct()
+    done = broadcast_checked(found.withColumn("_done", F.lit(True)))
     quoted = new.replace("\\", "\\\\").replace("$", "\\$")
     rewritten = F.when(F.col("_done").isNull(), F.regexp_replace("line", pattern, quoted)).otherwise(F.col("line"))
     rows = lines.join(done, key, "left").withColumn("_line", rewritten)

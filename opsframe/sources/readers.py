@@ -188,29 +188,32 @@ def read_settings(spark: SparkSession, path: str, multiline: bool = False) -> Da
     """Settings documents with defaults filled in.
 
     ``malformed`` flags a document that cannot be read, which then has the defaults throughout. Documents are
-    one per line, or one per file with ``multiline``.
+    one per line, or one per file with ``multiline``, where the name of the file is the host unless it says so.
     """
     schema = f"{schemas.SETTINGS}, _raw STRING"
     reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw")
     loaded = reader.option("multiLine", multiline).json(path)
-    return _with_defaults(loaded)
-
-
-def _with_defaults(loaded: DataFrame) -> DataFrame:
     bad = F.col("_raw").isNotNull()
     # A document that breaks off midway counts for nothing, also where its first fields were read.
     values = [
         F.when(~bad, F.col(name)).alias(name) for name in loaded.columns if name not in ("_raw", "host")
     ]
-    host = F.coalesce("host", F.regexp_extract("_raw", r'"host"\s*:\s*"([^"]*)"', 1))
+    named = F.nullif(F.regexp_extract("_raw", r'"host"\s*:\s*"([^"]*)"', 1), F.lit(""))
+    stem = F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.json)?\z", 1)
+    host = F.coalesce("host", named, stem) if multiline else F.coalesce("host", named)
     return settings_defaults(loaded.select(host.alias("host"), *values, bad.alias("malformed")))
 
 
 def read_properties(spark: SparkSession, path: str) -> DataFrame:
-    """Property files (XML) as rows; the folder's partition columns come along."""
+    """Property files (XML) as rows ``host, name, value, file``.
+
+    The file is the partition folder, or else the file's own name; properties need not name a host.
+    """
     schema = "host STRING, name STRING, value STRING"
-    reader = spark.read.format("xml").option("rowTag", "property").schema(schema)
-    return reader.load(path)
+    rows = spark.read.format("xml").option("rowTag", "property").schema(schema).load(path)
+    if "file" not in rows.columns:
+        rows = rows.select("*", F.col("_metadata.file_name").alias("file"))
+    return rows
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

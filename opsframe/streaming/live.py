@@ -9,7 +9,7 @@ Batches of a key are expected in the order of its sequence.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,9 @@ from opsframe.operators.ordered import CHUNK, latest_by, newest_rows
 TICK = "2 seconds"
 LATENESS = "10 seconds"
 
+# Process what is there and stop. ``{"processingTime": "2 seconds"}`` goes on until the query is stopped.
+ONCE = {"availableNow": True}
+
 
 class State:
     """State between micro-batches in two folders that alternate.
@@ -54,8 +57,10 @@ def schema_of(df: DataFrame) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
 
 
-def each_batch(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Run a function on each micro-batch of what is available, and stop."""
+def each_batch(
+    stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None], trigger: Mapping = ONCE
+) -> StreamingQuery:
+    """Run a function on each micro-batch."""
 
     def keep(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
@@ -65,13 +70,13 @@ def each_batch(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, in
             batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    return writer.trigger(**trigger).start()
 
 
-def to_table(stream: DataFrame, checkpoint: str, path: str) -> StreamingQuery:
+def to_table(stream: DataFrame, checkpoint: str, path: str, trigger: Mapping = ONCE) -> StreamingQuery:
     """Append a stream's rows to a table folder."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    return writer.outputMode("append").trigger(availableNow=True).start()
+    return writer.outputMode("append").trigger(**trigger).start()
 
 
 def _put(rows: DataFrame, out: str, batch: int) -> None:
@@ -83,7 +88,9 @@ def log_levels(lines: DataFrame, threshold: str = "all", query: str = "") -> Dat
     return logs.console_filter(logs.classify_level(lines), threshold, query)
 
 
-def ring_buffer(lines: DataFrame, place: str, n: int = logs.RING_SIZE) -> tuple[StreamingQuery, State]:
+def ring_buffer(
+    lines: DataFrame, place: str, n: int = logs.RING_SIZE, trigger: Mapping = ONCE
+) -> tuple[StreamingQuery, State]:
     """Newest ``n`` lines per service, kept up to date."""
     size = n if n > 0 else logs.RING_SIZE
     state = State(lines.sparkSession, f"{place}/state", schema_of(lines))
@@ -92,10 +99,10 @@ def ring_buffer(lines: DataFrame, place: str, n: int = logs.RING_SIZE) -> tuple[
         both = state.before(number).unionByName(batch)
         state.write(number, newest_rows(both, ["service"], ["ts", "seq"], size))
 
-    return each_batch(lines, f"{place}/checkpoint", step), state
+    return each_batch(lines, f"{place}/checkpoint", step, trigger), state
 
 
-def latest_status(samples: DataFrame, place: str) -> StreamingQuery:
+def latest_status(samples: DataFrame, place: str, trigger: Mapping = ONCE) -> StreamingQuery:
     """Latest status per id as Spark's own aggregation state; each batch writes the rows that changed.
 
     ``read_latest`` gives the table.
@@ -106,7 +113,7 @@ def latest_status(samples: DataFrame, place: str) -> StreamingQuery:
         _put(batch, f"{place}/out", number)
 
     writer = latest.writeStream.foreachBatch(step).outputMode("update")
-    return writer.option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    return writer.option("checkpointLocation", f"{place}/checkpoint").trigger(**trigger).start()
 
 
 def read_latest(spark: SparkSession, place: str) -> DataFrame:
@@ -134,7 +141,12 @@ def tick_windows(
 
 
 def time_to_healthy(
-    samples: DataFrame, place: str, budget_seconds: int, lateness_seconds: int = 10, width: int = CHUNK
+    samples: DataFrame,
+    place: str,
+    budget_seconds: int,
+    lateness_seconds: int = 10,
+    width: int = CHUNK,
+    trigger: Mapping = ONCE,
 ) -> tuple[StreamingQuery, State]:
     """Outcome of each start as soon as it is certain; the state holds the starts still open.
 
@@ -162,7 +174,7 @@ def time_to_healthy(
         state.write(number, still_open)
         results.unpersist()
 
-    return each_batch(samples, f"{place}/checkpoint", step), state
+    return each_batch(samples, f"{place}/checkpoint", step, trigger), state
 
 
 def follow(lines: DataFrame, lateness: str = LATENESS, keys: Sequence[str] = ("service", "seq")) -> DataFrame:
@@ -173,7 +185,12 @@ def follow(lines: DataFrame, lateness: str = LATENESS, keys: Sequence[str] = ("s
 
 
 def state_flips(
-    samples: DataFrame, place: str, flag: str = "running", key: str = "id", width: int = CHUNK
+    samples: DataFrame,
+    place: str,
+    flag: str = "running",
+    key: str = "id",
+    width: int = CHUNK,
+    trigger: Mapping = ONCE,
 ) -> tuple[StreamingQuery, State]:
     """Rows where a flag changes, also from one batch to the next; the state is each key's last flag."""
     spark, out = samples.sparkSession, f"{place}/out"
@@ -188,11 +205,16 @@ def state_flips(
         _put(flips.drop("_new"), out, number)
         state.write(number, latest_by(before.unionByName(rows), [key], "seq"))
 
-    return each_batch(samples, f"{place}/checkpoint", step), state
+    return each_batch(samples, f"{place}/checkpoint", step, trigger), state
 
 
 def first_match(
-    lines: DataFrame, place: str, match: Column, restart: Column, width: int = CHUNK
+    lines: DataFrame,
+    place: str,
+    match: Column,
+    restart: Column,
+    width: int = CHUNK,
+    trigger: Mapping = ONCE,
 ) -> tuple[StreamingQuery, State]:
     """First match of each run as it arrives; a restart row opens the next run of its service."""
     spark, out = lines.sparkSession, f"{place}/out"
@@ -222,10 +244,10 @@ def first_match(
         )
         state.write(number, after)
 
-    return each_batch(lines, f"{place}/checkpoint", step), state
+    return each_batch(lines, f"{place}/checkpoint", step, trigger), state
 
 
-def fan_out(lines: DataFrame, place: str) -> StreamingQuery:
+def fan_out(lines: DataFrame, place: str, trigger: Mapping = ONCE) -> StreamingQuery:
     """Keep every line of a batch (``log``) and deliver it to its topic (``topics``, one folder per topic)."""
 
     def step(batch: DataFrame, number: int) -> None:
@@ -234,7 +256,7 @@ def fan_out(lines: DataFrame, place: str) -> StreamingQuery:
         sized = batch.hint("rebalance", "topic")
         sized.write.mode("overwrite").partitionBy("topic").parquet(f"{place}/topics/batch={number}")
 
-    return each_batch(lines, f"{place}/checkpoint", step)
+    return each_batch(lines, f"{place}/checkpoint", step, trigger)
 
 
 def service_topic(service: Column) -> Column:

@@ -127,7 +127,10 @@ def test_settings(spark, place):
 
 def test_settings_one_document_per_file(spark, place):
     put(place, "s/a.json", b'{\n "host": "a",\n "language": "en"\n}\n')
-    assert readers.read_settings(spark, f"{place}/s", multiline=True).first().language == "en"
+    put(place, "s/b.json", b'{"language": "en"}')
+    put(place, "s/c.json", b'{"language": ')
+    got = {r.host: (r.language, r.malformed) for r in readers.read_settings(spark, f"{place}/s", multiline=True).collect()}
+    assert got == {"a": ("en", False), "b": ("en", False), "c": ("es", True)}
 
 
 def test_properties(spark, place):
@@ -138,8 +141,8 @@ def test_properties(spark, place):
         b"<value>hdfs://localhost:9000</value>\n</property>\n<property><name>x</name><value>a &amp; b</value></property>"
         b"\n</configuration>\n",
     )
-    got = {(r.name, r.value) for r in readers.read_properties(spark, f"{place}/core-site.xml").collect()}
-    assert got == {("fs.defaultFS", "hdfs://localhost:9000"), ("x", "a & b")}
+    got = {(r.file, r.name, r.value) for r in readers.read_properties(spark, place).collect()}
+    assert got == {("core-site.xml", "fs.defaultFS", "hdfs://localhost:9000"), ("core-site.xml", "x", "a & b")}
 
 
 def test_digests_and_releases(spark, place):
