@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 # Sequence numbers per window task, which bounds the rows of a task.
 CHUNK = 1_000_000
 # Groups that the newest rows of one key are split into before the last step.
-SALTS = 64
+SALTS = 512
 
 
 @dataclass(frozen=True)

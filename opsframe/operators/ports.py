@@ -60,18 +60,21 @@ def vm_running(listing: Column, vm: str) -> Column:
     return F.contains(listing, F.lit(f'"{vm}"'))
 
 
-def preflight_conflict(required: DataFrame, listeners: DataFrame, own: DataFrame) -> DataFrame:
+def preflight_conflict(
+    required: DataFrame, listeners: DataFrame, own: DataFrame, by: Sequence[str] = ()
+) -> DataFrame:
     """First required port of each service (``service_id, pos, port``) that another process holds.
 
     ``own`` has the pid of each service's process (``service_id, pid``); a service without one owns nothing.
     """
-    mine = own.select("service_id", F.col("pid").alias("_own"))
-    held = listeners.filter(F.col("pid") > 0).select("port", "pid", "name")
-    conflicts = required.join(held, "port").join(mine, "service_id", "left")
+    service = [*by, "service_id"]
+    mine = own.select(*service, F.col("pid").alias("_own"))
+    held = listeners.filter(F.col("pid") > 0).select(*by, "port", "pid", "name")
+    conflicts = required.join(held, [*by, "port"]).join(mine, service, "left")
     conflicts = conflicts.filter(F.col("_own").isNull() | (F.col("pid") != F.col("_own")))
     owner = F.when(F.coalesce(F.col("name"), F.lit("")) == "", UNKNOWN_PROCESS).otherwise(F.col("name"))
     first = F.min_by(F.struct("port", "pid", owner.alias("owner")), "pos").alias("_first")
-    found = conflicts.groupBy("service_id").agg(first).select("service_id", "_first.*")
+    found = conflicts.groupBy(*service).agg(first).select(*service, "_first.*")
     return found.withColumn("kind", F.when(peer_vm_owner(F.col("owner")), "peer_vm").otherwise("foreign"))
 
 
@@ -80,16 +83,17 @@ def required_ports(services: DataFrame, ports: str = "ports") -> DataFrame:
     return services.select("service_id", F.posexplode(ports).alias("pos", "port"))
 
 
-def listener_process(listeners: DataFrame, processes: DataFrame) -> DataFrame:
+def listener_process(listeners: DataFrame, processes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Name of each listener's process (``pid, image``), blank if unknown."""
-    named = processes.select("pid", F.col("image").alias("_image"))
-    joined = listeners.join(named, "pid", "left")
+    named = processes.select(*by, "pid", F.col("image").alias("_image"))
+    joined = listeners.join(named, [*by, "pid"], "left")
     return joined.select(*listeners.columns, F.coalesce("_image", F.lit("")).alias("process"))
 
 
-def kill_guard(listeners: DataFrame, ours: DataFrame) -> DataFrame:
+def kill_guard(listeners: DataFrame, ours: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Listeners with a known pid that is not one of ours: the only ones that may be ended."""
-    return listeners.filter(F.col("pid") > 0).join(ours.select("pid"), "pid", "left_anti").select(*listeners.columns)
+    on = [*by, "pid"]
+    return listeners.filter(F.col("pid") > 0).join(ours.select(*on), on, "left_anti").select(*listeners.columns)
 
 
 def port_in_range(port: Column, low: int = 1, high: int = END_PORT - 1) -> Column:
@@ -102,14 +106,13 @@ def suggest_free_port(requests: DataFrame, listeners: DataFrame, by: Sequence[st
 
     Searched once per distinct start (at most one per port and host) and joined back.
     """
-    low = F.greatest(F.col("port"), F.lit(FIRST_PORT))
-    high = F.least(low + (SEARCH_SPAN - 1), F.lit(END_PORT - 1))
-    starts = requests.select(*by, "port").distinct().filter(low <= high)
-    candidates = starts.select(
-        *by, F.col("port").alias("_start"), F.explode(F.sequence(low, high)).alias("port")
-    )
+    start = F.greatest(F.col("port"), F.lit(FIRST_PORT))
+    high = F.least(F.col("_start") + (SEARCH_SPAN - 1), F.lit(END_PORT - 1))
+    wanted = requests.withColumn("_start", start)
+    starts = wanted.select(*by, "_start").distinct().filter(F.col("_start") < END_PORT)
+    candidates = starts.select(*by, "_start", F.explode(F.sequence("_start", high)).alias("port"))
     free = candidates.join(listeners.select(*by, "port"), [*by, "port"], "left_anti")
-    best = free.groupBy(*by, F.col("_start").alias("port")).agg(F.min(free["port"]).alias("_free"))
+    best = free.groupBy(*by, "_start").agg(F.min("port").alias("_free"))
     # Without hosts there are at most as many starts as ports, few enough to broadcast.
-    joined = requests.join(best if by else F.broadcast(best), [*by, "port"], "left")
+    joined = wanted.join(best if by else F.broadcast(best), [*by, "_start"], "left")
     return joined.select(*requests.columns, F.coalesce("_free", F.lit(0)).alias("free_port"))

@@ -25,7 +25,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 9)
+        return None if math.isnan(value) else value
     if isinstance(value, bytearray):
         return bytes(value)
     return value

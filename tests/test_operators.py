@@ -312,8 +312,11 @@ def test_preflight(spark):
 def test_suggest_free_port(spark):
     held = [(8000,), (8001,), *[(p,) for p in range(20000, 20200)], (65534,), (65533,)]
     listeners = spark.createDataFrame(held, "port INT")
-    requests = spark.createDataFrame([(8000,), (80,), (20000,), (65533,), (65535,), (8002,), (8000,)], "port INT")
+    requests = spark.createDataFrame(
+        [(8000,), (80,), (-5,), (20000,), (65533,), (65535,), (8002,), (8000,)], "port INT"
+    )
     assert rows(ports.suggest_free_port(requests, listeners)) == [
+        (-5, 1024),
         (20000, 0),
         (65533, 0),
         (65535, 0),

@@ -67,3 +67,19 @@ def test_latest_by(spark):
     assert "SortAggregate" not in latest_by(fixed, ["id"], "seq")._jdf.queryExecution().executedPlan().toString()
     text = spark.createDataFrame([("a", 1, "x"), ("a", 2, None)], "id STRING, seq INT, v STRING")
     assert [tuple(r) for r in latest_by(text, ["id"], "seq").collect()] == [("a", 2, None)]
+
+
+def test_a_hot_key_is_spread_over_tasks(spark):
+    """Half of the rows have one key, and still no task gets half of them."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(40_000).select(
+            F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
+            F.col("id").alias("seq"),
+        )
+        done = running(df, ["k"], "seq", {"n": Fold("sum", F.lit(1))}, 500)
+        shares = [r["count"] for r in done.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(shares) == 40_000 and max(shares) < 10_000
+        assert done.filter("k = 'hot'").agg(F.max("n")).first()[0] == 20_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
