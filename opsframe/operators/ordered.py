@@ -28,11 +28,13 @@ class Fold:
     """A value carried along the rows of a key.
 
     ``sum``: running total up to this row. ``last``: last non-null value up to this row.
-    ``lag``: value of the row before, null values included.
+    ``lag``: value of the row before, null values included. With ``before``, a sum or last value leaves this
+    row out.
     """
 
     kind: str
     column: Column
+    before: bool = False
 
 
 def running(
@@ -42,13 +44,19 @@ def running(
     folds: Mapping[str, Fold],
     width: int = CHUNK,
     backwards: bool = False,
+    levels: int = 1,
 ) -> DataFrame:
     """Add one column per fold, computed along ``order`` within ``keys``.
 
-    ``order`` is an integer sequence, unique within its keys; keys are not null. No task holds more than ``width`` rows of a key;
-    the summaries are at most one row per ``width`` numbers. ``backwards`` folds from the highest number down.
+    ``order`` is an integer sequence, unique within its keys; keys are not null. No task holds more than
+    ``width`` rows of a key; the summaries are at most one row per ``width`` numbers. ``backwards`` folds from
+    the highest number down.
+
+    For a sequence with few rows per ``width`` numbers (timestamps, say) take a larger width, or ``levels=2``:
+    the summaries are then summed up in chunks in their turn, which leaves at most a few million rows to the last
+    window for any 64-bit sequence and the default width.
     """
-    chunk = "_chunk"
+    chunk = f"_chunk{levels}"
     inputs = {name: f"_in_{name}" for name in folds}
     rows = df.select(
         "*",
@@ -56,41 +64,46 @@ def running(
         *[fold.column.alias(inputs[name]) for name, fold in folds.items()],
     )
 
-    by_order = F.col(order).desc() if backwards else F.col(order).asc()
-    by_chunk = F.col(chunk).desc() if backwards else F.col(chunk).asc()
-    inside = W.partitionBy(*keys, chunk).orderBy(by_order)
-    so_far = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    across = W.partitionBy(*keys).orderBy(by_chunk)
-    before = across.rowsBetween(W.unboundedPreceding, -1)
     newest = F.min_by if backwards else F.max_by
-
-    totals, carries = [], []
+    totals = []
     for name, fold in folds.items():
         value = F.col(inputs[name])
         if fold.kind == "sum":
-            totals.append(F.sum(value).alias(name))
-            carries.append(F.sum(name).over(before))
+            total = F.sum(value)
         elif fold.kind == "last":
-            totals.append(newest(value, F.when(value.isNotNull(), F.col(order))).alias(name))
-            carries.append(F.last(name, ignorenulls=True).over(before))
+            total = newest(value, F.when(value.isNotNull(), F.col(order)))
         elif fold.kind == "lag":
-            totals.append(newest(value, F.col(order)).alias(name))
-            carries.append(F.lag(name).over(across))
+            total = newest(value, F.col(order))
         else:
             raise ValueError(f"unknown fold: {fold.kind}")
-
+        totals.append(total.alias(name))
     summaries = rows.groupBy(*keys, chunk).agg(*totals)
-    carried = summaries.select(
-        *[F.col(key).alias(f"_key_{key}") for key in [*keys, chunk]],
-        *[carry.alias(f"_carry_{name}") for name, carry in zip(folds, carries)],
+
+    if levels > 1:
+        above = {f"_carry_{name}": Fold(fold.kind, F.col(name), before=True) for name, fold in folds.items()}
+        carried = running(summaries, keys, chunk, above, width, backwards, levels - 1)
+    else:
+        across = W.partitionBy(*keys).orderBy(F.col(chunk).desc() if backwards else F.col(chunk).asc())
+        before = across.rowsBetween(W.unboundedPreceding, -1)
+        carries = {
+            "sum": lambda name: F.sum(name).over(before),
+            "last": lambda name: F.last(name, ignorenulls=True).over(before),
+            "lag": lambda name: F.lag(name).over(across),
+        }
+        found = [carries[fold.kind](name).alias(f"_carry_{name}") for name, fold in folds.items()]
+        carried = summaries.select(*keys, chunk, *found)
+    carried = carried.select(
+        *[F.col(key).alias(f"_key_{key}") for key in [*keys, chunk]], *[f"_carry_{name}" for name in folds]
     )
     # Plain equality, so that the window below finds its partitioning already there.
     same = reduce(and_, [F.col(key) == F.col(f"_key_{key}") for key in [*keys, chunk]])
     joined = rows.join(carried, same, "left")
 
+    inside = W.partitionBy(*keys, chunk).orderBy(F.col(order).desc() if backwards else F.col(order).asc())
     out = []
     for name, fold in folds.items():
         value, carry = F.col(inputs[name]), F.col(f"_carry_{name}")
+        so_far = inside.rowsBetween(W.unboundedPreceding, -1 if fold.before else W.currentRow)
         if fold.kind == "sum":
             # A null means that there was no value at all so far.
             local = F.sum(value).over(so_far)

@@ -33,12 +33,13 @@ def by_hand(rows, backwards):
 
 @pytest.mark.parametrize("width", [1, 7, 100, 1_000_000])
 @pytest.mark.parametrize("backwards", [False, True])
-def test_running(spark, width, backwards):
+@pytest.mark.parametrize("levels", [1, 2])
+def test_running(spark, width, backwards, levels):
     rows = rows_with_a_hot_key()
     df = spark.createDataFrame(rows, "k STRING, seq BIGINT, v BIGINT").repartition(5)
     value = F.col("v")
     folds = {"total": Fold("sum", value), "last": Fold("last", value), "before": Fold("lag", value)}
-    got = running(df, ["k"], "seq", folds, width, backwards).collect()
+    got = running(df, ["k"], "seq", folds, width, backwards, levels).collect()
     assert {(r.k, r.seq): (r.total, r.last, r.before) for r in got} == by_hand(rows, backwards)
     assert len(got) == len(rows)
 
