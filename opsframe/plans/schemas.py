@@ -14,12 +14,12 @@ PORT_PROBE = (
 )
 
 FILE_ENTRY = (
-    "pathSuffix STRING, type STRING, length BIGINT, modificationTime BIGINT, owner STRING, "
-    "`group` STRING, permission STRING"
+    "pathSuffix: STRING, type: STRING, length: BIGINT, modificationTime: BIGINT, owner: STRING, "
+    "`group`: STRING, permission: STRING"
 )
 
 # Envelope of a directory listing document.
-LISTING = f"FileStatuses STRUCT<FileStatus: ARRAY<STRUCT<{FILE_ENTRY.replace(' STRING', ': STRING').replace(' BIGINT', ': BIGINT')}>>>"
+LISTING = f"STRUCT<FileStatuses: STRUCT<FileStatus: ARRAY<STRUCT<{FILE_ENTRY}>>>>"
 
 SETTINGS = (
     "host STRING, language STRING, setup_completed BOOLEAN, always_on_top BOOLEAN, "
