@@ -7,14 +7,17 @@ text. Hashes are mixed polynomials modulo 2^64, the same on every machine.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
+PIECE = 1 << 19  # bytes that are hashed at once, so that they stay in the CPU's cache
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER = np.arange(256)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
@@ -30,59 +33,110 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 # One random number per byte value, and the powers that weigh positions in a word and words in a shingle.
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_STEP = np.uint64(0xD1342543DE82EF95)
+_EXACT = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FOLDED = _EXACT[_LOWER]
+_STEP = 0xD1342543DE82EF95
 _WORD_STEP = [np.uint64(pow(0xDA942042E4DD58B5, k, 2**64)) for k in range(WIDTH)]
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _STEP, np.uint64)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % 2**64, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a string column, and how many each text has (nulls: none)."""
+_UP = _powers(_STEP, PIECE + 1)
+_DOWN = _powers(pow(_STEP, -1, 2**64), PIECE + 1)
+
+
+def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a string column, one text after the other, and the offsets of the texts (nulls: empty)."""
     column = column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
-    inside = ~_SPACE[raw]
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    inner = offsets[:-1][offsets[:-1] < len(raw)]
-    starts[inner] = inside[inner]  # a word ends with its text
-    first = np.flatnonzero(starts)
-    if not len(first):
-        return np.zeros(0, np.uint64), np.zeros(len(column), np.int64)
-    chars = np.flatnonzero(inside)
-    at = np.searchsorted(chars, first)  # each word's first character among the characters
-    lengths = np.diff(np.append(at, len(chars)))
-    place = np.arange(len(chars)) - np.repeat(at, lengths)
-    values = _BYTE[_LOWER[raw[chars]]] * _powers(int(lengths.max()))[place]
-    hashes = mix(np.add.reduceat(values, at) + lengths.astype(np.uint64))
-    return hashes, np.diff(np.searchsorted(first, offsets))
-
-
-def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text in ascending order, one text after the other, and the sets' sizes."""
+    return raw, offsets - offsets[0]
+
+
+def spans(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """First and behind-last byte of all runs of bytes that ``apart`` doesn't hold; no run goes on in the next text."""
+    inside = np.empty(len(raw) + 1, bool)
+    np.logical_not(apart[raw], out=inside[:-1])
+    inside[-1] = False
+    change = np.empty(len(raw) + 1, bool)
+    change[0] = inside[0]
+    np.not_equal(inside[1:], inside[:-1], out=change[1:])
+    edges = np.flatnonzero(change)
+    first, last = edges[0::2], edges[1::2]
+    # Texts that touch without a separator: cut the run at the border.
+    border = offsets[1:-1]
+    border = border[(border > 0) & (border < len(raw))]
+    border = np.unique(border[inside[border] & inside[border - 1]])
+    if len(border):
+        first = np.sort(np.concatenate([first, border]))
+        last = np.sort(np.concatenate([last, border]))
+    return first, last
+
+
+def run_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray, values: np.ndarray = _EXACT) -> np.ndarray:
+    """A 64-bit hash of each run of bytes."""
+    out = np.empty(len(first), np.uint64)
+    at = 0
+    while at < len(first):
+        begin = first[at]
+        end = int(np.searchsorted(last, begin + PIECE, "right"))
+        if end <= at:  # a run that is longer than a piece, piece by piece
+            total = np.uint64(0)
+            for part in range(begin, last[at], PIECE):
+                bytes_ = raw[part : min(part + PIECE, last[at])]
+                power = np.uint64(pow(_STEP, int(part - begin), 2**64))
+                total += np.add.reduce(values[bytes_] * _UP[: len(bytes_)], dtype=np.uint64) * power
+            out[at] = total
+            at += 1
+            continue
+        bytes_ = raw[begin : last[end - 1]]
+        sums = np.zeros(len(bytes_) + 1, np.uint64)
+        np.cumsum(values[bytes_] * _UP[: len(bytes_)], out=sums[1:])
+        a = first[at:end] - begin
+        out[at:end] = (sums[last[at:end] - begin] - sums[a]) * _DOWN[a]
+        at = end
+    return mix(out + (last - first).astype(np.uint64))
+
+
+def words(column: pa.Array, values: np.ndarray = _FOLDED) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a string column, and how many each text has (nulls: none)."""
+    with np.errstate(over="ignore"):
+        raw, offsets = raw_bytes(column)
+        first, last = spans(raw, offsets)
+        return run_hashes(raw, first, last, values), np.diff(np.searchsorted(first, offsets))
+
+
+def windows(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """The hash of each window of neighbouring words, whichever texts they are in."""
+    with np.errstate(over="ignore"):
+        n = max(len(hashes) - width + 1, 0)
+        out = np.full(n, width, np.uint64)
+        for k in range(width):
+            out += hashes[k : k + n] * _WORD_STEP[k]
+        return mix(out)
+
+
+def sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """For each text its distinct shingle hashes in ascending order."""
     hashes, n_words = words(column)
-    n = len(n_words)
-    short = (n_words > 0) & (n_words < WIDTH)
-    counts = np.where(short, 1, np.maximum(n_words - (WIDTH - 1), 0))
-    owner = np.repeat(np.arange(n), counts)
-    ends = np.cumsum(n_words)
-    begin = (ends - n_words)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    taken = np.minimum(n_words, WIDTH)[owner]
-    values = taken.astype(np.uint64)
-    padded = np.append(hashes, np.zeros(WIDTH, np.uint64))
-    for k in range(WIDTH):
-        values += np.where(k < taken, padded[begin + k], np.uint64(0)) * _WORD_STEP[k]
-    values = mix(values)
-    order = np.lexsort((values, owner)) if n > 1 else np.argsort(values)
-    values, owner = values[order], owner[order]
-    new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    values, owner = values[new], owner[new]
-    return values, np.bincount(owner, minlength=n)
+    whole = windows(hashes)
+    at = 0
+    for n in n_words.tolist():
+        if n >= WIDTH:
+            own = np.sort(whole[at : at + n - WIDTH + 1])
+            new = np.empty(len(own), bool)
+            new[0] = True
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            yield own[new]
+        elif n:
+            with np.errstate(over="ignore"):
+                weighed = hashes[at : at + n] * np.array(_WORD_STEP[:n], np.uint64)
+                yield mix(np.add.reduce(weighed, dtype=np.uint64, keepdims=True) + np.uint64(n))
+        else:
+            yield hashes[:0]
+        at += n
