@@ -8,11 +8,11 @@ A document's set has the distinct five-word shingles of its text (see ``shingles
    in the first ``n - ceil(percent * n / 100) + 1`` tokens of either (prefix filter), so only these are compared. The
    frequent ones are found by counts in blocks of all documents; which tokens are in that list changes the work, never
    the result, so it may be bounded.
-3. Classes are partitioned into groups of similar ones: each goes to the *hub* with which it shares most prefix tokens.
-   A first pass checks each class against its hub, so one large family of near copies is tied together by as many
-   checks as it has members.
-4. The token-group matrix has a row for each prefix token of a group. A class is a query for a group if it meets the
-   matrix in another group, or if it is in the group but not tied to its hub.
+3. Classes are partitioned into groups of similar ones: those of nearly the same size that share most prefix tokens
+   with the same *hub*. A first pass checks classes against their hub, so one large family of near copies is tied
+   together by as many checks as it has members.
+4. The token-group matrix has a row for each prefix token of a group. A class is a query for a group if it shares enough
+   prefix tokens with it (``needed``); what is tied to one hub already is not asked again.
 5. Each group is split into blocks of at most some hundred members, whose token union is stored with them. A query's
    overlap with the union bounds its overlap with every member; only where that may suffice is the block opened.
    A block gives one link for each set of members that were not yet connected, so links grow with members and queries,
@@ -27,11 +27,12 @@ looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.llm import shingles
@@ -52,6 +53,16 @@ def _least(n, percent: int):
     return (percent * n + 99) // 100
 
 
+def needed(a: str, b: str, percent: int) -> Column:
+    """How many prefix tokens two sets of sizes a and b share at least if they link.
+
+    Up to the end of one prefix, both prefixes show every common token; behind it, that set has at most
+    ``ceil(percent * n / 100) - 1`` tokens left.
+    """
+    both = f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
+    return F.greatest(F.lit(1), F.expr(f"{both} - (({percent} * greatest({a}, {b}) + 99) div 100) + 1"))
+
+
 def _signature(own: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         a = np.add.reduce(own, dtype=np.uint64)
@@ -277,42 +288,55 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     schema = "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>"
     signed = settle(docs.mapInArrow(_prefixes(frequent, percent), schema), "prefixes")
 
-    named = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = settle(
-        named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes"
-    )
-    tokens = classes.select("rep", F.explode("prefix").alias("token")).select("token", "rep")
+    named = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2")
+    tokens = named.agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
+    tokens = tokens.select("rep", F.explode("prefix").alias("token")).select("token", "rep")
     tokens = tokens.repartition("token").sortWithinPartitions("token", "rep")
     shared = settle(tokens.mapInArrow(_shared, "token bigint, rep bigint, hub bigint"), "shared")
-
-    # Groups: the hub with most shared tokens; a class that is nobody's follower is its own hub.
-    votes = shared.filter("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("n"))
-    best = votes.groupBy("rep").agg(F.max(F.struct("n", -F.col("hub"))).alias("best"))
-    best = best.select("rep", (-F.col("best.col2")).alias("hub"))
-    reps = shared.select("rep").distinct()
-    grouped = settle(reps.join(best, "rep", "left").select("rep", F.coalesce("hub", "rep").alias("grp")), "groups")
-    own = sets_of(docs, grouped)
-
-    to_hub = grouped.filter("rep <> grp").join(own.select("rep", "tokens"), "rep")
-    other = own.select(F.col("rep").alias("grp"), F.col("tokens").alias("of_hub"))
-    to_hub = to_hub.join(other, "grp").select("rep", "grp", "tokens", "of_hub")
-    tied = settle(to_hub.mapInArrow(_tied(percent), "u bigint, v bigint").distinct(), "tied")
-
-    flagged = grouped.join(tied.select(F.col("u").alias("rep"), F.lit(True).alias("yes")), "rep", "left")
-    members = settle(
-        flagged.select("rep", "grp", (F.coalesce("yes", F.lit(False)) | (F.col("rep") == F.col("grp"))).alias("tied")),
-        "members",
+    classes = settle(named.agg(F.min("doc_id").alias("rep")), "classes")
+
+    # Groups: classes of the same hub, the one with most shared tokens, and of nearly the same size.
+    votes = shared.filter("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("rep").agg(F.max(F.struct("votes", -F.col("hub"))).alias("best"))
+    best = best.select("rep", (-F.col("best.col2")).alias("hub"), "best.votes")
+    sizes = classes.groupBy("rep").agg(F.max("n").alias("n"))
+    reps = shared.select("rep").distinct().join(sizes, "rep").join(best, "rep", "left")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1.1))
+    hub = F.coalesce("hub", "rep")
+    grouped = reps.select("rep", "n", hub.alias("hub"), F.xxhash64(hub, size_class).alias("grp"), "votes")
+    grouped = settle(grouped, "groups")
+
+    # Members whose shared tokens may suffice are checked against their hub.
+    hubs = sizes.select(F.col("rep").alias("hub"), F.col("n").alias("n_hub"))
+    near = grouped.filter("rep <> hub").join(hubs, "hub").filter(F.col("votes") >= needed("n", "n_hub", percent))
+    near = settle(near.select("rep", "hub"), "near")
+    own = sets_of(docs, near.select("rep").unionByName(near.select(F.col("hub").alias("rep"))).distinct())
+    other = own.select(F.col("rep").alias("hub"), F.col("tokens").alias("of_hub"))
+    pairs = near.join(own.select("rep", "tokens"), "rep").join(other, "hub").select("rep", "hub", "tokens", "of_hub")
+    tied = settle(pairs.mapInArrow(_tied(percent), "u bigint, v bigint").distinct(), "tied")
+    yes = tied.select(F.col("u").alias("rep"), F.lit(True).alias("yes"))
+    is_tied = F.coalesce("yes", F.lit(False)) | (F.col("rep") == F.col("hub"))
+    members = settle(grouped.join(yes, "rep", "left").select("rep", "n", "hub", "grp", is_tied.alias("tied")), "members")
+
+    # The matrix has the tokens of each group. A query must share enough of its own with a group; it doesn't ask what
+    # the same hub ties it to, and of two groups of different hubs one asks the other.
+    groups = members.groupBy("grp").agg(
+        F.ceil(F.count("*") / BLOCK).cast("bigint").alias("blocks"), F.min("n").alias("low"), F.max("n").alias("high")
     )
-    blocks = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("blocks"))
-    # The matrix: tokens of groups. A query that meets a smaller group's row may link with that group.
-    rows = shared.select("token", "rep").join(members.select("rep", "grp"), "rep")
-    matrix = rows.select("token", F.col("grp").alias("met")).distinct()
-    across = rows.join(matrix, "token").filter("met < grp").select("rep", F.col("met").alias("grp")).distinct()
-    within = members.filter("NOT tied").select("rep", "grp")
-    asked = across.unionByName(within).join(blocks, "grp")
+    rows = shared.select("token", "rep").join(members, "rep")
+    matrix = rows.groupBy("token", F.col("grp").alias("met"), F.col("hub").alias("met_hub")).agg(F.count("*").alias("held"))
+    ask = F.expr("if(hub = met_hub, NOT tied AND (grp <> met OR held > 1), met < grp)")
+    overlap = rows.join(matrix, "token").filter(ask).groupBy("rep", "n", F.col("met").alias("grp"))
+    low = F.greatest(F.col("low"), F.expr(f"({percent} * n + 99) div 100"))
+    high = F.least(F.col("high"), F.expr(f"100 * n div {percent}"))
+    overlap = overlap.agg(F.count("*").alias("c")).join(groups, "grp").withColumns({"low": low, "high": high})
+    enough = F.least(needed("n", "low", percent), needed("n", "high", percent))
+    asked = settle(overlap.filter("low <= high").filter(F.col("c") >= enough).select("rep", "grp", "blocks"), "asked")
+    asked_groups = asked.select("grp", "blocks").distinct()
+    placed = members.join(asked_groups, "grp")
+    own = sets_of(docs, asked.select("rep").unionByName(placed.select("rep")).distinct())
     asked = asked.select("rep", "grp", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
 
-    placed = members.join(blocks, "grp")
     placed = placed.select("grp", F.expr("pmod(xxhash64(rep), blocks)").alias("block"), F.lit(0).alias("kind"), "rep", "tied")
     asked = asked.select("grp", "block", F.lit(1).alias("kind"), "rep", F.lit(False).alias("tied"))
     sides = placed.unionByName(asked).join(own.select("rep", "tokens"), "rep")
