@@ -45,6 +45,7 @@ ship(__name__)
 FREQUENT = 1 << 16  # tokens that may be moved to the end of the order: 512 KB
 OFTEN = 64  # documents from which on a token is frequent
 BLOCK = 128  # members of a group in one block
+CHECKS = 1024  # classes that are checked against one copy of their hub
 SLOTS = 1 << 18  # bound of the broadcast that thins documents before the exact join
 
 
@@ -178,34 +179,39 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, rep, hub = token[-1:], rep[-1:], hub[-1:]
 
 
-def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        own = list(shingles.sets(batch.column(1)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())],
-            ["rep", "n", "tokens"],
-        )
+def with_texts(docs: DataFrame, sides: DataFrame) -> DataFrame:
+    """Adds the text of ``rep``. Texts, compressed in the exchange, are smaller than their sets of hashes."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    slots = F.broadcast(sides.select(F.pmod(F.xxhash64("rep"), F.lit(SLOTS)).alias("slot")).distinct())
+    thinned = docs.withColumn("slot", slot).join(slots, "slot", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    return sides.join(thinned, "rep")
 
 
-def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, n, tokens) of the documents in ``reps``: one look at the texts, of which only those needed travel."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
-    slots = F.broadcast(reps.select(F.pmod(F.xxhash64("rep"), F.lit(SLOTS)).alias("slot")).distinct())
-    thinned = docs.select("doc_id", "text").withColumn("slot", slot).join(slots, "slot", "left_semi")
-    own = thinned.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    return settle(own.select("doc_id", "text").mapInArrow(_as_sets, "rep bigint, n bigint, tokens binary"), "sets")
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The values of all columns but the last, and the set of the text in the last."""
+    columns = [batch.column(k).to_pylist() for k in range(batch.num_columns - 1)]
+    return zip(*columns, shingles.sets(batch.column(batch.num_columns - 1)), strict=True)
 
 
 def _tied(percent: int) -> Callable:
+    """Rows (hub, block, kind, rep, text) sorted by the first three: the hub (kind 0), then those to check with it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, heads = None, []
         for batch in batches:
-            good = np.zeros(len(batch), bool)
-            for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good[k] = (100 + percent) * both >= percent * (len(x) + len(y))
-            mask = pa.array(good)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
+            u, v = [], []
+            for hub, block, kind, rep, own in _rows(batch):
+                if (hub, block) != key:
+                    key, heads = (hub, block), []
+                if kind == 0:
+                    heads.append(own)
+                    continue
+                for head in heads:
+                    both = len(np.intersect1d(own, head, assume_unique=True))
+                    if (100 + percent) * both >= percent * (len(own) + len(head)):
+                        u.append(rep)
+                        v.append(hub)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
@@ -258,17 +264,15 @@ class _Block:
 
 
 def _opened(percent: int) -> Callable:
-    """Rows (grp, block, kind, rep, tied, tokens) sorted by the first three: members (kind 0), then queries."""
+    """Rows (grp, block, kind, rep, tied, text) sorted by the first three: members (kind 0), then queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block = None, None
         for batch in batches:
             u, v = [], []
-            columns = [batch.column(k).to_pylist() for k in range(5)]
-            for grp, part, kind, rep, tied, tokens in zip(*columns, batch.column(5), strict=True):
+            for grp, part, kind, rep, tied, own in _rows(batch):
                 if (grp, part) != key:
                     key, block = (grp, part), _Block(percent)
-                own = np.frombuffer(tokens.as_buffer(), np.uint64)
                 if kind == 0:
                     block.add(rep, tied, own)
                 elif block.reps:
@@ -310,10 +314,12 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     hubs = sizes.select(F.col("rep").alias("hub"), F.col("n").alias("n_hub"))
     near = grouped.filter("rep <> hub").join(hubs, "hub").filter(F.col("votes") >= needed("n", "n_hub", percent))
     near = settle(near.select("rep", "hub"), "near")
-    own = sets_of(docs, near.select("rep").unionByName(near.select(F.col("hub").alias("rep"))).distinct())
-    other = own.select(F.col("rep").alias("hub"), F.col("tokens").alias("of_hub"))
-    pairs = near.join(own.select("rep", "tokens"), "rep").join(other, "hub").select("rep", "hub", "tokens", "of_hub")
-    tied = settle(pairs.mapInArrow(_tied(percent), "u bigint, v bigint").distinct(), "tied")
+    checks = near.groupBy("hub").agg(F.ceil(F.count("*") / CHECKS).cast("bigint").alias("blocks"))
+    follow = near.join(checks, "hub").select("hub", F.expr("pmod(xxhash64(rep), blocks)").alias("block"), F.lit(1).alias("kind"), "rep")
+    lead = checks.select("hub", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.lit(0).alias("kind"), F.col("hub").alias("rep"))
+    sides = with_texts(docs, follow.unionByName(lead)).select("hub", "block", "kind", "rep", "text")
+    sides = sides.repartition("hub", "block").sortWithinPartitions("hub", "block", "kind")
+    tied = settle(sides.mapInArrow(_tied(percent), "u bigint, v bigint").distinct(), "tied")
     yes = tied.select(F.col("u").alias("rep"), F.lit(True).alias("yes"))
     is_tied = F.coalesce("yes", F.lit(False)) | (F.col("rep") == F.col("hub"))
     members = settle(grouped.join(yes, "rep", "left").select("rep", "n", "hub", "grp", is_tied.alias("tied")), "members")
@@ -334,13 +340,11 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     asked = settle(overlap.filter("low <= high").filter(F.col("c") >= enough).select("rep", "grp", "blocks"), "asked")
     asked_groups = asked.select("grp", "blocks").distinct()
     placed = members.join(asked_groups, "grp")
-    own = sets_of(docs, asked.select("rep").unionByName(placed.select("rep")).distinct())
     asked = asked.select("rep", "grp", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
 
     placed = placed.select("grp", F.expr("pmod(xxhash64(rep), blocks)").alias("block"), F.lit(0).alias("kind"), "rep", "tied")
     asked = asked.select("grp", "block", F.lit(1).alias("kind"), "rep", F.lit(False).alias("tied"))
-    sides = placed.unionByName(asked).join(own.select("rep", "tokens"), "rep")
-    sides = sides.select("grp", "block", "kind", "rep", "tied", "tokens")
+    sides = with_texts(docs, placed.unionByName(asked)).select("grp", "block", "kind", "rep", "tied", "text")
     sides = sides.repartition("grp", "block").sortWithinPartitions("grp", "block", "kind")
     links = sides.mapInArrow(_opened(percent), "u bigint, v bigint")
 
