@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import bpe, exact_dedup, mixing, ngram_join
+from opsframe.llm import bpe, exact_dedup, mixing, ngram_join, quality_model
 from opsframe.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -52,3 +52,8 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.posterior(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
