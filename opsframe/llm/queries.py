@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import bpe, exact_dedup, mixing, ngram_join, quality_model
+from opsframe.llm import bpe, exact_dedup, mixing, ngram_join, quality_model, quality_rules, toxicity
 from opsframe.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -57,3 +57,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quality_classifier")
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.posterior(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.cascade(table(spark, sf_dir, "documents")).drop("rejected_by")
