@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import bpe, exact_dedup, mixing, ngram_join, quality_model, quality_rules, toxicity
+from opsframe.llm import bpe, exact_dedup, html_text, mixing, ngram_join, quality_model, quality_rules, toxicity
 from opsframe.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -67,3 +67,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_quality_rules")
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.cascade(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+@query("op8_html_text")
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
