@@ -19,7 +19,7 @@ A document's set has the distinct five-word shingles of its text (see ``shingles
    not with their product.
 6. Links become components.
 
-Ids name documents: rows that share an id count as one document. A row without an id gets the component of the class
+Ids name documents and are unique; where rows share an id, each still gets the component of its own set. A row without an id gets the component of the class
 with its set, if there is one with an id, else null. Texts that are null or without words have empty sets and link with
 nothing; their component is their own id. Empty tables give empty results; columns besides doc_id and text are not
 looked at.
@@ -54,14 +54,27 @@ def _least(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def needed(a: str, b: str, percent: int) -> Column:
-    """How many prefix tokens two sets of sizes a and b share at least if they link.
+def _kept(n: str, percent: int) -> str:
+    """Tokens of a set behind its prefix."""
+    return f"((({percent} * {n} + 99) div 100) - 1)"
 
-    Up to the end of one prefix, both prefixes show every common token; behind it, that set has at most
-    ``ceil(percent * n / 100) - 1`` tokens left.
+
+def _both(a: str, b: str, percent: int) -> str:
+    """The intersection that two sets of sizes a and b need."""
+    return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
+
+
+def needed(n: str, last: str, low: str, high: str, first: str, final: str, percent: int) -> Column:
+    """How many prefix tokens a set shares at least with one that it links with, of a size from low to high.
+
+    Up to where the first of the two prefixes ends, both show every common token; behind it, that set has no more than
+    the rest of its tokens. ``last`` is where the set's prefix ends, ``first`` to ``final`` where those of the others do.
     """
-    both = f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
-    return F.greatest(F.lit(1), F.expr(f"{both} - (({percent} * greatest({a}, {b}) + 99) div 100) + 1"))
+    mine = f"{_both(n, low, percent)} - {_kept(n, percent)}"
+    theirs = f"{_both(n, high, percent)} - {_kept(high, percent)}"
+    either = ", ".join(f"{_both(n, m, percent)} - {_kept(f'greatest({n}, {m})', percent)}" for m in (low, high))
+    chosen = f"CASE WHEN {last} < {first} THEN {mine} WHEN {last} > {final} THEN {theirs} ELSE least({either}) END"
+    return F.greatest(F.lit(1), F.expr(chosen))
 
 
 def _signature(own: np.ndarray) -> tuple[int, int]:
@@ -127,6 +140,13 @@ def _prefixes(frequent, percent: int) -> Callable:
                 rare = np.concatenate([rare, often])
             return rare[:want]
 
+        def end(prefix: np.ndarray) -> int:
+            """Place of a prefix's last token in the order, in 62 bits."""
+            if not len(prefix):
+                return 0
+            place = int(rank(prefix[-1:])[0])
+            return int(prefix[-1]) >> 2 if place < 0 else (1 << 62) + place
+
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 sizes, keys, parts = [], [], []
@@ -142,9 +162,10 @@ def _prefixes(frequent, percent: int) -> Callable:
                         pa.array(sizes, pa.int64()),
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
+                        pa.array([end(x) for x in parts], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                     ],
-                    ["doc_id", "n", "s1", "s2", "prefix"],
+                    ["doc_id", "n", "s1", "s2", "last", "prefix"],
                 )
 
     return run
@@ -289,7 +310,7 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     frequent = spark.sparkContext.broadcast(frequent_tokens(docs))
-    schema = "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>"
+    schema = "doc_id bigint, n bigint, s1 bigint, s2 bigint, last bigint, prefix array<bigint>"
     signed = settle(docs.mapInArrow(_prefixes(frequent, percent), schema), "prefixes")
 
     named = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2")
@@ -297,22 +318,25 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     tokens = tokens.select("rep", F.explode("prefix").alias("token")).select("token", "rep")
     tokens = tokens.repartition("token").sortWithinPartitions("token", "rep")
     shared = settle(tokens.mapInArrow(_shared, "token bigint, rep bigint, hub bigint"), "shared")
-    classes = settle(named.agg(F.min("doc_id").alias("rep")), "classes")
+    classes = settle(named.agg(F.min("doc_id").alias("rep"), F.max("last").alias("last")), "classes")
 
     # Groups: classes of the same hub, the one with most shared tokens, and of nearly the same size.
     votes = shared.filter("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("votes"))
     best = votes.groupBy("rep").agg(F.max(F.struct("votes", -F.col("hub"))).alias("best"))
     best = best.select("rep", (-F.col("best.col2")).alias("hub"), "best.votes")
-    sizes = classes.groupBy("rep").agg(F.max("n").alias("n"))
+    sizes = classes.groupBy("rep").agg(F.max("n").alias("n"), F.max("last").alias("last"))
     reps = shared.select("rep").distinct().join(sizes, "rep").join(best, "rep", "left")
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1.1))
     hub = F.coalesce("hub", "rep")
-    grouped = reps.select("rep", "n", hub.alias("hub"), F.xxhash64(hub, size_class).alias("grp"), "votes")
+    grouped = reps.select("rep", "n", "last", hub.alias("hub"), F.xxhash64(hub, size_class).alias("grp"), "votes")
     grouped = settle(grouped, "groups")
 
-    # Members whose shared tokens may suffice are checked against their hub.
+    # Members that share a good part of their prefix with their hub are checked against it. (Others are left to the
+    # matrix, which loses nothing.)
     hubs = sizes.select(F.col("rep").alias("hub"), F.col("n").alias("n_hub"))
-    near = grouped.filter("rep <> hub").join(hubs, "hub").filter(F.col("votes") >= needed("n", "n_hub", percent))
+    part = F.expr(f"(least(n, n_hub) - {_kept('least(n, n_hub)', percent)}) div 3")
+    fits = F.expr(f"{percent} * n <= 100 * n_hub AND {percent} * n_hub <= 100 * n")
+    near = grouped.filter("rep <> hub").join(hubs, "hub").filter(fits & (F.col("votes") >= part))
     near = settle(near.select("rep", "hub"), "near")
     checks = near.groupBy("hub").agg(F.ceil(F.count("*") / CHECKS).cast("bigint").alias("blocks"))
     follow = near.join(checks, "hub").select("hub", F.expr("pmod(xxhash64(rep), blocks)").alias("block"), F.lit(1).alias("kind"), "rep")
@@ -322,21 +346,23 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     tied = settle(sides.mapInArrow(_tied(percent), "u bigint, v bigint").distinct(), "tied")
     yes = tied.select(F.col("u").alias("rep"), F.lit(True).alias("yes"))
     is_tied = F.coalesce("yes", F.lit(False)) | (F.col("rep") == F.col("hub"))
-    members = settle(grouped.join(yes, "rep", "left").select("rep", "n", "hub", "grp", is_tied.alias("tied")), "members")
+    members = grouped.join(yes, "rep", "left").select("rep", "n", "last", "hub", "grp", is_tied.alias("tied"))
+    members = settle(members, "members")
 
     # The matrix has the tokens of each group. A query must share enough of its own with a group; it doesn't ask what
     # the same hub ties it to, and of two groups of different hubs one asks the other.
     groups = members.groupBy("grp").agg(
-        F.ceil(F.count("*") / BLOCK).cast("bigint").alias("blocks"), F.min("n").alias("low"), F.max("n").alias("high")
-    )
+        F.ceil(F.count("*") / BLOCK).cast("bigint").alias("blocks"), F.min("n").alias("low"), F.max("n").alias("high"),
+        F.min("last").alias("first"), F.max("last").alias("final"),
+    )
     rows = shared.select("token", "rep").join(members, "rep")
     matrix = rows.groupBy("token", F.col("grp").alias("met"), F.col("hub").alias("met_hub")).agg(F.count("*").alias("held"))
     ask = F.expr("if(hub = met_hub, NOT tied AND (grp <> met OR held > 1), met < grp)")
-    overlap = rows.join(matrix, "token").filter(ask).groupBy("rep", "n", F.col("met").alias("grp"))
+    overlap = rows.join(matrix, "token").filter(ask).groupBy("rep", "n", "last", F.col("met").alias("grp"))
     low = F.greatest(F.col("low"), F.expr(f"({percent} * n + 99) div 100"))
     high = F.least(F.col("high"), F.expr(f"100 * n div {percent}"))
     overlap = overlap.agg(F.count("*").alias("c")).join(groups, "grp").withColumns({"low": low, "high": high})
-    enough = F.least(needed("n", "low", percent), needed("n", "high", percent))
+    enough = needed("n", "last", "low", "high", "first", "final", percent)
     asked = settle(overlap.filter("low <= high").filter(F.col("c") >= enough).select("rep", "grp", "blocks"), "asked")
     asked_groups = asked.select("grp", "blocks").distinct()
     placed = members.join(asked_groups, "grp")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import bpe, chat_format, exact_dedup, html_text, mixing, ngram_join, quality_model, quality_rules, toxicity
+from opsframe.llm import bpe, chat_format, exact_dedup, html_text, mixing, ngram_join, pseudonyms, quality_model, quality_rules, toxicity
 from opsframe.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -106,3 +106,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     return chat_format.read_back(chat_format.format_conversations(conversations))
+
+
+# A key for trials. In production, pass one from the cluster's secret store.
+TRIAL_KEY = b"a key for trials only"
+
+
+@query("op1_pii_pseudonyms")
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), TRIAL_KEY)
