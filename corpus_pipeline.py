@@ -1,21 +1,54 @@
-"""A training corpus from the documents: stages that each write Parquet and read what the stage before has written."""
+"""A training corpus from the documents: stages that each write Parquet and read what the stage before has written.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
+columns of ``docs``; the last gives token ids.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import exact_dedup
+from opsframe.llm import bpe, exact_dedup, mixing, ngram_join, quality_model
 from opsframe.llm.common import settle, table
 
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality_model.keep_good(docs, table(spark, sf_dir, "labels"))
+
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id stays."""
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("exact dedup", distinct_texts)]
+def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similar shingles, the one with the smallest id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: none, one or two rows."""
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the mix, with the digest of what they decode to."""
+    return bpe.digests(docs, bpe.read_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("exact dedup", distinct_texts),
+    ("n-gram Jaccard join", one_of_similar),
+    ("mixing sources to target weights", mixed),
+    ("byte-level BPE encoding and decoding", tokens),
+]
 
-# The classifier is a trained model, which SQL cannot express.
+# The classifier is a trained model, which SQL cannot express; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
