@@ -13,7 +13,11 @@ from opsframe.functions import scalars as S
 # Required folders, marker files, the template's files and the folder of compiled files.
 REQUIRED_FOLDERS = ("common_jdk", "hadoop", "kafka_kraft", "elasticsearch", "python")
 STORAGE_MARKER = "VERSION"
-MARKERS = {"hadoop_config": "core-site.xml", "namenode": "VERSION", "kafka": "meta.properties"}
+MARKERS = {
+    "hadoop_config": "etc/hadoop/core-site.xml",
+    "namenode": "hdfs/namenode/current/VERSION",
+    "kafka": "data/data_kraft/meta.properties",
+}
 TEMPLATE_FILES = ("mapper.py", "reducer.py")
 EXERCISE_PREFIX = "Ejercicio_"
 DEFAULT_DATASET = "input.txt"
@@ -87,11 +91,16 @@ def namenode_state(units: DataFrame, files: DataFrame, by: Sequence[str] = ("hos
 
 
 def setup_readiness(
-    files: DataFrame, markers: Mapping[str, str] = MARKERS, by: Sequence[str] = ("host",), column: str = "name"
+    units: DataFrame, files: DataFrame, markers: Mapping[str, str] = MARKERS, by: Sequence[str] = ("host",), column: str = "path"
 ) -> DataFrame:
-    """One flag per marker file, the missing ones, and whether setup is still needed."""
-    flags = [F.max(F.col(column) == path).alias(flag) for flag, path in markers.items()]
-    ready = files.groupBy(*by).agg(*flags)
+    """One flag per marker file, the missing ones, and whether setup is still needed, for every unit.
+
+    A marker is the end of a path (``MARKERS``). A unit without files needs setup.
+    """
+    here = F.concat(F.lit("/"), F.col(column))
+    flags = [F.max(here.endswith(f"/{path}") & (F.col("type") == "FILE")).alias(flag) for flag, path in markers.items()]
+    seen = units.select(*by).distinct().join(files.groupBy(*by).agg(*flags), list(by), "left")
+    ready = seen.select(*by, *[F.coalesce(flag, F.lit(False)).alias(flag) for flag in markers])
     missing = F.array_compact(F.array(*[F.when(~F.col(flag), flag) for flag in sorted(markers)]))
     return ready.withColumn("missing", missing).withColumn("setup_needed", F.size("missing") > 0)
 
@@ -133,10 +142,13 @@ def _exercise_rows(files: DataFrame, prefix: str) -> DataFrame:
 
 
 def dir_match_count(paths: DataFrame, folder: str = CACHE_FOLDER, by: Sequence[str] = ("host",)) -> DataFrame:
-    """Folders of a name anywhere in the tree; a match inside another match does not count."""
-    topmost = F.regexp_extract("path", f"^(.*?/{folder})(/|$)", 1)
-    found = paths.select(*by, topmost.alias("_match")).filter(F.col("_match") != "")
-    return found.groupBy(*by).agg(F.countDistinct("_match").alias("matches"))
+    """Folders of a name anywhere in the tree, 0 where there is none; a match inside another match does not count.
+
+    A path shows the folders above its own entry; a file of that name is no match.
+    """
+    place = F.when(F.col("type") == "DIRECTORY", F.concat("path", F.lit("/"))).otherwise(F.col("path"))
+    topmost = F.nullif(F.regexp_extract(place, f"^(.*?/{folder})/", 1), F.lit(""))
+    return paths.groupBy(*by).agg(F.countDistinct(topmost).alias("matches"))
 
 
 def dir_rollup(files: DataFrame, path: str = "path", length: str = "length") -> DataFrame:
@@ -150,7 +162,8 @@ def dir_rollup(files: DataFrame, path: str = "path", length: str = "length") ->
     ancestor = F.explode(
         F.transform(F.sequence(F.lit(0), depth), lambda n: F.array_join(F.slice(parts, 1, n + 1), "/"))
     )
-    rows = files.select(ancestor.alias("_prefix"), F.col(length).alias("_length"))
+    inside = files.filter(F.col("type") == "FILE")
+    rows = inside.select(ancestor.alias("_prefix"), F.col(length).alias("_length"))
     prefix = F.when(F.col("_prefix") == "", "/").otherwise(F.col("_prefix"))
     return rows.groupBy(prefix.alias("dir")).agg(
         F.sum("_length").cast("bigint").alias("bytes"), F.count("*").alias("files")
@@ -184,8 +197,8 @@ def registration_order(df: DataFrame, ordinal: str = "ordinal", reverse: bool =
 def first_by_name(
     files: DataFrame, matches: Column, default: str | None = DEFAULT_DATASET, by: Sequence[str] = ("host",)
 ) -> DataFrame:
-    """First matching name of each folder in byte order, else a default."""
-    first = F.min(F.when(matches, F.col("name")))
+    """First matching file of each folder in byte order, else a default; directories do not match."""
+    first = F.min(F.when(matches & (F.col("type") == "FILE"), F.col("name")))
     return files.groupBy(*by).agg(F.coalesce(first, F.lit(default)).alias("name"))
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from opsframe.functions import scalars as S
 from opsframe.operators.ordered import latest_by
-from opsframe.plans.session import broadcast_checked
 
 # Default settings, and the active settings line that gets a value without blanks.
 DEFAULT_LANGUAGE = "es"
@@ -82,9 +81,9 @@ def checksum_audit(digests: DataFrame, expected: DataFrame, on: Sequence[str]) -
 def release_lookup(hosts: DataFrame, manifest: DataFrame) -> DataFrame:
     """The release of each host's system and architecture.
 
-    There are few platforms and one may have most of the hosts, so the manifest is broadcast where it is small.
+    There are few platforms and one may have most of the hosts; AQE broadcasts a small manifest or splits the hosts.
     """
-    return hosts.join(broadcast_checked(manifest), ["os", "arch"])
+    return hosts.join(manifest, ["os", "arch"])
 
 
 def release_drift(hosts: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -119,9 +118,8 @@ def line_rewrite(
     left alone, so a second pass changes nothing.
     """
     new = prefix + value
-    # Few files or none before the first pass, and then no line is shuffled.
     found = lines.filter(F.contains("line", F.lit(new))).select(key).distinct()
-    done = broadcast_checked(found.withColumn("_done", F.lit(True)))
+    done = found.withColumn("_done", F.lit(True))
     quoted = new.replace("\\", "\\\\").replace("$", "\\$")
     rewritten = F.when(F.col("_done").isNull(), F.regexp_replace("line", pattern, quoted)).otherwise(F.col("line"))
     rows = lines.join(done, key, "left").withColumn("_line", rewritten)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from opsframe.functions import scalars as S
 from opsframe.operators.ordered import CHUNK, Fold, newest_rows, running
-from opsframe.plans.session import broadcast_checked
 
 # Retention sizes, and the rows that separate the steps of a run.
 RING_SIZE = 2000
@@ -72,13 +71,13 @@ def ring_buffer(lines: DataFrame, n: int = RING_SIZE) -> DataFrame:
 
 def tail_lines(lines: DataFrame, failed: DataFrame, k: int = 60) -> DataFrame:
     """Last ``k`` lines of the services in ``failed``."""
-    wanted = broadcast_checked(failed.select("service").distinct())
+    wanted = failed.select("service").distinct()
     return newest_rows(lines.join(wanted, "service", "left_semi"), ["service"], ["ts", "seq"], k)
 
 
 def since_clear(lines: DataFrame, clears: DataFrame) -> DataFrame:
     """Lines after the last clear mark (``service, seq``) of their service; all where there is none."""
-    marks = broadcast_checked(clears.groupBy("service").agg(F.max("seq").alias("_mark")))
+    marks = clears.groupBy("service").agg(F.max("seq").alias("_mark"))
     kept = lines.join(marks, "service", "left").filter(F.col("_mark").isNull() | (F.col("seq") > F.col("_mark")))
     return kept.select(*lines.columns)
 

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.operators.ordered import CHUNK, Fold, latest_by, running
-from opsframe.plans.session import broadcast_checked
 
-# Texts of a stopped service and of a captured link, and reason phrases of HTTP answers that
+# Texts of a stopped service, a captured link and an open port, and reason phrases of HTTP answers that
 # newer standards renamed.
 STOPPED = "detenido"
 URL_READY = "URL lista"
+TCP_WELL = "tcp ok"
 NO_PID = "—"
 OLDER_PHRASES = {
     413: "Request Entity Too Large",
@@ -50,13 +50,14 @@ def probe_verdict(probes: DataFrame) -> DataFrame:
     """Health of raw probe records ``(kind, status_code, connected, error)``; other columns are kept.
 
     HTTP is healthy for codes 200 to 399 without an error, TCP when connected. The detail is the error, or for
-    HTTP the reason phrase.
+    HTTP the reason phrase, for a healthy TCP probe the text of an open port.
     """
     http = F.col("kind") == "http"
     failed = F.coalesce(F.col("error"), F.lit("")) != ""
     answered = F.coalesce(F.col("status_code").between(200, 399), F.lit(False))
     healthy = ~failed & F.when(http, answered).otherwise(F.coalesce(F.col("connected"), F.lit(False)))
-    detail = F.when(failed, F.col("error")).when(http, status_text(F.col("status_code"))).otherwise("")
+    detail = F.when(failed, F.col("error")).when(http, status_text(F.col("status_code")))
+    detail = detail.otherwise(F.when(healthy, TCP_WELL).otherwise(""))
     return probes.withColumn("healthy", healthy).withColumn("detail", detail)
 
 
@@ -94,19 +95,12 @@ def service_overview(services: DataFrame, latest: DataFrame) -> DataFrame:
     )
 
 
-# Ids per map of statuses, about.
-MAP_SIZE = 1000
+def statuses_map(latest: DataFrame, shard_chars: int = 2) -> DataFrame:
+    """Latest statuses as maps from id to status, one for each shard of the ids.
 
-
-def statuses_map(latest: DataFrame, size: int = MAP_SIZE) -> DataFrame:
-    """Latest statuses as maps from id to status: one map, or one per shard where there are many ids.
-
-    One map for a whole fleet would be one row in one task, so beyond ``size`` ids they are split by the leading
-    hex digits of their MD5, as many digits as it takes. The union of the maps is the whole table.
+    One map for a whole fleet would be one row in one task, so ids are split by the leading ``shard_chars`` hex digits
+    of their MD5, whatever their number: 256 maps by default. The union of the maps is the whole table.
     """
-    ids, shard_chars = latest.count(), 0
-    while size * 16**shard_chars < ids:
-        shard_chars += 1
     others = [name for name in latest.columns if name != "id"]
     entry = F.struct(F.col("id"), F.struct(*others).alias("status"))
     shard = F.substring(F.md5(F.col("id").cast("binary")), 1, shard_chars)
@@ -128,14 +122,13 @@ def probe_latency(probes: DataFrame, quantiles: Sequence[float] = (0.5, 0.95), w
     Works on counts per distinct latency, so repeated values collapse before the shuffle; ranks come from a
     running total in chunks of the latency axis. No task holds a whole service.
     """
-    counts = probes.groupBy("id", "latency_us").agg(F.count("*").alias("_n"))
-    # One row per service. Broadcast where that is few, so that the ranks are partly aggregated where they are.
-    totals = broadcast_checked(
-        probes.groupBy("id").agg(
-            F.count("*").alias("probes"),
-            F.sum("latency_us").alias("_sum"),
-            F.sum(F.col("healthy").cast("bigint")).alias("_ok"),
-        )
+    counts = probes.groupBy("id", "latency_us").agg(
+        F.count("*").alias("_n"), F.sum(F.col("healthy").cast("bigint")).alias("_well")
+    )
+    totals = counts.groupBy("id").agg(
+        F.sum("_n").alias("probes"),
+        F.sum(F.col("_n") * F.col("latency_us")).alias("_sum"),
+        F.coalesce(F.sum("_well"), F.lit(0)).alias("_ok"),
     )
     ranked = running(counts, ["id"], "latency_us", {"_upto": Fold("sum", F.col("_n"))}, width)
 

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Positions per part of a run's error text.
-PART = 10_000
-
 
 def all_steps_done(steps: DataFrame) -> DataFrame:
     """Is a run complete, and how many of its steps are in each state?"""
@@ -19,16 +16,19 @@ def all_steps_done(steps: DataFrame) -> DataFrame:
     return steps.groupBy("run_id").agg(done.alias("complete"), *counts)
 
 
-def collect_errors(steps: DataFrame, part: int = PART) -> DataFrame:
+def collect_errors(steps: DataFrame) -> DataFrame:
+    """Errors of all runs, one row each (``run_id, pos, error``); a run of any length is as many rows."""
+    return steps.filter(F.col("error").isNotNull()).select("run_id", "pos", "error")
+
+
+def error_texts(steps: DataFrame) -> DataFrame:
     """Errors of a run in order, joined by newlines; null where a run has none.
 
-    The text of a long run comes in parts of ``part`` positions, so that no task gathers a whole run; the parts
-    joined by newlines, in order and without the null ones, are the run's text.
+    The text is one value, so a run must fit into a row (2 GB); ``collect_errors`` has no such bound.
     """
-    at = F.floor(F.col("pos") / F.lit(part)).cast("bigint").alias("part")
     listed = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("pos", "error"))))
     text = F.array_join(F.transform(listed, lambda row: row["error"]), "\n")
-    return steps.groupBy("run_id", at).agg(F.nullif(text, F.lit("")).alias("errors"))
+    return steps.groupBy("run_id").agg(F.nullif(text, F.lit("")).alias("errors"))
 
 
 def until_first_failure(steps: DataFrame) -> DataFrame:

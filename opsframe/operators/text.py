@@ -48,14 +48,16 @@ def pipe_mapreduce(
     """
     spark = lines.sparkSession
     text = lines.columns[0]
-    step = mapper if combiner is None else f"{mapper} | LC_ALL=C sort | {combiner}"
 
     def pipe(rows: DataFrame, command: str) -> DataFrame:
         printed = rows.rdd.map(lambda row: row[0]).pipe(f"sh -c {shlex.quote(command)}", checkCode=True)
         return spark.createDataFrame(printed.map(lambda line: (line,)), "line STRING")
 
     key = F.substring_index("line", "\t", 1)
-    mapped = pipe(lines.select(text), step).withColumn("_key", key)
+    mapped = pipe(lines.select(text), mapper).withColumn("_key", key)
+    if combiner is not None:
+        # A pipe of its own, on the task's lines as Spark sorts them: each program's status counts.
+        mapped = pipe(mapped.sortWithinPartitions("_key").select("line"), combiner).withColumn("_key", key)
     shuffled = mapped.repartition(partitions, "_key") if partitions else mapped.repartition("_key")
     reduced = pipe(shuffled.sortWithinPartitions("_key").select("line"), reducer)
     value = F.substring(F.col("line"), F.length(key) + 2, F.length("line"))

@@ -226,14 +226,22 @@ def _(v):
 
 @query(
     "collect_errors",
-    """SELECT run_id, CAST(pos // 10000 AS BIGINT) AS part, string_agg(error, chr(10) ORDER BY pos) AS errors
-FROM steps GROUP BY ALL""",
+    "SELECT run_id, pos, error FROM steps WHERE error IS NOT NULL",
     "steps",
 )
 def _(v):
     return steps.collect_errors(v["steps"])
 
 
+@query(
+    "error_texts",
+    "SELECT run_id, string_agg(error, chr(10) ORDER BY pos) AS errors FROM steps GROUP BY run_id",
+    "steps",
+)
+def _(v):
+    return steps.error_texts(v["steps"])
+
+
 @query(
     "until_first_failure",
     """SELECT run_id, pos, status, CASE WHEN coalesce(sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) OVER (

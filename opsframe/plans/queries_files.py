@@ -96,18 +96,23 @@ def _(v):
 
 @query(
     "setup_readiness",
-    """SELECT host, dir, bool_or(name = 'core-site.xml') AS hadoop_config, bool_or(name = 'VERSION') AS namenode,
-       bool_or(name = 'meta.properties') AS kafka,
-       concat_ws(',', CASE WHEN NOT bool_or(name = 'core-site.xml') THEN 'hadoop_config' END,
-                 CASE WHEN NOT bool_or(name = 'meta.properties') THEN 'kafka' END,
-                 CASE WHEN NOT bool_or(name = 'VERSION') THEN 'namenode' END) AS missing,
-       NOT (bool_or(name = 'core-site.xml') AND bool_or(name = 'VERSION') AND bool_or(name = 'meta.properties'))
-         AS setup_needed
-FROM files GROUP BY host, dir""",
+    """SELECT host, dir, hadoop_config, namenode, kafka,
+       concat_ws(',', CASE WHEN NOT hadoop_config THEN 'hadoop_config' END, CASE WHEN NOT kafka THEN 'kafka' END,
+                 CASE WHEN NOT namenode THEN 'namenode' END) AS missing,
+       NOT (hadoop_config AND namenode AND kafka) AS setup_needed
+FROM (SELECT u.host, u.dir, coalesce(bool_or(name = 'core-site.xml' AND type = 'FILE'), false) AS hadoop_config,
+             coalesce(bool_or(name = 'VERSION' AND type = 'FILE'), false) AS namenode,
+             coalesce(bool_or(name = 'meta.properties' AND type = 'FILE'), false) AS kafka
+      FROM (SELECT host, dir FROM files UNION SELECT host, 'new' FROM files) u
+      LEFT JOIN files f ON f.host = u.host AND f.dir = u.dir GROUP BY u.host, u.dir)""",
     "files",
 )
 def _(v):
-    return catalog.setup_readiness(v["files"], by=PLACE).withColumn("missing", F.array_join("missing", ","))
+    # Every host has a folder that nothing has been written to yet.
+    units = v["files"].select(*PLACE).unionByName(v["files"].select("host", F.lit("new").alias("dir")))
+    markers = {"hadoop_config": "core-site.xml", "namenode": "VERSION", "kafka": "meta.properties"}
+    ready = catalog.setup_readiness(units, v["files"], markers, PLACE)
+    return ready.withColumn("missing", F.array_join("missing", ","))
 
 
 @query(
@@ -136,8 +141,8 @@ def _(v):
 
 @query(
     "dir_match_count",
-    r"""SELECT host, count(DISTINCT regexp_extract(path, '^(.*?/__pycache__)(/|$)', 1)) AS matches FROM files
-WHERE path LIKE '%/\_\_pycache\_\_/%' ESCAPE '\' GROUP BY host""",
+    r"""SELECT host, count(DISTINCT nullif(regexp_extract(CASE WHEN type = 'DIRECTORY' THEN path || '/' ELSE path END,
+       '^(.*?/__pycache__)/', 1), '')) AS matches FROM files GROUP BY host""",
     "files",
 )
 def _(v):
@@ -150,7 +155,7 @@ def _(v):
        count(*) AS files
 FROM (SELECT length, array_to_string(parts[1:n], '/') AS prefix
       FROM (SELECT length, string_split(path, '/') AS parts,
-                   unnest(range(1, len(string_split(path, '/')))) AS n FROM files))
+                   unnest(range(1, len(string_split(path, '/')))) AS n FROM files WHERE type = 'FILE'))
 GROUP BY prefix""",
     "files",
 )
@@ -165,7 +170,7 @@ def _(v):
 
 @query(
     "first_by_name",
-    """SELECT host, dir, coalesce(min(name) FILTER (WHERE lower(name) LIKE '%.csv'), 'input.txt') AS name
+    """SELECT host, dir, coalesce(min(name) FILTER (WHERE type = 'FILE' AND lower(name) LIKE '%.csv'), 'input.txt') AS name
 FROM files GROUP BY host, dir""",
     "files",
 )

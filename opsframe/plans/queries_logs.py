@@ -178,7 +178,7 @@ FROM {steps} CROSS_NUMBERS WHERE n < 2 OR status = 'failed' OR NOT graceful"""
 @query(
     "step_runs",
     """SELECT concat('run', run_id) AS service, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS segment,
-       concat('step ', pos) AS title, pos AS n, 7 AS total, CAST(pos * 10 AS BIGINT) AS first_line,
+       concat('step ', pos) AS title, CAST(pos AS INTEGER) AS n, 7 AS total, CAST(pos * 10 AS BIGINT) AS first_line,
        CASE WHEN status = 'failed' OR NOT graceful THEN 3::BIGINT ELSE 2 END AS lines, error AS message,
        CASE WHEN status = 'failed' THEN 'failed' WHEN NOT graceful THEN 'done' ELSE 'open' END AS outcome
 FROM steps""",

@@ -13,7 +13,7 @@ BADGE = "CASE WHEN NOT coalesce(running, false) THEN 'stopped' WHEN healthy THEN
 LATEST = "(SELECT * FROM status QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)"
 VERDICT = """(SELECT *, error IS NULL AND CASE WHEN kind = 'http' THEN status_code BETWEEN 200 AND 399
                                               ELSE connected END AS well,
-       CASE WHEN error IS NOT NULL THEN error WHEN kind = 'tcp' THEN ''
+       CASE WHEN error IS NOT NULL THEN error WHEN kind = 'tcp' THEN CASE WHEN connected THEN 'tcp ok' ELSE '' END
             WHEN status_code = 200 THEN 'OK' WHEN status_code = 302 THEN 'Found'
             WHEN status_code = 404 THEN 'Not Found' ELSE 'Service Unavailable' END AS detail FROM probes)"""
 SIX_HOURS = 6 * 3600
@@ -86,9 +86,7 @@ def _(v):
 
 @query(
     "statuses_map",
-    f"""SELECT substr(md5(id), 1, (SELECT CASE WHEN n <= 1000 THEN 0 WHEN n <= 16000 THEN 1 WHEN n <= 256000 THEN 2
-         WHEN n <= 4096000 THEN 3 WHEN n <= 65536000 THEN 4 ELSE 5 END FROM (SELECT count(DISTINCT id) AS n FROM status)))
-         AS shard, count(*) AS services,
+    f"""SELECT substr(md5(id), 1, 2) AS shard, count(*) AS services,
        string_agg(concat(id, '=', pid, CASE WHEN running THEN '+' ELSE '-' END), ',' ORDER BY id) AS statuses
 FROM {LATEST} GROUP BY ALL""",
     "status",

@@ -1,4 +1,4 @@
-"""Session settings, shared scratch folders and checked broadcasts."""
+"""Session settings and shared scratch folders."""
 
 from __future__ import annotations
 
@@ -8,11 +8,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows below which a side may be broadcast: at about 100 bytes a row this stays near 10 MB.
-BROADCAST_ROWS = 100_000
+from pyspark.sql import SparkSession
 
 
 def ship(module: str) -> None:
@@ -40,25 +36,13 @@ def local_session(app: str = "opsframe", cores: str | None = None) -> SparkSessi
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder that every executor can reach.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests, is a local temporary folder used.
+    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a local session may leave it unset, and then
+    gets a temporary folder: on a cluster each executor would see its own.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), name)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows, else leave the join to Catalyst and AQE.
-
-    For small results of large aggregations, whose size Catalyst cannot estimate: without the hint the
-    large side of the next join would be shuffled before AQE could see how small this side is. The check
-    reads at most ``max_rows + 1`` rows; the result is kept in the cache so that it is not computed twice
-    (a lost executor only means that its part is computed again).
-    """
-    kept = df.persist()
-    if kept.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(kept)
-    kept.unpersist()
-    return df

@@ -39,8 +39,9 @@ def parse_lsof(lines: DataFrame, by: Sequence[str] = ("port",)) -> DataFrame:
 
 
 def parse_tasklist(lines: DataFrame, column: str = "line") -> DataFrame:
-    """Process names by pid from CSV rows; blank and ``INFO:`` lines hold none."""
-    text = F.trim(F.col(column))
+    """Process names by pid from CSV rows; lines that are blank, ``INFO:`` or without a numeric pid hold none."""
+    text = F.btrim(F.col(column), F.lit(" \t\r\n\x0b\x0c"))
     rows = lines.filter((text != "") & ~text.startswith("INFO:"))
     parsed = rows.select(F.from_csv(text, schemas.TASKLIST).alias("_p"))
-    return parsed.select(S.to_int(F.col("_p.pid")).alias("pid"), F.col("_p.image").alias("image"))
+    named = parsed.select(S.to_int(F.col("_p.pid")).alias("pid"), F.col("_p.image").alias("image"))
+    return named.filter(F.col("pid").isNotNull())

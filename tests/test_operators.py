@@ -47,6 +47,13 @@ def test_failing_program_fails_the_job(spark):
     lines = spark.createDataFrame([("a",)], "text STRING")
     with pytest.raises(Exception):
         text.pipe_mapreduce(lines, "exit 3", "cat").collect()
+    for mapper, reducer, combiner in (
+        ("echo a; exit 3", "cat", "cat"),
+        ("cat", "cat", "cat > /dev/null; exit 4"),
+        ("cat", "cat > /dev/null; exit 5", "cat"),
+    ):
+        with pytest.raises(Exception, match="status|exit"):
+            text.pipe_mapreduce(lines, mapper, reducer, combiner).collect()
 
 
 def test_slices_hold_whole_lines(monkeypatch):
@@ -204,7 +211,7 @@ def test_probe_verdict(spark):
         2: (True, ""),
         3: (False, "Bad Request"),
         4: (False, "refused"),
-        5: (True, ""),
+        5: (True, "tcp ok"),
         6: (False, "timeout"),
         7: (True, "Found"),
     }
@@ -228,10 +235,10 @@ def test_overview_and_maps(spark):
     services = spark.createDataFrame([("a", 1), ("b", 2)], "id STRING, port INT")
     latest = spark.createDataFrame([("a", True, True, 7)], "id STRING, running BOOLEAN, healthy BOOLEAN, pid INT")
     assert rows(status.service_overview(services, latest)) == [("a", 1, "healthy", "7"), ("b", 2, "stopped", "—")]
-    one = status.statuses_map(latest).first()
+    one = status.statuses_map(latest, 0).first()
     assert one.shard == "" and one.statuses["a"].pid == 7
     many = spark.range(100).selectExpr("concat('s', id) AS id", "true AS running")
-    maps = status.statuses_map(many, 10).collect()
+    maps = status.statuses_map(many, 1).collect()
     assert {len(m.shard) for m in maps} == {1}
     assert sorted(key for m in maps for key in m.statuses) == sorted(f"s{n}" for n in range(100))
 
@@ -389,9 +396,16 @@ def test_missing_and_ready(spark):
         ("a", True, []),
         ("b", False, sorted(catalog.REQUIRED_FOLDERS)),
     ]
-    files = spark.createDataFrame([("a", n) for n in ("core-site.xml", "VERSION")], "host STRING, name STRING")
-    row = catalog.setup_readiness(files).first()
-    assert (row.hadoop_config, row.kafka, row.missing, row.setup_needed) == (True, False, ["kafka"], True)
+    there = ["/opt/etc/hadoop/core-site.xml", "/d/hdfs/datanode/current/VERSION", "/d/hdfs/namenode/current/VERSION"]
+    files = spark.createDataFrame([("a", p, "FILE") for p in there], "host STRING, path STRING, type STRING")
+    ready = {r.host: r for r in catalog.setup_readiness(units, files).collect()}
+    assert (ready["a"].hadoop_config, ready["a"].namenode, ready["a"].missing) == (True, True, ["kafka"])
+    assert ready["b"].setup_needed and len(ready["b"].missing) == 3
+    # The marker of a data node is none of a name node, and a directory is no marker.
+    other = spark.createDataFrame(
+        [("a", there[1], "FILE"), ("a", there[2], "DIRECTORY")], "host STRING, path STRING, type STRING"
+    )
+    assert not catalog.setup_readiness(units.filter("host = 'a'"), other).first().namenode
 
 
 def test_missing_prereqs(spark):
@@ -403,14 +417,17 @@ def test_missing_prereqs(spark):
 def test_paths(spark):
     paths = spark.createDataFrame(
         [
-            ("h", "/p/__pycache__/x/__pycache__/a", 1),
-            ("h", "/p/__pycache__/b", 2),
-            ("h", "/q/__pycache__", 4),
-            ("h", "/q/not__pycache__/c", 8),
+            ("h", "/p/__pycache__/x/__pycache__/a", 1, "FILE"),
+            ("h", "/p/__pycache__/b", 2, "FILE"),
+            ("h", "/q/__pycache__", 4, "FILE"),
+            ("h", "/r/__pycache__", 16, "DIRECTORY"),
+            ("h", "/q/not__pycache__/c", 8, "FILE"),
+            ("i", "/q/c", 8, "FILE"),
         ],
-        "host STRING, path STRING, length BIGINT",
+        "host STRING, path STRING, length BIGINT, type STRING",
     )
-    assert rows(catalog.dir_match_count(paths)) == [("h", 2)]
+    assert rows(catalog.dir_match_count(paths)) == [("h", 2), ("i", 0)]
+    paths = paths.filter("host = 'h'")
     sums = {r.dir: (r.bytes, r.files) for r in catalog.dir_rollup(paths).collect()}
     assert sums["/"] == (15, 4) and sums["/p"] == (3, 2) and sums["/q"] == (12, 2)
     assert sums["/p/__pycache__"] == (3, 2) and "/q/__pycache__" not in sums
@@ -427,11 +444,12 @@ def test_dir_first_sort(spark):
 def test_names(spark):
     files = spark.createDataFrame(
         [("x", "b.CSV"), ("x", "c.csv"), ("x", ".hidden.csv"), ("y", "readme")], "host STRING, name STRING"
-    )
-    first = catalog.first_by_name(catalog.visible_files(files), catalog.is_csv(F.col("name")))
+    ).withColumn("type", F.lit("FILE"))
+    folder = spark.createDataFrame([("x", "a.csv", "DIRECTORY")], files.schema)
+    first = catalog.first_by_name(catalog.visible_files(files.union(folder)), catalog.is_csv(F.col("name")))
     assert rows(first) == [("x", "b.CSV"), ("y", "input.txt")]
-    assert rows(catalog.name_match(files, suffix=".csv", but_not="c.csv")) == [("x", ".hidden.csv"), ("x", "b.CSV")]
-    assert rows(catalog.name_match(files, glob=r"^hadoop-|^read")) == [("y", "readme")]
+    assert rows(catalog.name_match(files, suffix=".csv", but_not="c.csv")) == [("x", ".hidden.csv", "FILE"), ("x", "b.CSV", "FILE")]
+    assert rows(catalog.name_match(files, glob=r"^hadoop-|^read")) == [("y", "readme", "FILE")]
     assert [r.name for r in catalog.sort_by_id(files, "name").collect()] == [".hidden.csv", "b.CSV", "c.csv", "readme"]
 
 
@@ -465,10 +483,9 @@ def test_steps(spark):
 
 def test_collect_errors(spark):
     four = steps_of(spark, "failed", "done", "failed", "done")
-    assert rows(steps.collect_errors(four)) == [("r", 0, "e1\ne3")]
-    parts = steps.collect_errors(four, part=2).orderBy("part").collect()
-    assert [(r.part, r.errors) for r in parts] == [(0, "e1"), (1, "e3"), (2, None)]
-    assert steps.collect_errors(steps_of(spark, "done")).first().errors is None
+    assert [r.error for r in steps.collect_errors(four).orderBy("pos").collect()] == ["e1", "e3"]
+    assert rows(steps.error_texts(four)) == [("r", "e1\ne3")]
+    assert steps.error_texts(steps_of(spark, "done")).first().errors is None
 
 
 # Settings

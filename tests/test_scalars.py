@@ -82,9 +82,11 @@ def test_escape_path(spark):
 @pytest.mark.parametrize(
     "path, uri",
     [
-        ("D:\\data\\X", "file:///D:/data/X"),
-        ("/Users/a/B", "file:///Users/a/B"),
-        ("C:\\path with spaces\\b", "file:///C:/path with spaces/b"),
+        ("/", "file:///"),
+        ("e:\\", "file:///e:/"),
+        ("/srv/lago\\azul/", "file:///srv/lago/azul/"),
+        ("/año/κόσμος.txt", "file:///año/κόσμος.txt"),
+        ("/mixed\\up/one", "file:///mixed/up/one"),
     ],
 )
 def test_file_uri(spark, path, uri):
