@@ -58,19 +58,17 @@ def _(v):
 
 @query(
     "stream_tick_windows",
-    """SELECT date_trunc('day', ts) AS start, user_id AS host, arg_max(cents, ts) AS last,
+    """SELECT time_bucket(INTERVAL 2 SECOND, ts) AS start, user_id AS host, arg_max(cents, ts) AS last,
        CAST(sum(cents) AS DOUBLE) / count(*) AS mean, max(cents) AS largest
 FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM events)
-GROUP BY date_trunc('day', ts), user_id
-HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 SECOND FROM events)""",
+GROUP BY ALL""",
 )
 def _(v):
     place = scratch(v.spark, "stream")
     cents = F.round(F.col("value") * 100).cast("bigint").alias("value")
     samples = events_stream(v).select("ts", F.col("user_id").alias("host"), cents)
-    windows = live.tick_windows(samples, every="1 day")
-    finish(live.to_table(windows, f"{place}/checkpoint", f"{place}/out"))
-    return v.spark.read.parquet(f"{place}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    finish(live.write_ticks(live.tick_windows(samples), place))
+    return live.read_ticks(v.spark, place).select("start", "host", "last", "mean", "largest")
 
 
 @query("stream_time_to_healthy", ORACLES["time_to_healthy"])
@@ -92,8 +90,8 @@ def _(v):
 @query("snapshot_then_follow", "SELECT service, seq, ts, stream, text FROM log_lines", "log_lines")
 def _(v):
     place = scratch(v.spark, "stream")
-    finish(live.to_table(live.follow(stream_view(v, "log_lines")), f"{place}/checkpoint", f"{place}/out"))
-    return v.spark.read.parquet(f"{place}/out")
+    finish(live.follow(stream_view(v, "log_lines"), place)[0])
+    return v.spark.read.parquet(f"{place}/out").drop("batch")
 
 
 @query("stream_state_flips", ORACLES["state_flips"])

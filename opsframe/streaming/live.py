@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -46,10 +47,18 @@ class State:
 
     def write(self, batch: int, state: DataFrame) -> None:
         state.write.mode("overwrite").parquet(self._slot(batch))
+        mark = self.spark.range(1).select(F.lit(batch).alias("batch"))
+        mark.write.mode("overwrite").parquet(f"{self.path}/written/{batch % 2}")
         self.last = batch
 
     def now(self) -> DataFrame:
-        """State after the last batch of this run."""
+        """State after the last batch, also of an earlier run."""
+        if self.last is None:
+            try:
+                marks = self.spark.read.schema("batch INT").parquet(f"{self.path}/written/*")
+                self.last = marks.agg(F.max("batch")).first()[0]
+            except AnalysisException:  # nothing has been written yet
+                pass
         return self.before(0 if self.last is None else self.last + 1)
 
 
@@ -123,7 +132,11 @@ def read_latest(spark: SparkSession, place: str) -> DataFrame:
 def tick_windows(
     samples: DataFrame, value: str = "value", every: str = TICK, lateness: str = LATENESS
 ) -> DataFrame:
-    """Last, mean and largest value per host and tick; a window is given out once it cannot change any more."""
+    """Last, mean and largest value per host and tick.
+
+    ``write_ticks`` and ``read_ticks`` keep a table in which open windows are up to date; rows correct their window
+    until the watermark closes it.
+    """
     timed = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     ticks = timed.groupBy(F.window("ts", every), "host").agg(
         F.max_by(value, "ts").alias("last"),
@@ -140,6 +153,21 @@ def tick_windows(
     )
 
 
+def write_ticks(windows: DataFrame, place: str, trigger: Mapping = ONCE) -> StreamingQuery:
+    """Each batch writes the windows that it changed."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        _put(batch, f"{place}/out", number)
+
+    writer = windows.writeStream.foreachBatch(step).outputMode("update")
+    return writer.option("checkpointLocation", f"{place}/checkpoint").trigger(**trigger).start()
+
+
+def read_ticks(spark: SparkSession, place: str) -> DataFrame:
+    """All windows as the last batch that changed them left them."""
+    return latest_by(spark.read.parquet(f"{place}/out"), ["start", "host"], "batch").drop("batch")
+
+
 def time_to_healthy(
     samples: DataFrame,
     place: str,
@@ -177,11 +205,24 @@ def time_to_healthy(
     return each_batch(samples, f"{place}/checkpoint", step, trigger), state
 
 
-def follow(lines: DataFrame, lateness: str = LATENESS, keys: Sequence[str] = ("service", "seq")) -> DataFrame:
-    """History first, then only new lines: one checkpointed stream without repeated lines."""
-    timed = lines.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    once = timed.dropDuplicatesWithinWatermark(list(keys))
-    return once.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+def follow(lines: DataFrame, place: str, trigger: Mapping = ONCE) -> tuple[StreamingQuery, State]:
+    """History first, then only new lines (``{place}/out``), however late a service's lines come.
+
+    Lines of a service come in the order of ``seq``; what is not above the highest number seen is a repeat. The
+    state is one row per service.
+    """
+    state = State(lines.sparkSession, f"{place}/state", "service STRING, seq BIGINT")
+
+    def step(batch: DataFrame, number: int) -> None:
+        seen = state.before(number)
+        marks = seen.select("service", F.col("seq").alias("_mark"))
+        fresh = batch.dropDuplicates(["service", "seq"]).join(marks, "service", "left")
+        fresh = fresh.filter(F.col("_mark").isNull() | (F.col("seq") > F.col("_mark"))).select(*batch.columns)
+        _put(fresh, f"{place}/out", number)
+        both = seen.unionByName(batch.select("service", "seq"))
+        state.write(number, both.groupBy("service").agg(F.max("seq").alias("seq")))
+
+    return each_batch(lines, f"{place}/checkpoint", step, trigger), state
 
 
 def state_flips(

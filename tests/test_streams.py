@@ -48,8 +48,8 @@ def test_log_levels_and_follow(spark, sf_dir, place):
     live.to_table(live.log_levels(stream, "error"), f"{place}/c1", f"{place}/o1").awaitTermination()
     want = logs.console_filter(logs.classify_level(full), "error")
     assert rows(spark.read.parquet(f"{place}/o1")) == rows(want)
-    live.to_table(live.follow(stream), f"{place}/c2", f"{place}/o2").awaitTermination()
-    assert rows(spark.read.parquet(f"{place}/o2")) == rows(full)
+    live.follow(stream, f"{place}/f")[0].awaitTermination()
+    assert rows(spark.read.parquet(f"{place}/f/out").drop("batch")) == rows(full)
 
 
 def test_follow_takes_only_new_lines(spark, place):
@@ -64,8 +64,21 @@ def test_follow_takes_only_new_lines(spark, place):
         if more:
             put(*more)
         stream = spark.readStream.schema(kinds).parquet(f"{place}/in")
-        live.to_table(live.follow(stream), f"{place}/c", f"{place}/o").awaitTermination()
-    assert sorted(r.seq for r in spark.read.parquet(f"{place}/o").collect()) == [1, 2, 3, 4]
+        live.follow(stream, place)[0].awaitTermination()
+    assert sorted(r.seq for r in spark.read.parquet(f"{place}/out").collect()) == [1, 2, 3, 4]
+
+
+def test_follow_loses_no_late_service(spark, place):
+    kinds = "service STRING, seq BIGINT, ts TIMESTAMP_NTZ"
+    for service, second in (("a", 60), ("b", 5)):
+        line = spark.sql(f"SELECT '{service}' AS service, 1L AS seq, timestamp_ntz'2024-01-01' + INTERVAL {second} SECOND AS ts")
+        line.write.mode("append").parquet(f"{place}/in")
+        running, state = live.follow(spark.readStream.schema(kinds).parquet(f"{place}/in"), place)
+        running.awaitTermination()
+    assert sorted(r.service for r in spark.read.parquet(f"{place}/out").collect()) == ["a", "b"]
+    # A restart without new lines still knows the state.
+    again = live.State(spark, f"{place}/state", "service STRING, seq BIGINT")
+    assert again.now().count() == 2
 
 
 @pytest.mark.parametrize("width", [5, 1_000_000])
@@ -105,8 +118,7 @@ def test_time_to_healthy(spark, sf_dir, place, budget):
 def test_tick_windows(spark, sf_dir, place):
     full, stream = cut(spark, sf_dir, place, "telemetry")
     samples = stream.select("ts", "host", F.col("used_bytes").alias("value"))
-    live.to_table(live.tick_windows(samples, every="1 day"), f"{place}/c", f"{place}/o").awaitTermination()
-    last = full.agg(F.max("ts")).first()[0]
+    live.write_ticks(live.tick_windows(samples, every="1 day", lateness="400 days"), place).awaitTermination()
     day = F.date_trunc("day", "ts").cast("timestamp_ntz")
     want = (
         full.groupBy(day.alias("start"), "host")
@@ -115,9 +127,9 @@ def test_tick_windows(spark, sf_dir, place):
             (F.sum("used_bytes") / F.count("used_bytes")).alias("mean"),
             F.max("used_bytes").alias("largest"),
         )
-        .filter(F.col("start") + F.expr("INTERVAL 1 DAY") <= F.lit(last) - F.expr("INTERVAL 10 SECOND"))
     )
-    assert rows(spark.read.parquet(f"{place}/o").withColumn("start", F.col("start").cast("timestamp_ntz"))) == rows(want)
+    got = live.read_ticks(spark, place).select("start", "host", "last", "mean", "largest")
+    assert rows(got) == rows(want)
 
 
 def test_fan_out(spark, sf_dir, place):
