@@ -9,6 +9,8 @@ from opsframe.plans.registry import query
 from opsframe.plans.session import scratch
 from opsframe.sources import parsers, readers
 
+HOST = ["host"]
+
 
 @query(
     "union_probes",
@@ -23,69 +25,73 @@ def _(v):
 
 @query(
     "port_scan",
-    """SELECT r.service_id, r.service_name, r.port, l.pid, l.name AS owner,
+    """SELECT r.host, r.service_id, r.service_name, r.port, l.pid, l.name AS owner,
        CASE WHEN l.port IS NULL THEN 'free' WHEN o.pid IS NOT NULL THEN 'ours' ELSE 'other' END AS status,
        l.port IS NOT NULL AND o.pid IS NULL AND l.pid > 0 AS releasable
-FROM requests r LEFT JOIN listeners l ON l.port = r.port LEFT JOIN ours o ON o.pid = l.pid AND l.pid > 0""",
+FROM requests r LEFT JOIN listeners l ON l.host = r.host AND l.port = r.port
+LEFT JOIN ours o ON o.host = l.host AND o.pid = l.pid AND l.pid > 0""",
     "requests listeners ours",
 )
 def _(v):
-    return ports.port_scan(v["requests"], v["listeners"], v["ours"])
+    return ports.port_scan(v["requests"], v["listeners"], v["ours"], HOST)
 
 
 # A service's own process is the one of ours that holds its first port.
-OWN = """SELECT r.service_id, l.pid FROM {requests} r JOIN {listeners} l ON l.port = r.port
-JOIN {ours} o ON o.pid = l.pid"""
+OWN = """SELECT r.host, r.service_id, l.pid FROM {requests} r JOIN {listeners} l ON l.host = r.host AND l.port = r.port
+JOIN {ours} o ON o.host = l.host AND o.pid = l.pid"""
 
 
 @query(
     "preflight_conflict",
-    f"""SELECT service_id, port, pid, owner,
+    f"""SELECT host, service_id, port, pid, owner,
        CASE WHEN lower(owner) LIKE '%vboxheadless%' THEN 'peer_vm' ELSE 'foreign' END AS kind
-FROM (SELECT r.service_id, r.port, l.pid, l.name AS owner,
-             row_number() OVER (PARTITION BY r.service_id ORDER BY r.pos) AS rn
-      FROM required r JOIN listeners l ON l.port = r.port
-      LEFT JOIN ({OWN.replace('{', '').replace('}', '')}) w ON w.service_id = r.service_id
+FROM (SELECT r.host, r.service_id, r.port, l.pid, l.name AS owner,
+             row_number() OVER (PARTITION BY r.host, r.service_id ORDER BY r.pos) AS rn
+      FROM required r JOIN listeners l ON l.host = r.host AND l.port = r.port
+      LEFT JOIN ({OWN.replace('{', '').replace('}', '')}) w ON w.host = r.host AND w.service_id = r.service_id
       WHERE l.pid > 0 AND (w.pid IS NULL OR w.pid <> l.pid))
 WHERE rn = 1""",
     "requests required listeners ours",
 )
 def _(v):
-    return ports.preflight_conflict(v["required"], v["listeners"], v.sql(OWN))
+    return ports.preflight_conflict(v["required"], v["listeners"], v.sql(OWN), HOST)
 
 
-PROCESSES = "SELECT CAST(c_custkey AS INT) AS pid, c_name AS image FROM {customer} WHERE c_nationkey < 20"
+# Every other listener has a known process.
+PROCESSES = """SELECT CAST((c_custkey * 2 - c_custkey * 2 % 900) / 900 AS INT) AS host, CAST(c_custkey * 2 AS INT) AS pid,
+       c_name AS image FROM {customer}"""
 
 
 @query(
     "listener_process",
-    f"""SELECT l.port, l.pid, l.name, coalesce(p.image, '') AS process
-FROM listeners l LEFT JOIN ({PROCESSES.replace('{customer}', 'customer')}) p ON p.pid = l.pid""",
+    f"""SELECT l.host, l.port, l.pid, l.name, coalesce(p.image, '') AS process
+FROM listeners l LEFT JOIN ({PROCESSES.replace('{customer}', 'customer')}) p ON p.host = l.host AND p.pid = l.pid""",
     "listeners",
 )
 def _(v):
-    return ports.listener_process(v["listeners"], v.sql(PROCESSES))
+    return ports.listener_process(v["listeners"], v.sql(PROCESSES), HOST)
 
 
 @query(
     "kill_guard",
-    "SELECT port, pid, name FROM listeners WHERE pid > 0 AND pid NOT IN (SELECT pid FROM ours)",
+    """SELECT host, port, pid, name FROM listeners l
+WHERE pid > 0 AND NOT EXISTS (SELECT 1 FROM ours o WHERE o.host = l.host AND o.pid = l.pid)""",
     "listeners ours",
 )
 def _(v):
-    return ports.kill_guard(v["listeners"], v["ours"])
+    return ports.kill_guard(v["listeners"], v["ours"], HOST)
 
 
 @query(
     "suggest_free_port",
-    """SELECT r.service_id, r.service_name, r.port,
+    """SELECT r.host, r.service_id, r.service_name, r.port,
        coalesce((SELECT min(p) FROM (SELECT unnest(range(greatest(r.port, 1024), least(r.port + 200, 65535))) AS p) c
-                 WHERE p NOT IN (SELECT port FROM listeners)), 0)::INT AS free_port
+                 WHERE NOT EXISTS (SELECT 1 FROM listeners l WHERE l.host = r.host AND l.port = p)), 0)::INT AS free_port
 FROM requests r""",
     "requests listeners",
 )
 def _(v):
-    return ports.suggest_free_port(v["requests"], v["listeners"])
+    return ports.suggest_free_port(v["requests"], v["listeners"], HOST)
 
 
 @query(
@@ -106,7 +112,7 @@ def _(v):
 
 @query(
     "peer_vm_owner",
-    """SELECT port, name, contains(lower(name), 'vboxheadless') OR contains(lower(name), 'virtualboxvm')
+    """SELECT host, port, name, contains(lower(name), 'vboxheadless') OR contains(lower(name), 'virtualboxvm')
        OR contains(lower(name), 'vboxsvc') AS is_vm,
        contains(concat('"', name, '" {', pid, '}'), '"BUILDING"') AS runs FROM listeners""",
     "listeners",
@@ -114,6 +120,7 @@ def _(v):
 def _(v):
     listing = F.concat(F.lit('"'), "name", F.lit('" {'), "pid", F.lit("}"))
     return v["listeners"].select(
+        "host",
         "port",
         "name",
         ports.peer_vm_owner(F.col("name")).alias("is_vm"),

@@ -69,17 +69,20 @@ FROM (SELECT doc_id, source, lang, n_chars AS length,
                ELSE concat('part ', doc_id, '.csv') END AS name
       FROM {documents}) f""",
     "requests": """
-SELECT s_suppkey AS service_id, s_name AS service_name, CAST(1024 + s_suppkey * 7 AS INT) AS port FROM {supplier}""",
+SELECT CAST((s_suppkey - s_suppkey % 60) / 60 AS INT) AS host, s_suppkey AS service_id, s_name AS service_name,
+       CAST(1024 + s_suppkey * 7 % 900 AS INT) AS port
+FROM {supplier}""",
     "required": """
-SELECT s_suppkey AS service_id, 0 AS pos, CAST(1024 + s_suppkey * 7 AS INT) AS port FROM {supplier}
+SELECT host, service_id, 0 AS pos, port FROM {requests}
 UNION ALL
-SELECT s_suppkey, 1, CAST(1025 + s_suppkey * 7 AS INT) FROM {supplier}""",
+SELECT host, service_id, 1, port + 1 FROM {requests}""",
     "listeners": """
-SELECT CAST(1024 + c_custkey % 900 AS INT) AS port, CAST(MIN(c_custkey) AS INT) AS pid,
-       CASE WHEN MIN(c_custkey) % 13 = 0 THEN 'VBoxHeadless.exe' ELSE MIN(c_mktsegment) END AS name
-FROM {customer} WHERE c_acctbal > 0 GROUP BY CAST(1024 + c_custkey % 900 AS INT)""",
+SELECT CAST((c_custkey - c_custkey % 900) / 900 AS INT) AS host, CAST(1024 + c_custkey % 900 AS INT) AS port,
+       CAST(c_custkey AS INT) AS pid,
+       CASE WHEN c_custkey % 13 = 0 THEN 'VBoxHeadless.exe' ELSE c_mktsegment END AS name
+FROM {customer}""",
     "ours": """
-SELECT CAST(c_custkey AS INT) AS pid FROM {customer} WHERE c_nationkey < 8""",
+SELECT CAST((s_suppkey - s_suppkey % 60) / 60 AS INT) AS host, CAST(s_suppkey * 15 AS INT) AS pid FROM {supplier}""",
     "steps": """
 SELECT l_orderkey AS run_id,
        CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice,
