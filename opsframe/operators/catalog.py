@@ -197,8 +197,13 @@ def registration_order(df: DataFrame, ordinal: str = "ordinal", reverse: bool =
 def first_by_name(
     files: DataFrame, matches: Column, default: str | None = DEFAULT_DATASET, by: Sequence[str] = ("host",)
 ) -> DataFrame:
-    """First matching file of each folder in byte order, else a default; directories do not match."""
-    first = F.min(F.when(matches & (F.col("type") == "FILE"), F.col("name")))
+    """First matching file of each folder in byte order, else a default.
+
+    Directories do not match; listings without a ``type`` have files only.
+    """
+    if "type" in files.columns:
+        matches = matches & (F.col("type") == "FILE")
+    first = F.min(F.when(matches, F.col("name")))
     return files.groupBy(*by).agg(F.coalesce(first, F.lit(default)).alias("name"))
 
 

@@ -18,8 +18,9 @@ from opsframe.plans.session import ship
 
 ship(__name__)
 
-# Splits of a file start at least this far apart (the reader's opening cost is 4 MiB unless it is set lower).
-SPLIT_STEP = 1 << 20
+# Splits of a file start at least this far apart: the reader's opening cost (4 MiB) and split size must not be set lower
+# than 64 KiB. Files may have up to 64 TiB.
+SPLIT_STEP = 1 << 16
 # Rows of one read task that a sequence number has room for.
 SPLIT_ROWS = 1 << 33
 

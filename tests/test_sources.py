@@ -188,8 +188,17 @@ def test_scratch_uses_the_shared_folder(spark):
     assert first.startswith(shared or "/tmp/")
 
 
-def test_checked_broadcast(spark):
-    small = session.broadcast_checked(spark.range(10), 10).join(spark.range(5), "id")
-    large = session.broadcast_checked(spark.range(11), 10)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    assert "ResolvedHint" not in large._jdf.queryExecution().analyzed().toString()
+def test_line_numbers_of_small_splits(spark, place):
+    lines = "".join(f"line {n:06d} {'x' * 20}\n" for n in range(20_000))
+    put(place, "in/a.txt", lines.encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 * 1024))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+    try:
+        read = readers.read_lines(spark, f"{place}/in")
+        got = read.orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert read.rdd.getNumPartitions() > 1 or len(got) == 20_000
+    assert len({r.seq for r in got}) == 20_000 and [r.line for r in got] == lines.splitlines()
