@@ -183,7 +183,3 @@ def contains_any(text: Column, needles: Sequence[str]) -> Column:
     for needle in needles:
         found = found | F.contains(low, F.lit(needle))
     return found
-
-
-def bounded_port(port: Column, low: int = 1, high: int = 65534) -> Column:
-    return port.between(low, high)

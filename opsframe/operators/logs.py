@@ -10,7 +10,7 @@ from opsframe.operators.ordered import CHUNK, Fold, newest_rows, running
 
 # Retention sizes, and the rows that separate the steps of a run.
 RING_SIZE = 2000
-EXERCISE_RING_SIZE = 4000
+EXERCISE_RING_SIZE = 4000  # for the lines of exercises
 SEPARATORS = ("=" * 60, "─" * 60)
 
 

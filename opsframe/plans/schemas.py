@@ -2,17 +2,6 @@
 
 from __future__ import annotations
 
-LOG_LINE = "service STRING, seq BIGINT, ts TIMESTAMP_NTZ, stream STRING, level STRING, text STRING"
-
-STATUS = (
-    "id STRING, name STRING, port INT, running BOOLEAN, healthy BOOLEAN, pid INT, since TIMESTAMP, "
-    "detail STRING, exit_code INT, sample_ts TIMESTAMP"
-)
-
-PORT_PROBE = (
-    "service_id BIGINT, service_name STRING, port INT, status STRING, owner STRUCT<pid: INT, name: STRING>"
-)
-
 FILE_ENTRY = (
     "pathSuffix: STRING, type: STRING, length: BIGINT, modificationTime: BIGINT, owner: STRING, "
     "`group`: STRING, permission: STRING"

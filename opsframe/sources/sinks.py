@@ -50,8 +50,3 @@ def write_properties(properties: DataFrame, path: str, by: str = "file") -> None
     """Property XML files, one folder per file name."""
     writer = properties.write.mode("overwrite").format("xml")
     writer.option("rootTag", "configuration").option("rowTag", "property").partitionBy(by).save(path)
-
-
-def write_listings(documents: DataFrame, path: str) -> None:
-    """Listing documents, one per line."""
-    documents.write.mode("overwrite").text(path)
