@@ -44,9 +44,10 @@ ship(__name__)
 
 FREQUENT = 1 << 16  # tokens that may be moved to the end of the order: 512 KB
 OFTEN = 64  # documents from which on a token is frequent
+SLICE = 512  # texts whose sets are made at once
 BLOCK = 128  # members of a group in one block
 CHECKS = 1024  # classes that are checked against one copy of their hub
-SLOTS = 1 << 18  # bound of the broadcast that thins documents before the exact join
+SLOTS = 1 << 20  # bound of the broadcast that thins documents before the exact join
 
 
 def _least(n, percent: int):
@@ -148,9 +149,9 @@ def _prefixes(frequent, percent: int) -> Callable:
             return int(prefix[-1]) >> 2 if place < 0 else (1 << 62) + place
 
         for batch in batches:
-            for at in range(0, len(batch), 4096):
+            for at in range(0, len(batch), SLICE):
                 sizes, keys, parts = [], [], []
-                for tokens in shingles.sets(batch.column(1).slice(at, 4096)):
+                for tokens in shingles.sets(batch.column(1).slice(at, SLICE)):
                     sizes.append(len(tokens))
                     keys.append(_signature(tokens))
                     parts.append(prefix(tokens) if len(tokens) else tokens)
@@ -158,7 +159,7 @@ def _prefixes(frequent, percent: int) -> Callable:
                 flat = np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(at, 4096),
+                        batch.column(0).slice(at, SLICE),
                         pa.array(sizes, pa.int64()),
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
@@ -173,11 +174,11 @@ def _prefixes(frequent, percent: int) -> Callable:
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (token, rep), those whose token has another rep, with the token's smallest rep as hub."""
-    token = rep = hub = np.zeros(0, np.int64)
+    token = rep = hub = place = np.zeros(0, np.int64)
     held = np.zeros(0, bool)  # whether the last row has been given out
 
     def give(mask):
-        return pa.RecordBatch.from_arrays([pa.array(x[mask]) for x in (token, rep, hub)], ["token", "rep", "hub"])
+        return pa.RecordBatch.from_arrays([pa.array(x[mask]) for x in (token, rep, hub, place)], ["token", "rep", "hub", "place"])
 
     for batch in batches:
         if not len(batch):
@@ -185,6 +186,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(token)
         token = np.append(token, batch.column(0).to_numpy())
         rep = np.append(rep, batch.column(1).to_numpy())
+        place = np.append(place, batch.column(2).to_numpy())
         new = np.append(True, token[1:] != token[:-1])
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
         hubs = rep[first]
@@ -197,7 +199,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield give(same)
         # The last row waits for the next batch.
         held = same[-1:].copy()
-        token, rep, hub = token[-1:], rep[-1:], hub[-1:]
+        token, rep, hub, place = token[-1:], rep[-1:], hub[-1:], place[-1:]
 
 
 def with_texts(docs: DataFrame, sides: DataFrame) -> DataFrame:
@@ -210,8 +212,10 @@ def with_texts(docs: DataFrame, sides: DataFrame) -> DataFrame:
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     """The values of all columns but the last, and the set of the text in the last."""
-    columns = [batch.column(k).to_pylist() for k in range(batch.num_columns - 1)]
-    return zip(*columns, shingles.sets(batch.column(batch.num_columns - 1)), strict=True)
+    for at in range(0, len(batch), SLICE):
+        part = batch.slice(at, SLICE)
+        columns = [part.column(k).to_pylist() for k in range(part.num_columns - 1)]
+        yield from zip(*columns, shingles.sets(part.column(part.num_columns - 1)), strict=True)
 
 
 def _tied(percent: int) -> Callable:
@@ -315,9 +319,10 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     named = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2")
     tokens = named.agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    tokens = tokens.select("rep", F.explode("prefix").alias("token")).select("token", "rep")
+    tokens = tokens.select("rep", F.posexplode("prefix").alias("place", "token"))
+    tokens = tokens.select("token", "rep", F.col("place").cast("bigint").alias("place"))
     tokens = tokens.repartition("token").sortWithinPartitions("token", "rep")
-    shared = settle(tokens.mapInArrow(_shared, "token bigint, rep bigint, hub bigint"), "shared")
+    shared = settle(tokens.mapInArrow(_shared, "token bigint, rep bigint, hub bigint, place bigint"), "shared")
     classes = settle(named.agg(F.min("doc_id").alias("rep"), F.max("last").alias("last")), "classes")
 
     # Groups: classes of the same hub, the one with most shared tokens, and of nearly the same size.
@@ -327,7 +332,9 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     sizes = classes.groupBy("rep").agg(F.max("n").alias("n"), F.max("last").alias("last"))
     reps = shared.select("rep").distinct().join(sizes, "rep").join(best, "rep", "left")
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1.1))
-    hub = F.coalesce("hub", "rep")
+    # A few shared tokens make no group: such classes stay alone, where bounds are sharpest.
+    alike = F.expr(f"8 * votes >= n - {_kept('n', percent)}")
+    hub = F.when(alike, F.col("hub")).otherwise(F.col("rep"))
     grouped = reps.select("rep", "n", "last", hub.alias("hub"), F.xxhash64(hub, size_class).alias("grp"), "votes")
     grouped = settle(grouped, "groups")
 
@@ -353,17 +360,21 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     # the same hub ties it to, and of two groups of different hubs one asks the other.
     groups = members.groupBy("grp").agg(
         F.ceil(F.count("*") / BLOCK).cast("bigint").alias("blocks"), F.min("n").alias("low"), F.max("n").alias("high"),
-        F.min("last").alias("first"), F.max("last").alias("final"),
+        F.min("last").alias("first"), F.max("last").alias("final"), F.count("*").alias("members"),
     )
-    rows = shared.select("token", "rep").join(members, "rep")
-    matrix = rows.groupBy("token", F.col("grp").alias("met"), F.col("hub").alias("met_hub")).agg(F.count("*").alias("held"))
+    rows = shared.select("token", "rep", "place").join(members, "rep")
+    matrix = rows.groupBy("token", F.col("grp").alias("met"), F.col("hub").alias("met_hub")).agg(
+        F.count("*").alias("held"), F.max("place").alias("met_place")
+    )
     ask = F.expr("if(hub = met_hub, NOT tied AND (grp <> met OR held > 1), met < grp)")
     overlap = rows.join(matrix, "token").filter(ask).groupBy("rep", "n", "last", F.col("met").alias("grp"))
     low = F.greatest(F.col("low"), F.expr(f"({percent} * n + 99) div 100"))
     high = F.least(F.col("high"), F.expr(f"100 * n div {percent}"))
-    overlap = overlap.agg(F.count("*").alias("c")).join(groups, "grp").withColumns({"low": low, "high": high})
+    overlap = overlap.agg(F.count("*").alias("c"), F.max("place").alias("i"), F.max("met_place").alias("j")).join(groups, "grp").withColumns({"low": low, "high": high})
     enough = needed("n", "last", "low", "high", "first", "final", percent)
-    asked = settle(overlap.filter("low <= high").filter(F.col("c") >= enough).select("rep", "grp", "blocks"), "asked")
+    # Against a single class also what either side has behind the last shared token bounds the overlap.
+    alone = F.expr(f"members > 1 OR c + least(n - 1 - i, low - 1 - j) >= {_both('n', 'low', percent)}")
+    asked = settle(overlap.filter("low <= high").filter(alone & (F.col("c") >= enough)).select("rep", "grp", "blocks"), "asked")
     asked_groups = asked.select("grp", "blocks").distinct()
     placed = members.join(asked_groups, "grp")
     asked = asked.select("rep", "grp", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
