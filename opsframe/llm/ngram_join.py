@@ -72,9 +72,12 @@ def needed(n: str, last: str, low: str, high: str, first: str, final: str, perce
     the rest of its tokens. ``last`` is where the set's prefix ends, ``first`` to ``final`` where those of the others do.
     """
     mine = f"{_both(n, low, percent)} - {_kept(n, percent)}"
-    theirs = f"{_both(n, high, percent)} - {_kept(high, percent)}"
-    either = ", ".join(f"{_both(n, m, percent)} - {_kept(f'greatest({n}, {m})', percent)}" for m in (low, high))
-    chosen = f"CASE WHEN {last} < {first} THEN {mine} WHEN {last} > {final} THEN {theirs} ELSE least({either}) END"
+    # What members need falls with their size, but for the ceilings: the least is at high or so few sizes below.
+    steps = -(-100 * (100 + percent) // percent**2)
+    late = [f"greatest({low}, {high} - {d})" for d in range(steps)]
+    theirs = ", ".join(f"{_both(n, m, percent)} - {_kept(m, percent)}" for m in late)
+    either = ", ".join(f"{_both(n, m, percent)} - {_kept(f'greatest({n}, {m})', percent)}" for m in (low, *late))
+    chosen = f"CASE WHEN {last} < {first} THEN {mine} WHEN {last} > {final} THEN least({theirs}) ELSE least({either}) END"
     return F.greatest(F.lit(1), F.expr(chosen))
 
 

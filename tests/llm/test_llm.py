@@ -134,6 +134,34 @@ def test_ngram_join_of_chained_families(spark):
         assert {tuple(r) for r in ngram_join.similar_documents(frame(spark, own), percent).collect()} == want
 
 
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_ngram_join_needs_no_more_than_any_size(spark, percent):
+    least = lambda n: (percent * n + 99) // 100
+    both = lambda n, m: (percent * (n + m) + 99 + percent) // (100 + percent)
+    cases, want = [], []
+    for n in range(1, 61):
+        for low in range(least(n), 100 * n // percent + 1):
+            for high in range(low, 100 * n // percent + 1):
+                sizes = range(low, high + 1)
+                mine = min(both(n, m) - least(n) + 1 for m in sizes)
+                theirs = min(both(n, m) - least(m) + 1 for m in sizes)
+                cases += [(n, low, high, 0, 1, 1), (n, low, high, 2, 1, 1), (n, low, high, 1, 0, 2)]
+                want += [max(1, mine), max(1, theirs), max(1, min(mine, theirs))]
+    rows = [(k, *c) for k, c in enumerate(cases)]
+    df = spark.createDataFrame(rows, "k INT, n BIGINT, low BIGINT, high BIGINT, last BIGINT, first BIGINT, final BIGINT")
+    got = df.select("k", ngram_join.needed("n", "last", "low", "high", "first", "final", percent)).collect()
+    assert [x for _, x in sorted(map(tuple, got))] == want
+
+
+def test_ngram_join_of_sets_that_only_link_with_the_smaller_member(spark):
+    own = []
+    for k in range(300):
+        a = prose(5000 + k, 33)  # 29 shingles; with one and seven words more, 30 and 36
+        own += [(3 * k, f"{a} b{k}"), (3 * k + 1, a), (3 * k + 2, f"{a} {' '.join(f'c{k}x{i}' for i in range(7))}")]
+    want = {(3 * k + i, n, 3 * k) for k in range(300) for i, n in enumerate((30, 29, 36))}
+    assert {tuple(r) for r in ngram_join.similar_documents(frame(spark, own)).collect()} == want
+
+
 def test_ngram_join_without_ids(spark):
     got = ngram_join.similar_documents(frame(spark, [(None, "a b"), (5, "a b"), (None, "c"), (None, None)])).collect()
     assert Counter(tuple(r) for r in got) == {(None, 1, 5): 1, (5, 1, 5): 1, (None, 1, None): 1, (None, 0, None): 1}
