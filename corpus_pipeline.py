@@ -36,8 +36,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the mix, with the digest of what they decode to."""
-    return bpe.digests(docs, bpe.read_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
+    """Token ids of the mix, with their number and the digests of the ids and of what they decode to."""
+    return bpe.token_ids(docs, bpe.read_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
 
 
 STAGES = [

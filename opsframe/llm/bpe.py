@@ -192,13 +192,18 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def token_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """doc_id, ids (packed), n_tokens, ids_sha256, decoded_sha256."""
     encoded = encode(docs, ranks, pattern)
     return encoded.selectExpr(
-        "doc_id", "CAST(octet_length(ids) div 4 AS BIGINT) AS n_tokens", "sha2(ids, 256) AS ids_sha256",
+        "doc_id", "ids", "CAST(octet_length(ids) div 4 AS BIGINT) AS n_tokens", "sha2(ids, 256) AS ids_sha256",
         "sha2(decoded, 256) AS decoded_sha256",
     )
 
 
-__all__ = ["Encoded", "Prefixes", "Tokenizer", "Vocabulary", "digests", "encode", "read_ranks"]
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return token_ids(docs, ranks, pattern).drop("ids")
+
+
+__all__ = ["Encoded", "Prefixes", "Tokenizer", "Vocabulary", "digests", "encode", "read_ranks", "token_ids"]

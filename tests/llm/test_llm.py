@@ -421,6 +421,17 @@ def test_pipeline(spark, sf_dir):
         docs = path
 
 
+def test_pipeline_ends_in_token_ids(spark):
+    own = [(k, t) for k, t in enumerate(ODD)] + [(3, "one")]
+    got = corpus_pipeline.STAGES[-1][1](spark, frame(spark, own), None).collect()
+    words = {rank: token for token, rank in RANKS.items()}
+    for r in got:
+        ids = np.frombuffer(bytes(r.ids), "<u4").tolist()
+        assert len(ids) == r.n_tokens and b"".join(words[k] for k in ids).decode() == (dict(own)[r.doc_id] or "")
+        assert hashlib.sha256(bytes(r.ids)).hexdigest() == r.ids_sha256
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in own)
+
+
 def test_entry_without_this_part():
     names = [f"op{k}_" for k in range(1, 11)]
     found = [n for n in entry.queries() if n.startswith("op")]
