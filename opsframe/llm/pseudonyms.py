@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal data by keyed Feistel permutations.
 
 Values are found by pattern and then validated (Luhn and mod-97 check digits, ranges of dates, addresses and numbers);
-what does not pass stays as it is. A valid value is a number in the set of all valid values of its kind; a Feistel
+what does not pass stays as it is. Where a card or account number is followed by more groups, its part up to the end of a
+group may be the value. A valid value is a number in the set of all valid values of its kind; a Feistel
 network with a keyed hash permutes that set (walking on until it is inside again), and the result is written in the same
 format: separators, digits, letters and case stay where they are, check digits are right again. Equal values have equal
 pseudonyms in every document, different ones different; with the key, ``Pseudonyms(key, inverse=True)`` undoes it.
@@ -100,9 +101,40 @@ _KINDS = {
     r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "card": r"(?<![\d.-])(?P<card>\d(?:[ -]?\d){12,18})(?!\d|[.-]\d)",
 }
+# Lengths of account numbers by country.
+_IBAN = {
+    country: int(n)
+    for n, countries in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+        "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+        "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+    ).split())
+    for country in countries.split(",")
+}
+_CARDS = ([4, 4, 4, 4], [4, 6, 5])  # usual groups of digits
 _DAY_ONE, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # 1900 to 2099
 
 
+def candidates(kind: str, text: str) -> list[int]:
+    """Lengths of the parts of a match, from its start to the end of a group, that may be the value; the likeliest first.
+
+    A card or account may be followed by what looks like more of it (expiry, check value, a word). The usual groups of a
+    card and the length of a country's accounts go first: they are the same in the pseudonym.
+    """
+    if kind not in ("card", "iban"):
+        return [len(text)]
+    groups = re.split("[ -]", text)
+    ends = [m.start() for m in re.finditer("[ -]|$", text)]
+    if kind == "iban":
+        sizes = [len(re.sub("[ -]", "", text[:end])) for end in ends]
+        likely = [end for end, n in zip(ends, sizes, strict=True) if n == _IBAN.get(text[:2])]
+        possible = [end for end, n in zip(ends, sizes, strict=True) if 15 <= n <= 34]
+    else:
+        likely = [ends[len(own) - 1] for own in _CARDS if [len(x) for x in groups[: len(own)]] == own]
+        possible = [end for end in ends if 13 <= sum(c.isdigit() for c in text[:end]) <= 19]
+    return list(dict.fromkeys([*likely, *reversed(possible)]))
+
+
 class Pseudonyms:
     def __init__(self, key: bytes, inverse: bool = False):
         self.feistel = Feistel(key, inverse)
@@ -211,11 +243,20 @@ class Pseudonyms:
         for kind, pattern in self.patterns:
             if "@" not in text if kind == "email" else not with_digits:
                 continue
-            for m in pattern.finditer(left):
+            at = 0
+            while m := pattern.search(left, at):
                 begin, end = m.span(kind)
-                new = self.replace_one(kind, text[begin:end])
-                if new is not None:
-                    spans.append((begin, end, new))
+                at = m.end()
+                for size in candidates(kind, text[begin:end]):
+                    new = self.replace_one(kind, text[begin : begin + size])
+                    if new is not None:
+                        spans.append((begin, begin + size, new))
+                        at = at if begin + size == end else begin + size
+                        break
+                else:
+                    # A value may begin behind the first group.
+                    if kind in ("card", "iban") and (border := re.search("[ -]", text[begin:end])):
+                        at = begin + border.end()
             # What has been found is no part of anything else.
             for begin, end, _ in spans:
                 if left[begin] != "\0":

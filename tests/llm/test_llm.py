@@ -373,6 +373,26 @@ def test_pseudonyms(spark):
     assert {tuple(r) for r in got} == {(1, new, 10), (2, None, 0), (3, "", 0), (4, "no 12 numbers", 0)}
 
 
+def test_pseudonyms_of_values_followed_by_more():
+    own, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", True)
+    values = {"4111 1111 1111 1111": (" 12/27", " 123", "-123", " 12", " 1234", " 04/2029 123"), "3782 822463 10005": (" 1234",)}
+    values |= {
+        "BE68 5390 0754 7034": (" BIC", " 12", " X", " EUR 12"), "DE89 3704 0044 0532 0130 00": (" BIC",), "BE68539007547034": (" BIC",),
+        "AT61 1904 3002 3457 3201": (" BIC",), "ES91 2100 0418 4502 0005 1332": (" BIC", " 2024"),
+    }
+    for value, tails in values.items():
+        alone, n = own.text(value)
+        assert n == 1 and alone != value
+        for tail in tails:
+            text = f"pay {value}{tail} now"
+            assert own.text(text) == (f"pay {alone}{tail} now", 1)
+            assert back.text(own.text(text)[0]) == (text, 1)
+    card = own.text("4111 1111 1111 1111")[0]
+    assert own.text("row 12 4111 1111 1111 1111") == (f"row 12 {card}", 1)
+    assert own.text("4111 1111 1111 1111 4111 1111 1111 1111") == (f"{card} {card}", 2)
+    assert own.text("4111 1111 1111 1112 123")[1] == 0
+
+
 @pytest.mark.parametrize("size", [2, 3, 7, 10, 100, 1000, 1009])
 def test_feistel_permutes(size):
     own, back = pseudonyms.Feistel(b"z"), pseudonyms.Feistel(b"z", True)
