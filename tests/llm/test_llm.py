@@ -304,6 +304,20 @@ def test_html_text(spark):
     assert got[2] == (None, "", 0) and got[3][1:] == ("", 0) and got[4][1] == "plain text x"
 
 
+def test_html_names_of_wrappers():
+    text = "All that is said on this page is here."
+    for wrapper in (
+        '<body class="post no-sidebar"><p>{}</p></body>', '<body class="sidebar"><p>{}</p></body>', '<div id="content" class="has-comments">{}</div>',
+        '<div class="entry ad-free">{}</div>', '<div class="text share-enabled">{}</div>', '<div class="promo">{}</div>',
+        '<main><article class="related"><div class="ad-free">{}</div></article></main>', '<article><div class="share">{}</div></article>',
+    ):
+        page = "<html class='menu'>" + wrapper.format(text) + "<div class='ad'>Buy</div><div class='cookie-notice'>We</div></html>"
+        assert [x for _, x in html_text.blocks(page)] == [text], wrapper
+    left_out = '<div class="x comments">a</div><p id="sidebar-left">b</p><i class=ad>c</i><div role="navigation">d</div>'
+    assert html_text.blocks(f"<div>{text}</div>{left_out}") == [(False, text)]
+    assert html_text.blocks(f"<article>{text}{left_out}</article>{left_out}<div class=comments>{text * 9}</div>") == [(True, text)]
+
+
 def test_html_differences(spark):
     open_page = "<body><div>Shop of things</div><div>{0}</div><div>Call us now</div></body>"
     pages = [(k, f"http://h.c/n/{k}", open_page.format(prose(k, 30))) for k in range(4)]
