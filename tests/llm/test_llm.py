@@ -338,6 +338,25 @@ def test_html_differences(spark):
         assert len(found) == best[-1][-1] and all(a[k] in rest for k in sorted(found))
 
 
+def test_html_differences_with_marked_neighbours(spark):
+    frame_of = "<body><nav>Shop of things</nav><aside>We use what you give</aside>{}<p>{}</p><footer>All rights</footer></body>"
+    plain_frame = "<body><div>Shop of things</div><div>We use what you give</div>{}<div>Call us now</div><div>All rights</div></body>"
+    quote = prose(70, 9)
+    pages = [(k, f"http://h.c/n/{k}", frame_of.format(f"<article><p>{prose(k, 30)}<p>Call us now<p>{quote}</article>", "" if k == 4 else "Call us now")) for k in range(5)]
+    # Short text in a large frame, without marks.
+    pages[2] = (2, "http://h.c/n/2", plain_frame.format("<p>Short news"))
+    df = spark.createDataFrame(pages, "page_id BIGINT, url STRING, html STRING").coalesce(1)
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert got[2] == "Short news"
+    # Page 4 has a line only within its article that is frame next door; page 0 has it in its own frame too.
+    assert got[4] == f"{prose(4, 30)} {quote}" and got[0] == f"{prose(0, 30)} Call us now {quote}"
+    # A neighbour's teaser of an article is no frame, nor a link to it.
+    title, text = prose(80, 5), prose(81, 40)
+    page = html_text.marked(f"<article><h1>{title}</h1><p>{text}</article>")
+    other = html_text.marked(f"<article>{prose(82, 9)}</article><aside><a href=x>{title}</a></aside><div>{text}</div>")
+    assert html_text.article(page, [other]) == [title, text]
+
+
 LAYOUTS = {
     '{"prompt": "p", "response": "r"}': [("user", "p"), ("assistant", "r")],
     '{"completion": "r", "prompt": "p"}': [("user", "p"), ("assistant", "r")],
