@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import bpe, chat_format, exact_dedup, html_text, mixing, ngram_join, pseudonyms, quality_model, quality_rules, toxicity
+from opsframe.llm import (
+    bpe,
+    chat_format,
+    exact_dedup,
+    html_text,
+    mixing,
+    ngram_join,
+    pseudonyms,
+    quality_model,
+    quality_rules,
+    toxicity,
+    url_filter,
+)
 from opsframe.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -115,3 +127,34 @@ TRIAL_KEY = b"a key for trials only"
 @query("op1_pii_pseudonyms")
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), TRIAL_KEY)
+
+
+URL_ENTRIES = [
+    (url_filter.BLOCK, "net", "/"),
+    (url_filter.ALLOW, "example.net", "/en/"),
+    (url_filter.BLOCK, "example.com", "/de/"),
+    (url_filter.ALLOW, "org", "/fr/"),
+]
+
+
+@query(
+    "op12_url_filter",
+    r"""
+    WITH parts AS (
+        SELECT page_id, regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', ['host', 'path'], 's') AS p FROM pages
+    ), named AS (
+        SELECT page_id, translate(p.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, p.path AS path
+        FROM parts
+    ), rules(verdict, r_host, r_path) AS (
+        VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+    )
+    SELECT page_id, host, path,
+           (SELECT r_host || r_path FROM rules WHERE (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+            ORDER BY length(r_host) DESC, length(r_path) DESC LIMIT 1) AS rule,
+           coalesce((SELECT verdict FROM rules WHERE (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+            ORDER BY length(r_host) DESC, length(r_path) DESC LIMIT 1), 'allow') AS verdict
+    FROM named
+    """,
+)
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_ENTRIES).drop("url")
