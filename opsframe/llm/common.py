@@ -38,8 +38,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``df``, written once, with consecutive numbers from 0 in ``column``.
+
+    Rows are counted per task, and the tasks' first numbers (one row for each) joined to them, so no task sees all rows.
+    """
+    placed = settle(df.withColumn("_at", F.monotonically_increasing_id()), name)
+    task, place = F.shiftright("_at", 33).alias("_task"), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = sorted(placed.groupBy(task).count().collect())
+    begins = [(row["_task"], sum(x["count"] for x in counts[:k])) for k, row in enumerate(counts)]
+    firsts = df.sparkSession.createDataFrame(begins, "_task BIGINT, _first BIGINT")
+    joined = placed.withColumn("_task", task).join(F.broadcast(firsts), "_task")  # one row per task
+    return joined.withColumn(column, F.col("_first") + place).drop("_at", "_task", "_first")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["SPACE", "SPACE_CHARS", "settle", "shared_folder", "ship", "table", "words"]
+__all__ = ["SPACE", "SPACE_CHARS", "numbered", "settle", "shared_folder", "ship", "table", "words"]
