@@ -16,6 +16,7 @@ from opsframe.llm import (
     mixing,
     negatives,
     ngram_join,
+    prefix_trie,
     pseudonyms,
     quality_model,
     quality_rules,
@@ -189,3 +190,56 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
+# CRC-32 of the decimal digits of conv_id, bit by bit: a byte is mixed in, or (-1) the register moves on by a bit.
+_CRC32 = """
+    xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+        lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x)
+        ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END), 4294967295)
+"""
+
+
+@query(
+    "op11_prefix_trie",
+    f"""
+    WITH turns AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), convs AS (
+        SELECT conv_id, {_CRC32} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+    ), rebuilt AS (
+        SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth
+        FROM (
+            SELECT c.conv_id AS conv_id, 1 AS part, pos, role, text
+            FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 5 AND pos <= h
+            UNION ALL SELECT c.conv_id, 2, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND pos > h
+        )
+    ), prefixes AS (
+        SELECT conv_id, 0 AS depth, 0 AS n_bytes, [] AS prefix FROM convs
+        UNION ALL SELECT conv_id, depth, strlen(text), list([role, text]) OVER (PARTITION BY conv_id ORDER BY depth) FROM rebuilt
+    ), members AS (
+        SELECT conv_id, depth, n_bytes, min(conv_id) OVER same AS node, count(*) OVER same AS n_convs,
+               depth = max(depth) OVER (PARTITION BY conv_id) AS ends
+        FROM prefixes WINDOW same AS (PARTITION BY depth, prefix)
+    ), nodes AS (
+        SELECT node, depth, any_value(n_bytes) AS n_bytes, any_value(n_convs) AS n_convs, bool_and(ends) AS is_leaf,
+               coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ids
+        FROM members GROUP BY node, depth
+    ), below AS (
+        SELECT a.node AS node, a.depth AS depth, count(*) FILTER (b.depth = a.depth + 1) AS n_children,
+               count(*) FILTER (b.is_leaf) AS n_leaves, sum((b.n_convs - 1) * b.n_bytes) AS saved_tokens
+        FROM members a JOIN nodes b ON a.conv_id = b.node AND a.depth <= b.depth GROUP BY a.node, a.depth
+    )
+    SELECT n.node AS conv_id, n.depth AS depth, p.node AS parent_conv_id, n.n_convs AS n_convs, n_children, n_leaves,
+           CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(ids) AS ends_sha256
+    FROM nodes n JOIN below b ON b.node = n.node AND b.depth = n.depth
+    LEFT JOIN members p ON p.conv_id = n.node AND p.depth = n.depth - 1
+    """,
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = prefix_trie.ordinals(prefix_trie.turns_of(table(spark, sf_dir, "conversations")))
+    conv_id = F.col("conv_id")
+    head = F.crc32(conv_id.cast("string").cast("binary")) % 9
+    return prefix_trie.trie(prefix_trie.rebuilt(numbered, conv_id - conv_id % 5, head, 8))
