@@ -10,7 +10,7 @@ from opsframe.plans.queries_logs import LEVELED, STAMP, leveled
 from opsframe.plans.queries_text import COUNTS
 from opsframe.plans.registry import query
 from opsframe.plans.session import scratch
-from opsframe.sources import readers, sinks
+from opsframe.sources import dataset, files, readers, sinks
 
 LINES = "SELECT unnest(string_split(text, chr(10))) AS text FROM documents"
 
@@ -49,11 +49,32 @@ def _(v):
     return readers.read_lines(v.spark, place).select("service", "line")
 
 
+@query(
+    "log_rejects",
+    f"SELECT service, text AS line FROM {LEVELED} WHERE stream = 'stderr'",
+    "log_lines",
+)
+def _(v):
+    # Errors come as they are, without the layout of stored lines.
+    place = scratch(v.spark, "logs")
+    lines = leveled(v)
+    sinks.write_log_files(lines.filter("stream = 'stdout'"), place)
+    lines.filter("stream = 'stderr'").select("service", F.col("text").alias("value")).write.partitionBy("service").mode("append").text(place)
+    return readers.read_log_files(v.spark, place)[1].select("service", "line")
+
+
 @query("text_dataset_scan", LINES)
 def _(v):
-    place = scratch(v.spark, "dataset")
-    sinks.put_overwrite(v["documents"].select("text"), place)
-    return readers.read_text_dataset(v.spark, place)
+    # Folders of 25 documents each, with several candidates: a .csv beside others, or input.txt beside what is none.
+    place = scratch(v.spark, "exercises")
+    block = F.call_function("div", F.col("doc_id"), F.lit(25))
+    named = F.when(block % 2 == 0, F.array(F.lit("Data.CSV"), F.lit("other.csv"), F.lit("input.txt")))
+    named = named.otherwise(F.array(F.lit("input.txt"), F.lit("notes.md")))
+    lines = v["documents"].select(block.cast("string").alias("block"), "doc_id", "text", F.posexplode(named).alias("k", "name"))
+    path = F.concat(F.lit(f"{place}/"), "block", F.lit("/"), "name")
+    files.land_files(lines.select(path.alias("path"), F.when(F.col("k") == 0, F.col("text")).alias("text"))).count()
+    dataset.register(v.spark)
+    return v.spark.read.format("folder_dataset").option("children", True).load(place).select("text")
 
 
 @query("put_overwrite", LINES)
@@ -74,13 +95,17 @@ def _(v):
 
 @query(
     "output_check",
-    f"""SELECT 'ok' AS outcome, CAST(sum(octet_length(encode(word)) + length(CAST(count AS VARCHAR)) + 2) AS BIGINT) AS bytes
-FROM ({COUNTS})""",
+    f"""SELECT 'counts' AS job, 'ok' AS outcome, CAST(sum(octet_length(encode(word)) + length(CAST(count AS VARCHAR)) + 2) AS BIGINT) AS bytes
+FROM ({COUNTS}) UNION ALL SELECT 'nothing', 'empty', 0 UNION ALL SELECT 'none', 'missing', 0""",
 )
 def _(v):
-    place = scratch(v.spark, "counts")
-    sinks.write_word_counts(text.word_count(v["documents"]), place)
-    return readers.output_check(v.spark, place).select("outcome", "bytes")
+    # A job with output, one whose parts have no bytes, and one that has not run.
+    place = scratch(v.spark, "jobs")
+    lines = text.word_count(v["documents"]).select(F.concat_ws("\t", "word", "count").alias("value"))
+    lines.write.text(f"{place}/counts")
+    lines.filter(F.col("value") == "").write.text(f"{place}/nothing")
+    found = files.output_checks(v.spark, [f"{place}/{job}" for job in ("counts", "nothing", "none")])
+    return found.select(F.substring_index("path", "/", -1).alias("job"), "outcome", "bytes")
 
 
 # Listings come in documents of at most 1,000 entries each.
@@ -110,20 +135,44 @@ def _(v):
     return found.select("host", "dir", "pathSuffix", "type", "length", "modificationTime", "owner")
 
 
+# Texts of a source in files of 25 documents, and for each source an empty file and an empty folder.
+TREE = """SELECT concat(source, '/', doc_id // 25, '.txt') AS path, false AS is_dir,
+       CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size FROM documents GROUP BY ALL
+UNION ALL SELECT DISTINCT concat(source, '/empty.txt'), false, 0 FROM documents
+UNION ALL SELECT DISTINCT concat(source, '/none'), true, 0 FROM documents
+UNION ALL SELECT DISTINCT source, true, 0 FROM documents"""
+
+
+def landed_tree(v):
+    """The folder of that tree."""
+    place = scratch(v.spark, "tree")
+    block = F.call_function("div", F.col("doc_id"), F.lit(25)).cast("string")
+    folder = F.concat(F.lit(f"{place}/"), "source", F.lit("/"))
+    texts = v["documents"].select(F.concat(folder, block, F.lit(".txt")).alias("path"), "doc_id", "text")
+    sources = v["documents"].select(folder.alias("_folder")).distinct()
+    bare = sources.select(F.explode(F.array(F.concat("_folder", F.lit("empty.txt")), F.concat("_folder", F.lit("none/")))).alias("path"))
+    nothing = bare.select("path", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    files.land_files(texts.unionByName(nothing), ["doc_id"]).count()
+    return place
+
+
+@query("dir_listing", TREE)
+def _(v):
+    place = landed_tree(v)
+    found = readers.dir_listing(v.spark, place)
+    return found.select(F.substring("path", F.lit(len(place) + 2), F.length("path")).alias("path"), "is_dir", "size")
+
+
 @query(
-    "dir_listing",
-    """SELECT source, lang, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes
-FROM documents GROUP BY source, lang""",
+    "folder_listing",
+    f"SELECT split_part(path, '/', 1) AS folder, split_part(path, '/', 2) AS name, is_dir, size FROM ({TREE}) WHERE contains(path, '/')",
 )
 def _(v):
-    place = scratch(v.spark, "tree")
-    texts = v["documents"].select("source", "lang", F.col("text").alias("value"))
-    texts.write.partitionBy("source", "lang").text(place)
-    found = readers.dir_listing(v.spark, place).filter(F.col("name").startswith("part-"))
-    folder = r"source=([^/]+)/lang=([^/]+)/"
-    return found.groupBy(
-        F.regexp_extract("path", folder, 1).alias("source"), F.regexp_extract("path", folder, 2).alias("lang")
-    ).agg(F.sum("size").alias("bytes"))
+    place = landed_tree(v)
+    folders = v["documents"].select(F.concat(F.lit(f"{place}/"), "source").alias("path")).distinct()
+    absent = folders.select(F.concat("path", F.lit("/absent")).alias("path"))
+    found = files.list_folders(files.spread(folders.unionByName(absent)))
+    return found.select(F.substring_index("folder", "/", -1).alias("folder"), "name", "is_dir", "size")
 
 
 @query(
@@ -220,7 +269,8 @@ def _(v):
     listed = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
     content = F.array_join(F.transform(listed, lambda row: row["text"]), "\n")
     v["documents"].groupBy(block).agg(content.alias("value")).write.partitionBy("block").text(place)
-    return readers.file_digests(v.spark, f"{place}/*/part-*").select(
+    parts = files.list_tree(v.spark, place).filter(F.col("name").startswith("part-"))
+    return files.file_digests(parts).select(
         F.regexp_extract("path", r"block=(\d+)/", 1).cast("int").alias("block"), "digest", "size"
     )
 

@@ -1,22 +1,16 @@
-"""Readers: lines, log files, text datasets, dumps, listings, settings, properties, digests and releases."""
+"""Readers: lines, log files, text datasets, dumps, listings, settings, properties and releases."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyarrow import fs
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsframe.functions import scalars as S
 from opsframe.operators.config import settings_defaults
 from opsframe.plans import schemas
-from opsframe.plans.session import ship
-
-ship(__name__)
+from opsframe.sources import files, publish
 
 # Splits of a file start at least this far apart: the reader's opening cost (4 MiB) and split size must not be set lower
 # than 64 KiB. Files may have up to 64 TiB.
@@ -53,22 +47,27 @@ def read_lines(spark: SparkSession, path: str | Sequence[str], glob: str | None
     )
 
 
-# Fixed value: the layout of a stored log line.
-LOG_LINE = r"(?s)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) (\S+) (\S+) \| (.*)\z"
+# Fixed value: the layout of a stored log line, and how much of it the time takes.
+LOG_LINE = r"(?s)^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3} \S+ \S+ \| .*\z"
+STAMP_CHARS = 23
 
 
 def parse_log_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored log lines (``line``) as columns, and the lines that do not have the layout."""
+    """Stored log lines (``line``) as columns, and the lines that do not have the layout.
+
+    The layout is looked for once; what has it is cut at its fixed places.
+    """
     line = F.col("line")
     rest = [name for name in lines.columns if name != "line"]
-    parsed = lines.filter(line.rlike(LOG_LINE)).select(
-        *rest,
-        F.to_timestamp_ntz(F.regexp_extract(line, LOG_LINE, 1), F.lit("yyyy-MM-dd HH:mm:ss.SSS")).alias("ts"),
-        F.regexp_extract(line, LOG_LINE, 2).alias("level"),
-        F.regexp_extract(line, LOG_LINE, 3).alias("stream"),
-        F.regexp_extract(line, LOG_LINE, 4).alias("text"),
+    fits = F.coalesce(line.rlike(LOG_LINE), F.lit(False))
+    parts = F.split(F.substring(line, F.lit(STAMP_CHARS + 2), F.length(line)), " ", 4)  # level, stream, the bar, text
+    stamp = F.to_timestamp_ntz(F.substring(line, 1, STAMP_CHARS), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))
+    parsed = lines.filter(fits).select(*rest, stamp.alias("ts"), parts.alias("_parts"), "line")
+    text = F.get("_parts", F.lit(3))
+    parsed = parsed.select(
+        *rest, "ts", F.get("_parts", F.lit(0)).alias("level"), F.get("_parts", F.lit(1)).alias("stream"), text.alias("text")
     )
-    return parsed, lines.filter(~line.rlike(LOG_LINE))
+    return parsed, lines.filter(~fits)
 
 
 def read_log_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -80,13 +79,16 @@ def read_log_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def read_text_dataset(spark: SparkSession, folder: str) -> DataFrame:
-    """Every line of every file of an input folder is a record, headers included."""
-    return read_lines(spark, folder).select(F.col("line").alias("text"))
+    """Every line of every file of an input folder, or of its newest published copy, is a record, headers included.
+
+    ``folder_dataset`` (``sources/dataset.py``) chooses one file of a folder instead.
+    """
+    return read_lines(spark, publish.current(spark, folder)).select(F.col("line").alias("text"))
 
 
 def concat_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     """All files of a pattern as one input."""
-    return read_lines(spark, folder, glob).select(F.col("line").alias("text"))
+    return read_lines(spark, publish.current(spark, folder), glob).select(F.col("line").alias("text"))
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -118,82 +120,22 @@ def decode_listings(documents: DataFrame, column: str, *keep: str) -> DataFrame:
 
 
 def dir_listing(spark: SparkSession, path: str) -> DataFrame:
-    """Files anywhere below a folder, with name, size and time (ms), from Spark's own file index.
-
-    The content is not read; no folder, no rows. A file scan leaves out empty files and directories, which
-    ``list_folders`` has.
-    """
-    try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "path STRING, name STRING, size BIGINT, modified_ms BIGINT")
-    return files.select(
-        "path",
-        F.regexp_extract("path", r"([^/]+)\z", 1).alias("name"),
-        F.col("length").alias("size"),
-        F.unix_millis("modificationTime").alias("modified_ms"),
-    )
-
-
-LISTED = "folder STRING, name STRING, is_dir BOOLEAN, size BIGINT, modified_ms BIGINT"
+    """Files and folders anywhere below a folder, empty ones too, with name, kind, size and time (ms).
 
-
-def list_folders(folders: DataFrame) -> DataFrame:
-    """Entries of each folder (``path``): name, kind, size and time (ms), empty files and directories included.
-
-    Folders are listed in the tasks that hold their paths, on file systems that Arrow can open; an absent or
-    unreadable folder has no rows.
-    """
-
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for folder in batch["path"]:
-                yield _entries(folder)
-
-    return folders.select("path").mapInPandas(entries, LISTED)
-
-
-def _entries(folder: str) -> pd.DataFrame:
-    if folder.startswith(("/", "file:")):
-        system, place = fs.LocalFileSystem(), "/" + re.sub("^file:", "", folder).lstrip("/")
-    else:
-        system, place = fs.FileSystem.from_uri(folder)
-    try:
-        found = system.get_file_info(fs.FileSelector(place, allow_not_found=True))
-    except OSError:
-        found = []
-    rows = [
-        (folder, f.base_name, f.type == fs.FileType.Directory, f.size or 0, (f.mtime_ns or 0) // 1_000_000)
-        for f in found
-    ]
-    return pd.DataFrame(rows, columns=["folder", "name", "is_dir", "size", "modified_ms"])
-
-
-def output_check(spark: SparkSession, path: str, glob: str = "part-*") -> DataFrame:
-    """Did a job leave output? ``missing`` without part files, ``empty`` without bytes, else ``ok``.
-
-    Whether there are part files at all is asked of the file system (one job's parts, at most one per task);
-    the bytes are summed over Spark's file index, which leaves out empty files.
+    Folders are listed in tasks, depth by depth; no folder, no rows.
     """
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{glob}")
-    parts = len(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop) or [])
-    named = dir_listing(spark, path).filter(F.col("name").rlike("^" + glob.replace("*", ".*") + r"\z"))
-    totals = named.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
-    outcome = F.when(F.lit(parts) == 0, "missing").when(F.col("bytes") == 0, "empty").otherwise("ok")
-    return totals.select(outcome.alias("outcome"), F.lit(parts).cast("bigint").alias("files"), "bytes")
+    return files.list_tree(spark, path).select("path", "name", "is_dir", "size", "modified_ms")
 
 
 def read_settings(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Settings documents with defaults filled in.
+    """Settings documents (or their newest published copy) with defaults filled in.
 
     ``malformed`` flags a document that cannot be read, which then has the defaults throughout. Documents are
     one per line, or one per file with ``multiline``, where the name of the file is the host unless it says so.
     """
     schema = f"{schemas.SETTINGS}, _raw STRING"
     reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw")
-    loaded = reader.option("multiLine", multiline).json(path)
+    loaded = reader.option("multiLine", multiline).json(publish.current(spark, path))
     bad = F.col("_raw").isNotNull()
     # A document that breaks off midway counts for nothing, also where its first fields were read.
     values = [
@@ -217,13 +159,6 @@ def read_properties(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file (a file of up to 2 GB is one value)."""
-    files = spark.read.format("binaryFile").load(path)
-    parts = [c for c in files.columns if c not in ("path", "modificationTime", "length", "content")]
-    return files.select("path", *parts, F.col("length").alias("size"), S.sha256_hex(F.col("content")).alias("digest"))
-
-
 def read_releases(spark: SparkSession, path: str) -> DataFrame:
     """Release documents; system and architecture are in the name ``latest-<os>-<arch>.json``."""
     named = r"latest-(\w+)-(\w+)\.json"

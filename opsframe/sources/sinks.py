@@ -1,4 +1,4 @@
-"""Sinks. A job's commit replaces writing to a temporary name: a failed job leaves no new output."""
+"""Sinks. Appends rest on the commit of Spark's jobs; replacements are published by a pointer (``publish``)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opsframe.functions import scalars as S
 from opsframe.operators.logs import format_file_line
+from opsframe.sources import publish
 
 
 def write_log_files(lines: DataFrame, path: str, rebalance: bool = False) -> None:
@@ -22,13 +23,14 @@ def write_log_files(lines: DataFrame, path: str, rebalance: bool = False) -> Non
 
 
 def put_overwrite(dataset: DataFrame, path: str) -> None:
-    """Land a dataset (one text column) in a folder in place of an earlier copy."""
-    dataset.select(F.col(dataset.columns[0]).alias("value")).write.mode("overwrite").text(path)
+    """Land a dataset (one text column) in place of an earlier copy, which stays until the new one is complete."""
+    rows = dataset.select(F.col(dataset.columns[0]).alias("value"))
+    publish.publish(dataset.sparkSession, path, lambda folder: rows.write.text(folder))
 
 
 def write_word_counts(counts: DataFrame, path: str) -> None:
-    """``word<TAB>count`` parts in place of an earlier run's."""
-    counts.select(F.concat_ws("\t", "word", "count").alias("value")).write.mode("overwrite").text(path)
+    """``word<TAB>count`` parts in place of an earlier run's, which stay until the new ones are complete."""
+    put_overwrite(counts.select(F.concat_ws("\t", "word", "count").alias("value")), path)
 
 
 def parse_word_counts(lines: DataFrame, column: str = "text") -> DataFrame:
@@ -38,8 +40,11 @@ def parse_word_counts(lines: DataFrame, column: str = "text") -> DataFrame:
 
 
 def write_settings(settings: DataFrame, path: str) -> None:
-    """One settings document per host and line."""
-    settings.write.mode("overwrite").option("ignoreNullFields", True).json(path)
+    """One settings document per host and line, all or nothing."""
+    def write(folder: str) -> None:
+        settings.write.option("ignoreNullFields", True).json(folder)
+
+    publish.publish(settings.sparkSession, path, write)
 
 
 def fill_properties(properties: DataFrame, uri: Column) -> DataFrame:

@@ -1,12 +1,15 @@
 """Readers, parsers and sinks on files."""
 
+import hashlib
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from opsframe.operators import catalog, text
 from opsframe.plans import session
-from opsframe.sources import parsers, readers, sinks
+from opsframe.sources import dataset, files, parsers, publish, readers, sinks
 
 
 def put(place, name, content):
@@ -70,33 +73,154 @@ def test_word_count_job_twice_is_one_copy(spark, place):
         sinks.write_word_counts(text.word_count(readers.read_text_dataset(spark, f"{place}/data")), f"{place}/out")
     counts = sinks.parse_word_counts(readers.read_text_dataset(spark, f"{place}/out"))
     assert {(r["word"], r["count"]) for r in counts.collect()} == {("word,n", 1), ("a", 2), ("b", 1)}
-    assert readers.output_check(spark, f"{place}/out").first().outcome == "ok"
+    assert files.output_checks(spark, [publish.current(spark, f"{place}/out")]).first().outcome == "ok"
     assert readers.concat_files(spark, f"{place}/in", "*.csv").count() == 1
 
 
 def test_output_check(spark, place):
-    assert readers.output_check(spark, f"{place}/absent").first().outcome == "missing"
     put(place, "other/_SUCCESS", b"")
-    assert readers.output_check(spark, f"{place}/other").first().outcome == "missing"
     put(place, "empty/part-00000", b"")
-    assert readers.output_check(spark, f"{place}/empty").first().outcome == "empty"
+    put(place, "well/part-00000", b"")
+    put(place, "well/part-00001", b"abc")
+    os.makedirs(f"{place}/folder/part-00000")
+    jobs = ("absent", "other", "empty", "well", "folder")
+    got = {r.path.rsplit("/", 1)[1]: (r.outcome, r.files, r.bytes) for r in files.output_checks(spark, [f"{place}/{job}" for job in jobs]).collect()}
+    nothing = ("missing", 0, 0)
+    assert got == {"absent": nothing, "other": nothing, "folder": nothing, "empty": ("empty", 1, 0), "well": ("ok", 2, 3)}
 
 
 def test_dir_listing(spark, place):
     put(place, "d/a.ipynb", b"12345")
     put(place, "d/sub/b.txt", b"1")
+    put(place, "d/sub/deep/er/c", b"")
     put(place, "d/empty", b"")
-    assert {r.name: r["size"] for r in readers.dir_listing(spark, f"{place}/d").collect()} == {"a.ipynb": 5, "b.txt": 1}
-    folders = spark.createDataFrame([(f"{place}/d",), (f"file:{place}/d/sub",), (f"{place}/absent",)], "path STRING")
-    listed = readers.list_folders(folders).collect()
-    assert {(r.name, r["size"], r.is_dir) for r in listed if not r.is_dir} == {
+    os.makedirs(f"{place}/d/none")
+    os.symlink(f"{place}/d", f"{place}/d/sub/round")  # a circle
+    os.symlink(f"{place}/gone", f"{place}/d/sub/broken")
+    got = readers.dir_listing(spark, f"{place}/d").collect()
+    head = len(f"{place}/d/")
+    assert {(r.path[head:], r["size"], r.is_dir) for r in got if r.is_dir} == {(x, 0, True) for x in ("sub", "sub/deep", "sub/deep/er", "none")}
+    assert {(r.path[head:], r["size"]) for r in got if not r.is_dir} == {
+        ("a.ipynb", 5),
+        ("sub/b.txt", 1),
+        ("sub/deep/er/c", 0),
+        ("empty", 0),
+        ("sub/round", 0),
+    }
+    assert min(r.modified_ms for r in got) > 1_600_000_000_000
+    assert readers.dir_listing(spark, f"{place}/absent").collect() == []
+
+
+def test_an_unreadable_folder_is_skipped(spark, place, monkeypatch):
+    put(place, "d/a", b"1")
+    put(place, "d/locked/b", b"1")
+    os.chmod(f"{place}/d/locked", 0)
+    try:
+        names = {r.name for r in readers.dir_listing(spark, f"{place}/d").collect()}
+    finally:
+        os.chmod(f"{place}/d/locked", 0o755)
+    assert {"a", "locked"} <= names
+    assert names == {"a", "locked"} or os.geteuid() == 0  # nothing is locked for root
+    # What the file system says to a folder that may not be read.
+    monkeypatch.setattr(files.os, "scandir", lambda place: (_ for _ in ()).throw(PermissionError(place)))
+    assert list(files.entries(f"{place}/d")) == []
+
+
+def test_flat_listing(spark, place):
+    put(place, "d/a.ipynb", b"12345")
+    put(place, "d/sub/b.txt", b"1")
+    put(place, "d/empty", b"")
+    folders = spark.createDataFrame([(f"{place}/d",), (f"file:{place}/d/sub",), (f"{place}/absent",), (None,)], "path STRING")
+    listed = files.list_folders(folders).collect()
+    assert {(r.name, r["size"], r.is_dir) for r in listed} == {
         ("a.ipynb", 5, False),
         ("b.txt", 1, False),
         ("empty", 0, False),
+        ("sub", 0, True),
     }
-    assert [r.name for r in listed if r.is_dir] == ["sub"]
-    assert min(r.modified_ms for r in listed) > 1_600_000_000_000
-    assert readers.dir_listing(spark, f"{place}/absent").collect() == []
+
+
+def test_landed_files(spark, place):
+    target = f"{place}/a/b/x.csv"
+    put(place, "a/b/x.csv", b"old\n")
+    lines = [(target, 2, "two"), (target, 1, "one\nand"), (f"{place}/e/empty", 1, None), (f"{place}/none/", 1, None), (None, 1, "x")]
+    rows = spark.createDataFrame(lines, "path STRING, n INT, text STRING")
+    landed = {r.path: r.lines for r in files.land_files(rows, ["n"]).collect()}
+    assert landed == {target: 2, f"{place}/e/empty": 0, f"{place}/none/": 0}
+    assert open(target, "rb").read() == b"one\nand\ntwo\n"
+    assert os.path.getsize(f"{place}/e/empty") == 0 and os.listdir(f"{place}/none") == []
+    # A task that fails midway leaves the earlier file, and nothing else.
+    broken = rows.filter("n = 2").select("path", "n", F.when(F.raise_error(F.lit("killed")).isNull(), "x").alias("text"))
+    with pytest.raises(Exception, match="killed"):
+        files.land_files(rows.filter("n = 2").unionByName(broken), ["n"]).collect()
+    assert open(target, "rb").read() == b"one\nand\ntwo\n" and os.listdir(f"{place}/a/b") == ["x.csv"]
+
+
+def test_replaced_all_or_nothing(spark, place):
+    text_of = lambda: sorted(r.text for r in readers.read_text_dataset(spark, f"{place}/data").collect())
+    frame = lambda *lines: spark.createDataFrame([(x,) for x in lines], "text STRING")
+    put(place, "data/plain.txt", b"as it was\n")
+    assert text_of() == ["as it was"]  # nothing published yet
+    sinks.put_overwrite(frame("one", "two"), f"{place}/data")
+    assert text_of() == ["one", "two"]
+    # A writer that is killed midway: some of its parts are there, and readers still see the copy before.
+    failing = frame("three").repartition(1).unionByName(frame("x").select(F.raise_error(F.lit("killed")).cast("string").alias("text")))
+    with pytest.raises(Exception, match="killed"):
+        sinks.put_overwrite(failing, f"{place}/data")
+    spark.createDataFrame([("half",)], "value STRING").write.text(f"{place}/data/versions/abandoned")
+    assert text_of() == ["one", "two"]
+    opened = readers.read_text_dataset(spark, f"{place}/data")
+    sinks.put_overwrite(frame("four"), f"{place}/data")
+    assert text_of() == ["four"]
+    assert sorted(r.text for r in opened.collect()) == ["one", "two"]  # a reader keeps the copy it began with
+    assert publish.retire(spark, f"{place}/data", keep=1) == 3
+    assert text_of() == ["four"] and len(os.listdir(f"{place}/data/versions")) == 1
+
+
+def test_settings_replaced_all_or_nothing(spark, place):
+    settings = spark.createDataFrame([("a", "en"), ("b", "es")], "host STRING, language STRING")
+    sinks.write_settings(settings, f"{place}/s")
+    broken = settings.withColumn("language", F.when(F.col("host") == "b", F.raise_error(F.lit("killed"))).otherwise("de"))
+    with pytest.raises(Exception, match="killed"):
+        sinks.write_settings(broken, f"{place}/s")
+    assert {r.host: r.language for r in readers.read_settings(spark, f"{place}/s").collect()} == {"a": "en", "b": "es"}
+
+
+def test_folder_dataset(spark, place):
+    dataset.register(spark)
+    read = lambda path, **options: spark.read.format("folder_dataset").options(**options).load(path)
+    text_of = lambda path, **options: [r.text for r in read(path, **options).collect()]
+    put(place, "two/b.csv", b"no\n")
+    put(place, "two/a.CSV", "a,b\r\n\ncr\rinside\né\n\xff".encode("latin-1").replace(b"\xe9", "é".encode()))
+    put(place, "two/input.txt", b"no\n")
+    put(place, "two/.a.csv", b"hidden\n")
+    assert text_of(f"{place}/two") == ["a,b", "", "cr\rinside", "é", "\ufffd"]
+    put(place, "text/input.txt", b"last line has no end")
+    put(place, "text/other.txt", b"no\n")
+    assert text_of(f"file:{place}/text") == ["last line has no end"]
+    put(place, "none/notes.md", b"no\n")
+    assert text_of(f"{place}/none") == [] and text_of(f"{place}/absent") == []
+    put(place, "zero/a.csv", b"")
+    assert text_of(f"{place}/zero") == []
+    both = read(place, children="true").groupBy(F.substring_index("file", "/", -2).alias("f")).count().collect()
+    assert {tuple(r) for r in both} == {("two/a.CSV", 5), ("text/input.txt", 1)}
+
+
+def test_folder_dataset_in_ranges(spark, place, monkeypatch):
+    dice = random.Random(1)
+    lines = ["x" * dice.choice([0, 0, 1, 3, 40, 200]) + str(n) for n in range(3_000)]
+    for end in ("\n", ""):
+        put(place, f"d{len(end)}/a.csv", ("\n".join(lines) + end).encode())
+    for read, block in ((7, 50), (64, 13), (1 << 22, 1_000), (100, 1 << 20)):
+        monkeypatch.setattr(dataset, "READ", read)
+        for end in (0, 1):
+            size = os.path.getsize(f"{place}/d{end}/a.csv")
+            dealt = dataset.ranges([(f"{place}/d{end}/a.csv", size)], block)
+            got = [x for own in dealt for path, a, b in own for part in dataset.lines_of(path, a, b) for x in part.column(0).to_pylist()]
+            assert got == lines
+    frame = spark.read.format("folder_dataset").option("blockBytes", 20_000).load(f"{place}/d1") if dataset.register(spark) is None else None
+    assert frame.rdd.getNumPartitions() > 3
+    assert sorted(r.text for r in frame.collect()) == sorted(lines)
 
 
 def test_listings(spark, place):
@@ -145,10 +269,32 @@ def test_properties(spark, place):
     assert got == {("core-site.xml", "fs.defaultFS", "hdfs://localhost:9000"), ("core-site.xml", "x", "a & b")}
 
 
-def test_digests_and_releases(spark, place):
+def test_digests(spark, place):
     put(place, "f/x.bin", b"abc")
-    row = readers.file_digests(spark, f"{place}/f").first()
-    assert row["size"] == 3 and row.digest.startswith("ba7816bf")
+    put(place, "f/x.gz", b"abc")  # as it is, whatever the name says
+    put(place, "f/empty", b"")
+    rows = {r.path.rsplit("/", 1)[1]: r for r in files.file_digests(files.list_tree(spark, f"{place}/f")).collect()}
+    assert rows["x.bin"]["size"] == 3 and rows["x.bin"].digest.startswith("ba7816bf")
+    assert rows["x.gz"].digest == rows["x.bin"].digest
+    assert rows["empty"]["size"] == 0 and rows["empty"].digest.startswith("e3b0c442")
+    gone = spark.createDataFrame([(f"{place}/f/gone",)], "path STRING")
+    assert tuple(files.file_digests(gone).first())[1:] == (None, None)
+
+
+def test_digest_of_a_file_over_two_gigabytes(spark, place):
+    size = 3 << 30
+    with open(f"{place}/large", "wb") as out:  # a hole: no blocks on the disk
+        out.truncate(size)
+    state = hashlib.sha256()
+    for _ in range(size >> 24):
+        state.update(bytes(1 << 24))
+    listed = files.list_tree(spark, place).filter("name = 'large'")
+    row = files.file_digests(listed).first()
+    os.truncate(f"{place}/large", 0)
+    assert row["size"] == size and row.digest == state.hexdigest()
+
+
+def test_releases(spark, place):
     put(place, "r/latest-windows-amd64.json", b'{"version":"0.2.1","sha256":"AB","url":"https://example.org/x"}')
     row = readers.read_releases(spark, f"{place}/r").first()
     assert (row.os, row.arch, row.version) == ("windows", "amd64", "0.2.1")
