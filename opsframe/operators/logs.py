@@ -158,6 +158,39 @@ STEP_FAILED = r"(?s)^(?:Paso fallido|Acción fallida): (.*)\z"
 STEP_FAILED_AT = r"(?s)^Paso \d+ falló: (.*)\. Detengo la secuencia\.\z"
 
 
+def _said(text: Column, title: str, name: str, done: str, failed: tuple[str, ...]) -> Column:
+    """What a line says of a step: null, or a struct of title, n, total, message, done.
+
+    One pass over the line tells which layout it has (they exclude each other; ``done`` has no groups): the match is
+    exchanged for its groups, each behind a separator. Lines that have the separator themselves are taken apart group by
+    group.
+    """
+    one = "|".join(f"(?:{layout})" for layout in (title, f"({name})", f"({done})", *failed))
+    first_message = 7  # behind number, total and title, the line with a name, the name, and the line of success
+    groups = range(1, first_message + len(failed))
+    cut = F.split(F.regexp_replace(text, one, _GAP + _GAP.join(f"${k}" for k in groups) + _GAP), _GAP)
+    at = lambda k: F.get(cut, F.lit(k))
+    quick = F.struct(
+        F.when(at(1) != "", at(3)).when(at(4) != "", at(5)).alias("title"),
+        at(1).alias("n"),
+        at(2).alias("total"),
+        F.coalesce(*[F.nullif(at(first_message + k), F.lit("")) for k in range(len(failed))]).alias("message"),
+        (at(6) != "").alias("done"),
+    )
+    part = lambda pattern, k: F.regexp_extract(text, pattern, k)
+    slow = F.struct(
+        F.when(text.rlike(title), part(title, 3)).when(text.rlike(name), part(name, 1)).alias("title"),
+        part(title, 1).alias("n"),
+        part(title, 2).alias("total"),
+        F.coalesce(*[F.nullif(part(pattern, 1), F.lit("")) for pattern in failed]).alias("message"),
+        text.rlike(done).alias("done"),
+    )
+    return F.when(F.contains(text, F.lit(_GAP)), slow).when(F.size(cut) > len(groups), quick)
+
+
+_GAP = "\u0001"
+
+
 def step_runs(
     lines: DataFrame,
     title: str = STEP_TITLE,
@@ -172,22 +205,19 @@ def step_runs(
     A separator row opens a step. It is ``failed`` (with the first message) if a line says so, else ``done``
     if a line says so, else ``open``.
     """
-    text = F.col("text")
-    message = F.coalesce(*[F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")) for pattern in failed])
-    named = F.when(text.rlike(title), F.regexp_extract(text, title, 3)).when(
-        text.rlike(name), F.regexp_extract(text, name, 1)
-    )
     steps = segment_by_marker(lines, marker, width=width).filter(F.col("segment") > 0)
-    rows = steps.select(
+    said = _said(F.col("text"), title, name, done, failed).alias("_said")
+    rows = steps.select("service", "segment", "seq", "ts", said)
+    rows = rows.select(
         "service",
         "segment",
         "seq",
         "ts",
-        named.alias("_title"),
-        S.to_int(F.regexp_extract(text, title, 1)).alias("_n"),
-        S.to_int(F.regexp_extract(text, title, 2)).alias("_total"),
-        message.alias("_message"),
-        text.rlike(done).alias("_done"),
+        F.col("_said.title").alias("_title"),
+        S.to_int(F.col("_said.n")).alias("_n"),
+        S.to_int(F.col("_said.total")).alias("_total"),
+        F.col("_said.message").alias("_message"),
+        F.coalesce(F.col("_said.done"), F.lit(False)).alias("_done"),
     )
 
     def first(column: str) -> Column:

@@ -91,7 +91,9 @@ def running(
             "lag": lambda name: F.lag(name).over(across),
         }
         found = [carries[fold.kind](name).alias(f"_carry_{name}") for name, fold in folds.items()]
-        carried = summaries.select(*keys, chunk, *found)
+        # Only what lies in several chunks has something to carry: a key within one needs nothing from here.
+        begun = F.lag(F.lit(True)).over(across).isNotNull()
+        carried = summaries.select(*keys, chunk, *found, begun.alias("_begun")).filter("_begun").drop("_begun")
     carried = carried.select(
         *[F.col(key).alias(f"_key_{key}") for key in [*keys, chunk]], *[f"_carry_{name}" for name in folds]
     )

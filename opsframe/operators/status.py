@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from http import HTTPStatus
 
@@ -95,16 +96,54 @@ def service_overview(services: DataFrame, latest: DataFrame) -> DataFrame:
     )
 
 
-def statuses_map(latest: DataFrame, shard_chars: int = 2) -> DataFrame:
-    """Latest statuses as maps from id to status, one for each shard of the ids.
+# Entries that a map of statuses may have, and digits of the hash that prefixes are cut from.
+MAP_ENTRIES = 4_096
+HASH_BITS = 60
 
-    One map for a whole fleet would be one row in one task, so ids are split by the leading ``shard_chars`` hex digits
-    of their MD5, whatever their number: 256 maps by default. The union of the maps is the whole table.
+
+def hash_bits(id_: Column) -> Column:
+    """The first 60 bits of the MD5 of an id as a text of zeros and ones."""
+    return F.lpad(F.conv(F.substring(F.md5(id_.cast("binary")), 1, HASH_BITS // 4), 16, 2), HASH_BITS, "0")
+
+
+def shards(ids: DataFrame, most: int = MAP_ENTRIES) -> DataFrame:
+    """(prefix): the shortest prefixes of hash bits that no more than ``most`` ids (unique, ``id``) share.
+
+    A directory that doubles where it is overfull: counts of long prefixes are added up to those of all shorter ones, and
+    a prefix is taken where it fits and the one before it does not.
+    """
+    bits = ids.select(hash_bits(F.col("id")).alias("_bits"))
+    depth = max(0, math.ceil(math.log2(max(bits.count(), 1) / most))) + 4
+    while True:
+        depth = min(depth, HASH_BITS)
+        leaves = bits.groupBy(F.substring("_bits", 1, depth).alias("leaf")).agg(F.count("*").alias("n"))
+        if depth == HASH_BITS or (leaves.agg(F.max("n")).first()[0] or 0) <= most:
+            break
+        depth += 4
+    above = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("k")
+    counts = leaves.select(above, "leaf", "n").groupBy(F.substring("leaf", F.lit(1), F.col("k")).alias("prefix"), "k")
+    fits = counts.agg(F.sum("n").alias("n")).filter((F.col("n") <= most) | (F.col("k") == depth))
+    # Of the prefixes of a leaf that fit, the shortest: the others begin with one that fits too.
+    shorter = fits.select(F.col("prefix").alias("_shorter"))
+    cut = F.substring("prefix", F.lit(1), F.length("prefix") - 1)
+    return fits.join(shorter, (F.length("prefix") > 0) & (cut == F.col("_shorter")), "left_anti").select("prefix")
+
+
+def statuses_map(latest: DataFrame, most: int = MAP_ENTRIES) -> DataFrame:
+    """Latest statuses as maps from id to status, none with more than ``most`` entries, however large the fleet.
+
+    One map for a whole fleet would be one row in one task, so ids are split by prefixes of their hash, which ``shards``
+    finds from counts. The union of the maps is the whole table.
     """
     others = [name for name in latest.columns if name != "id"]
     entry = F.struct(F.col("id"), F.struct(*others).alias("status"))
-    shard = F.substring(F.md5(F.col("id").cast("binary")), 1, shard_chars)
-    grouped = latest.groupBy(shard.alias("shard")).agg(F.collect_list(entry).alias("_entries"))
+    directory = shards(latest, most)
+    lengths = [row[0] for row in directory.select(F.length("prefix")).distinct().collect()]  # at most 61 numbers
+    if not lengths:
+        return latest.limit(0).groupBy(F.lit("").alias("shard")).agg(F.map_from_entries(F.collect_list(entry)).alias("statuses"))
+    asked = F.array(*[F.substring(hash_bits(F.col("id")), 1, n) for n in sorted(lengths)])
+    rows = latest.withColumn("_entry", entry).select("_entry", F.explode(asked).alias("prefix")).join(directory, "prefix")
+    grouped = rows.groupBy(F.col("prefix").alias("shard")).agg(F.collect_list("_entry").alias("_entries"))
     return grouped.select("shard", F.map_from_entries("_entries").alias("statuses"))
 
 

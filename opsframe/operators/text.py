@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import shlex
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.udtf import UserDefinedTableFunction
 
+from opsframe.operators import pipes
 from opsframe.plans.session import ship
 
 ship(__name__)
@@ -36,6 +36,11 @@ def head_preview(df: DataFrame, order: list[str], n: int = 20) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def trial_run(df: DataFrame, order: list[str], pipeline: Callable[[DataFrame], DataFrame], n: int = 20) -> DataFrame:
+    """What a pipeline makes of the first ``n`` input rows in the given order."""
+    return pipeline(head_preview(df, order, n))
+
+
 def pipe_mapreduce(
     lines: DataFrame, mapper: str, reducer: str, combiner: str | None = None, partitions: int | None = None
 ) -> DataFrame:
@@ -43,23 +48,16 @@ def pipe_mapreduce(
 
     The mapper gets each line on its standard input and prints ``key<TAB>value``. Its output is partitioned and
     sorted by key on disk, so a reducer gets each key's lines together, as a stream. ``combiner`` is a reducer
-    that may also run over a map task's own output (sums, counts, extremes): with it a frequent key arrives as
-    one line per map task. The programs must be reachable from every executor.
+    that may also run over parts of a map task's own output (sums, counts, extremes): with it a frequent key arrives
+    as one line per part. The job fails if any program ends with a status other than 0. The programs must be
+    reachable from every executor. Null lines are empty lines.
     """
-    spark = lines.sparkSession
-    text = lines.columns[0]
-
-    def pipe(rows: DataFrame, command: str) -> DataFrame:
-        printed = rows.rdd.map(lambda row: row[0]).pipe(f"sh -c {shlex.quote(command)}", checkCode=True)
-        return spark.createDataFrame(printed.map(lambda line: (line,)), "line STRING")
-
+    mapping = pipes.piped(mapper) if combiner is None else pipes.mapped_and_combined(mapper, combiner)
+    mapped = lines.select(F.col(lines.columns[0]).cast("string")).mapInArrow(mapping, "line STRING")
     key = F.substring_index("line", "\t", 1)
-    mapped = pipe(lines.select(text), mapper).withColumn("_key", key)
-    if combiner is not None:
-        # A pipe of its own, on the task's lines as Spark sorts them: each program's status counts.
-        mapped = pipe(mapped.sortWithinPartitions("_key").select("line"), combiner).withColumn("_key", key)
-    shuffled = mapped.repartition(partitions, "_key") if partitions else mapped.repartition("_key")
-    reduced = pipe(shuffled.sortWithinPartitions("_key").select("line"), reducer)
+    keyed = mapped.withColumn("_key", key)
+    shuffled = keyed.repartition(partitions, "_key") if partitions else keyed.repartition("_key")
+    reduced = shuffled.sortWithinPartitions("_key").select("line").mapInArrow(pipes.piped(reducer), "line STRING")
     value = F.substring(F.col("line"), F.length(key) + 2, F.length("line"))
     return reduced.select(key.alias("key"), value.alias("value"))
 
@@ -68,8 +66,10 @@ MapFunction = Callable[[pd.Series], pd.DataFrame]
 ReduceFunction = Callable[[pd.DataFrame], pd.DataFrame]
 GroupFunction = Callable[[Iterator[pd.DataFrame]], pd.DataFrame]
 
-# Rows that a map task gathers before it passes them on, and characters that a mapper gets at once.
+# Rows that a map task gathers before it passes them on, how many reduced parts may have before they are reduced together
+# (they may double since the last time as well), and characters that a mapper gets at once.
 GATHER = 200_000
+MERGE = 50_000
 SLICE_CHARS = 8_000_000
 
 
@@ -86,22 +86,26 @@ def map_reduce_udf(
     """The same contract with Python functions over Arrow batches; the first column of ``schema`` is the key.
 
     ``mapper`` turns a batch of lines into rows. ``reducer`` is an associative function from rows of any number
-    of keys to one row per key. It runs in the map tasks, so a frequent key leaves each of them as a few rows,
-    and again on the rows of each partition, sorted by key; only the last key of a batch is carried on.
+    of keys to one row per key. It runs in the map tasks, on each part alone and on the parts together when their rows
+    have doubled, so a frequent key leaves each task as a few rows; and again on the rows of each partition, sorted by
+    key, where only the last key of a batch is carried on.
     """
     text = lines.columns[0]
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None
+        parts, reduced, held = [], 0, 0  # rows that the last reduction left, rows that there are now
         for batch in batches:
             for part in slices(batch[text]):
-                rows = mapper(part)
-                state = reducer(rows if state is None else pd.concat([state, rows], ignore_index=True))
-                if len(state) > GATHER:
-                    yield state
-                    state = None
-        if state is not None:
-            yield state
+                parts.append(reducer(mapper(part)))
+                held += len(parts[-1])
+                if held > 2 * reduced + MERGE:
+                    parts = [reducer(pd.concat(parts, ignore_index=True))]
+                    reduced = held = len(parts[0])
+                    if held > GATHER:
+                        yield parts[0]
+                        parts, reduced, held = [], 0, 0
+        if parts:
+            yield reducer(pd.concat(parts, ignore_index=True))
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carried = None

@@ -29,14 +29,17 @@ def _(v):
     return config.heap_overrides(v["defaults"], v["overrides"])
 
 
+# Every third override has an id that no service has.
+STRAY = "SELECT CASE WHEN id % 3 = 0 THEN -id ELSE id END AS id, port, heap FROM {overrides}"
+
+
 @query(
     "orphan_overrides",
-    "SELECT id, port, heap FROM overrides WHERE id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)",
+    f"SELECT id, port, heap FROM ({STRAY.replace('{overrides}', 'overrides')}) WHERE id NOT IN (SELECT c_custkey FROM customer)",
     "overrides",
 )
 def _(v):
-    services = v["customer"].filter("c_nationkey < 20").select(F.col("c_custkey").alias("id"))
-    return config.orphan_overrides(services, v["overrides"])
+    return config.orphan_overrides(v["customer"].select(F.col("c_custkey").alias("id")), v.sql(STRAY))
 
 
 BASE = """SELECT o_custkey AS owner, o_orderkey AS pos,
@@ -189,14 +192,24 @@ def _(v):
     return flat_settings(config.settings_defaults(v.sql(SETTINGS)))
 
 
+# Some changes are resets, which name no key; three of the keys belong to registered services.
+CHANGE_LOG = """SELECT owner, CASE WHEN seq % 7 <> 0 THEN key END AS key, seq,
+       CASE WHEN seq % 7 <> 0 THEN op ELSE 'reset' END AS op, value FROM {changes}"""
+REGISTERED = ("1-URGENT", "2-HIGH", "3-MEDIUM")
+
+
 @query(
     "apply_changes",
-    """SELECT owner, key, value FROM changes
-QUALIFY row_number() OVER (PARTITION BY owner, key ORDER BY seq DESC) = 1 AND op = 'set'""",
+    f"""SELECT owner, key, value FROM (
+  SELECT owner, key, seq, value FROM ({CHANGE_LOG.replace('{changes}', 'changes')}) WHERE op <> 'reset'
+  QUALIFY row_number() OVER (PARTITION BY owner, key ORDER BY seq DESC) = 1 AND op = 'set'
+) LEFT JOIN (SELECT owner, max(seq) AS reset FROM changes WHERE seq % 7 = 0 GROUP BY owner) USING (owner)
+WHERE NOT coalesce(seq < reset AND key IN {REGISTERED}, false)""",
     "changes",
 )
 def _(v):
-    return config.apply_changes(v["changes"])
+    registered = v.spark.createDataFrame([(key,) for key in REGISTERED], "id STRING")
+    return config.apply_changes(v.sql(CHANGE_LOG), registered)
 
 
 PATHS = """SELECT id, map('home', concat('/srv/', id), 'logs', concat('/srv/', id, '/logs')) AS paths FROM {defaults}"""

@@ -84,15 +84,25 @@ def _(v):
     return status.service_overview(v.sql(SERVICES), status.latest_status(v["status"]))
 
 
+# Small maps, so that the directory of shards has something to split.
+ENTRIES = 50
+
+
 @query(
     "statuses_map",
-    f"""SELECT substr(md5(id), 1, 2) AS shard, count(*) AS services,
+    f"""SELECT shard, count(*) AS services,
        string_agg(concat(id, '=', pid, CASE WHEN running THEN '+' ELSE '-' END), ',' ORDER BY id) AS statuses
-FROM {LATEST} GROUP BY ALL""",
+FROM (
+  SELECT id, pid, running, substr(bits, 1, CAST(min(k) AS BIGINT)) AS shard FROM (
+    SELECT id, pid, running, bits, k, count(*) OVER (PARTITION BY k, substr(bits, 1, k)) AS n FROM (
+      SELECT id, pid, running, to_base(CAST(concat('0x', substr(md5(id), 1, 15)) AS BIGINT), 2, 60) AS bits FROM {LATEST}
+    ), range(61) r(k)
+  ) WHERE n <= {ENTRIES} GROUP BY id, pid, running, bits
+) GROUP BY shard""",
     "status",
 )
 def _(v):
-    maps = status.statuses_map(status.latest_status(v["status"]))
+    maps = status.statuses_map(status.latest_status(v["status"]), ENTRIES)
     sign = lambda entry: F.when(entry["value"]["running"], "+").otherwise("-")
     shown = F.transform(
         F.array_sort(F.map_entries("statuses")),

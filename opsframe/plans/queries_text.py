@@ -58,6 +58,19 @@ def _(v):
     return text.head_preview(text.word_count(v["documents"]), ["word"], 20)
 
 
+@query("input_preview", "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 20")
+def _(v):
+    return text.head_preview(v["documents"].select("doc_id", "text"), ["doc_id"], 20)
+
+
+@query(
+    "trial_run",
+    f"{COUNTS.replace(WORDS, WORDS.replace('FROM documents', 'FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 50)'))}",
+)
+def _(v):
+    return text.trial_run(v["documents"].select("doc_id", "text"), ["doc_id"], text.word_count, 50)
+
+
 @query("pipe_mapreduce", KEYED)
 def _(v):
     counted = text.pipe_mapreduce(v["documents"].select("text"), program(MAPPER), program(REDUCER), program(REDUCER))

@@ -56,6 +56,37 @@ def test_failing_program_fails_the_job(spark):
             text.pipe_mapreduce(lines, mapper, reducer, combiner).collect()
 
 
+def test_programs_that_do_not_read_and_odd_output(spark):
+    lines = spark.range(50_000).select(F.concat(F.lit("k"), F.col("id") % 7, F.lit("\t"), F.lit("v" * 50)).alias("text")).repartition(2)
+    one = text.pipe_mapreduce(lines, "head -n 1 || true", "cat").collect()
+    assert len(one) == 2
+    odd = spark.createDataFrame([("a\\n\\n b",), (None,), ("no tab",)], "text STRING").repartition(1)
+    got = text.pipe_mapreduce(odd, "cat; printf '\\377\\tx\\nlast\\ty'", "cat", "cat").collect()
+    assert sorted(map(tuple, got)) == sorted([("a\\n\\n b", ""), ("", ""), ("no tab", ""), ("\ufffd", "x"), ("last", "y")])
+    with pytest.raises(Exception, match="status 3.*out of luck"):
+        text.pipe_mapreduce(lines, "cat > /dev/null; echo out of luck >&2; exit 3", "cat").collect()
+
+
+@pytest.mark.parametrize("spill", [64, 1 << 25])
+def test_a_hot_key_leaves_map_tasks_combined(spark, monkeypatch, spill):
+    from opsframe.operators import pipes
+    from opsframe.plans.queries_text import MAPPER, REDUCER, program
+
+    monkeypatch.setattr(pipes, "SPILL", spill)
+    lines = spark.range(4_000).select(F.when(F.col("id") % 3 == 0, "hot cold").otherwise(F.concat(F.lit("w"), F.col("id") % 11)).alias("text"))
+    lines = lines.repartition(4)
+    mapping = pipes.mapped_and_combined(program(MAPPER), program(REDUCER))
+    sent = lines.mapInArrow(mapping, "line STRING")
+    hot = [r.line for r in sent.collect() if r.line.startswith("hot\t")]
+    assert sum(int(x.split("\t")[1]) for x in hot) == 1_334
+    assert len(hot) == 4 or spill < 1_000
+    got = dict(map(tuple, text.pipe_mapreduce(lines, program(MAPPER), program(REDUCER), program(REDUCER)).collect()))
+    want = {r["word"]: str(r["count"]) for r in text.word_count(lines).collect()}
+    assert got == want
+    # The same job again gives the same.
+    assert dict(map(tuple, text.pipe_mapreduce(lines, program(MAPPER), program(REDUCER), program(REDUCER)).collect())) == want
+
+
 def test_slices_hold_whole_lines(monkeypatch):
     monkeypatch.setattr(text, "SLICE_CHARS", 10)
     lines = pd.Series(["abc", "defg", None, "x" * 25, "", "y"])
@@ -187,6 +218,15 @@ def test_step_runs(spark):
         ("three", 3, 3, 2, None, "open"),
     ]
     assert (got[0].started, got[0].ended) == (at(1), at(3))
+    # A line with the separator of the layouts' groups is read like others; so is a width that holds all.
+    odd = lines.withColumn("text", F.replace("text", F.lit("two"), F.lit("t\u0001w\u0001o")))
+    assert [r.title for r in logs.step_runs(odd).orderBy("segment").collect()] == ["one", "t\u0001w\u0001o", "Kafka", "three"]
+    assert logs.step_runs(lines).orderBy("segment").collect() == got
+
+
+def test_a_trial_run_takes_the_first_rows(spark):
+    lines = spark.createDataFrame([(3, "c"), (1, "a a"), (2, "b")], "n INT, text STRING")
+    assert rows(text.trial_run(lines, ["n"], text.word_count, 2)) == [("a", 2), ("b", 1)]
 
 
 # Status
@@ -235,12 +275,24 @@ def test_overview_and_maps(spark):
     services = spark.createDataFrame([("a", 1), ("b", 2)], "id STRING, port INT")
     latest = spark.createDataFrame([("a", True, True, 7)], "id STRING, running BOOLEAN, healthy BOOLEAN, pid INT")
     assert rows(status.service_overview(services, latest)) == [("a", 1, "healthy", "7"), ("b", 2, "stopped", "—")]
-    one = status.statuses_map(latest, 0).first()
+    one = status.statuses_map(latest).first()
     assert one.shard == "" and one.statuses["a"].pid == 7
-    many = spark.range(100).selectExpr("concat('s', id) AS id", "true AS running")
-    maps = status.statuses_map(many, 1).collect()
-    assert {len(m.shard) for m in maps} == {1}
-    assert sorted(key for m in maps for key in m.statuses) == sorted(f"s{n}" for n in range(100))
+    assert status.statuses_map(latest.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("most", [1, 3, 16, 1_000, 10_000])
+def test_maps_of_statuses_have_a_bounded_size(spark, most):
+    many = spark.range(3_000).selectExpr("concat('s', id) AS id", "id % 2 = 0 AS running")
+    maps = status.statuses_map(many, most).collect()
+    assert max(len(m.statuses) for m in maps) <= most
+    assert sorted((key, value.running) for m in maps for key, value in m.statuses.items()) == sorted(map(tuple, many.collect()))
+    prefixes = [m.shard for m in maps]
+    assert not any(a != b and b.startswith(a) for a in prefixes for b in prefixes) if len(prefixes) < 500 else True
+    # No two maps could have been one.
+    sizes = {m.shard: len(m.statuses) for m in maps}
+    for prefix, n in sizes.items():
+        other = prefix[:-1] + ("0" if prefix.endswith("1") else "1")
+        assert not prefix or other not in sizes or n + sizes[other] > most
 
 
 def test_state_flips(spark):
