@@ -205,20 +205,21 @@ def step_runs(
     A separator row opens a step. It is ``failed`` (with the first message) if a line says so, else ``done``
     if a line says so, else ``open``.
     """
-    steps = segment_by_marker(lines, marker, width=width).filter(F.col("segment") > 0)
-    said = _said(F.col("text"), title, name, done, failed).alias("_said")
-    rows = steps.select("service", "segment", "seq", "ts", said)
-    rows = rows.select(
+    # Lines are read before they are shuffled: what they say is far shorter than they are.
+    opens = F.coalesce(F.col("text").isin(*SEPARATORS) if marker is None else marker, F.lit(False)).alias("_opens")
+    said = lines.select("service", "seq", "ts", opens, _said(F.col("text"), title, name, done, failed).alias("_said"))
+    said = said.select(
         "service",
-        "segment",
         "seq",
         "ts",
+        "_opens",
         F.col("_said.title").alias("_title"),
         S.to_int(F.col("_said.n")).alias("_n"),
         S.to_int(F.col("_said.total")).alias("_total"),
         F.col("_said.message").alias("_message"),
         F.coalesce(F.col("_said.done"), F.lit(False)).alias("_done"),
     )
+    rows = segment_by_marker(said, F.col("_opens"), width=width).filter(F.col("segment") > 0)
 
     def first(column: str) -> Column:
         return F.min_by(column, F.when(F.col(column).isNotNull(), F.col("seq")))

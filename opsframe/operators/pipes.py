@@ -1,5 +1,8 @@
 """User programs as children of a task: Arrow batches go to standard input as blocks of bytes, standard output is cut into
-batches at its newlines. No line is ever a Python object."""
+batches at its newlines. No line is ever a Python object.
+
+The kernels here take the system's allocator: Arrow's own was seen to fail in long tasks that allocate large blocks.
+"""
 
 from __future__ import annotations
 
@@ -21,7 +24,7 @@ SPILL = 1 << 25  # bytes of mapper output that are sorted and combined at once
 TAIL = 4_000  # bytes of its last messages that are kept for the error
 
 LINE = pa.schema([("line", pa.string())])
-NEWLINE = 0x0A
+NEWLINE, TAB = 0x0A, 0x09
 
 
 class ProgramFailed(RuntimeError):
@@ -30,9 +33,9 @@ class ProgramFailed(RuntimeError):
 
 def as_lines(column: pa.Array) -> pa.Buffer | bytes:
     """The values of a string column, each with a newline behind it; null is an empty line."""
-    text = column.cast(pa.large_string())
+    text = pc.cast(column, pa.large_string(), memory_pool=pa.system_memory_pool())
     nothing, newline = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
-    ended = pc.binary_join_element_wise(text, nothing, newline, null_handling="replace", null_replacement="")
+    ended = pc.binary_join_element_wise(text, nothing, newline, null_handling="replace", null_replacement="", memory_pool=pa.system_memory_pool())
     ended = ended.combine_chunks() if isinstance(ended, pa.ChunkedArray) else ended
     if not len(ended):
         return b""
@@ -139,12 +142,30 @@ def piped(command: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
+def keys_of(lines: pa.StringArray) -> pa.StringArray:
+    """What is before the first tab of each line; whole lines without one."""
+    offsets = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1].astype(np.int64)
+    raw = np.frombuffer(lines.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    tabs = np.append(np.flatnonzero(raw == TAB), len(raw))
+    ends = np.minimum(tabs[np.searchsorted(tabs, offsets[:-1])], offsets[1:])
+    edge = np.zeros(len(raw) + 1, np.int8)  # 1 where a key begins, -1 behind it; empty keys cancel out
+    np.add.at(edge, offsets[:-1], 1)
+    np.add.at(edge, ends, -1)
+    values = np.ascontiguousarray(raw[np.cumsum(edge[:-1], dtype=np.int8) > 0])
+    starts = np.append(0, np.cumsum(ends - offsets[:-1])).astype(np.int32)
+    return pa.StringArray.from_buffers(len(lines), pa.py_buffer(starts), pa.py_buffer(values))
+
+
 def by_key(lines: pa.StringArray) -> pa.StringArray:
     """Lines with equal keys (what is before the first tab) together, in the order of their keys' bytes."""
-    keys = pc.list_element(pc.split_pattern(lines, "\t", max_splits=1), 0).dictionary_encode()
-    rank = np.empty(len(keys.dictionary), np.int64)
-    rank[np.asarray(pc.sort_indices(keys.dictionary))] = np.arange(len(rank))
-    return lines.take(pa.array(np.argsort(rank[np.asarray(keys.indices)], kind="stable")))
+    if not len(lines):
+        return lines
+    keys = pc.dictionary_encode(keys_of(lines), memory_pool=pa.system_memory_pool())
+    rank = np.empty(len(keys.dictionary), np.int32)
+    rank[np.asarray(pc.sort_indices(keys.dictionary, memory_pool=pa.system_memory_pool()))] = np.arange(len(rank), dtype=np.int32)
+    order = np.argsort(rank[np.asarray(keys.indices)], kind="stable")
+    return pc.take(lines, pa.array(order), memory_pool=pa.system_memory_pool())
 
 
 def mapped_and_combined(mapper: str, combiner: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
