@@ -2,7 +2,12 @@
 
 A word is a run of bytes outside 0x20 and 0x09-0x0D (the same in code points, since UTF-8 keeps these bytes for
 themselves); A-Z are lower-cased. A shingle is the hash of five neighbouring words, or of all words of a shorter
-text. Hashes are mixed polynomials modulo 2^64, the same on every machine.
+text.
+
+A word's hash is the sum, modulo 2^64, of one number for each of its bytes, which depends on the byte and its place in
+the word and goes through a scrambling that is not linear. (A polynomial will not do: modulo a power of two all of them
+are equal for some pairs of words, such as the Thue-Morse words, whatever the base.) Hashes are the same on every
+machine. Two given different words or shingles have one hash with probability 2^-64.
 """
 
 from __future__ import annotations
@@ -32,21 +37,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-# One random number per byte value, and the powers that weigh positions in a word and words in a shingle.
+# One random number per byte value, the step from place to place in a word, and weights of the words in a shingle.
 _EXACT = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FOLDED = _EXACT[_LOWER]
-_STEP = 0xD1342543DE82EF95
+_STEP = np.uint64(0xD1342543DE82EF95)
 _WORD_STEP = [np.uint64(pow(0xDA942042E4DD58B5, k, 2**64)) for k in range(WIDTH)]
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base % 2**64, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_UP = _powers(_STEP, PIECE + 1)
-_DOWN = _powers(pow(_STEP, -1, 2**64), PIECE + 1)
+def _scattered(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The numbers that bytes at their places add to a hash."""
+    x = places.astype(np.uint64)
+    x *= _STEP
+    x += values
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,16 +97,17 @@ def run_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray, values: np.
             total = np.uint64(0)
             for part in range(begin, last[at], PIECE):
                 bytes_ = raw[part : min(part + PIECE, last[at])]
-                power = np.uint64(pow(_STEP, int(part - begin), 2**64))
-                total += np.add.reduce(values[bytes_] * _UP[: len(bytes_)], dtype=np.uint64) * power
+                places = np.arange(part - begin, part - begin + len(bytes_))
+                total += np.add.reduce(_scattered(values[bytes_], places), dtype=np.uint64)
             out[at] = total
             at += 1
             continue
         bytes_ = raw[begin : last[end - 1]]
+        a, b = first[at:end] - begin, last[at:end] - begin
+        places = np.arange(len(bytes_)) - np.repeat(a, np.diff(np.append(a, len(bytes_))))
         sums = np.zeros(len(bytes_) + 1, np.uint64)
-        np.cumsum(values[bytes_] * _UP[: len(bytes_)], out=sums[1:])
-        a = first[at:end] - begin
-        out[at:end] = (sums[last[at:end] - begin] - sums[a]) * _DOWN[a]
+        np.cumsum(_scattered(values[bytes_], places), out=sums[1:])
+        out[at:end] = sums[b] - sums[a]
         at = end
     return mix(out + (last - first).astype(np.uint64))
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from opsframe.llm import (
     pseudonyms,
     quality_model,
     quality_rules,
+    shingles,
     toxicity,
 )
 from opsframe.llm.components import components
@@ -61,6 +63,30 @@ def rows():
     return list(enumerate(texts))
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[k.bit_count() % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 1_024, 2_048, 8_192])
+def test_words_on_which_polynomials_collide(spark, n):
+    one, other = thue_morse(n), thue_morse(n, "ba")
+    assert list(shingles.sets(pa.array([one])))[0] != list(shingles.sets(pa.array([other])))[0]
+    docs = frame(spark, [(1, one), (2, other), (3, one.upper()), (4, f"{one} {other}"), (5, f"{other} {one}")])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (1, 4), 5: (1, 5)}
+    lines = [f"{one}\n{other}\n{one}", f"{one} a b c d {other} a b c d", f"x {one} a b c d x {one} a b c d"]
+    rows = quality_rules.cascade(frame(spark, list(enumerate(lines)))).orderBy("doc_id").collect()
+    assert [(r.n_dup_lines, r.n_repeat_words) for r in rows] == [plain.measures(x)[3:] for x in lines] == [(1, 0), (0, 0), (0, 12)]
+
+
+def test_long_words_hash_alike_wherever_pieces_end(monkeypatch):
+    texts = pa.array(["a " + "xy" * 3_000 + " b c d e", "xy" * 3_000 + " b", None, "b c"])
+    want = shingles.words(texts)[0]
+    monkeypatch.setattr(shingles, "PIECE", 100)
+    got = shingles.words(texts)[0]
+    assert (got == want).all() and want[1] == want[6] and want[2] == want[7]
+
+
 def test_queries_with_sql(spark, sf_dir):
     con = connect(sf_dir)
     for name in ("op4_chat_format", "op7_exact_dedup"):
