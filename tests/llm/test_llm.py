@@ -3,6 +3,8 @@ other columns."""
 
 import hashlib
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -344,7 +346,7 @@ def test_html_names_of_wrappers():
     assert html_text.blocks(f"<article>{text}{left_out}</article>{left_out}<div class=comments>{text * 9}</div>") == [(True, text)]
 
 
-def test_html_differences(spark):
+def test_html_differences(spark, monkeypatch):
     open_page = "<body><div>Shop of things</div><div>{0}</div><div>Call us now</div></body>"
     pages = [(k, f"http://h.c/n/{k}", open_page.format(prose(k, 30))) for k in range(4)]
     df = spark.createDataFrame(pages, "page_id BIGINT, url STRING, html STRING").coalesce(1)
@@ -359,9 +361,11 @@ def test_html_differences(spark):
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        found = html_text.shared_lines(a, b)
-        rest = iter(b)
-        assert len(found) == best[-1][-1] and all(a[k] in rest for k in sorted(found))
+        for direct in (2_048, 2):
+            monkeypatch.setattr(html_text, "DIRECT", direct)
+            found = html_text.shared_lines(a, b)
+            rest = iter(b)
+            assert len(found) == best[-1][-1] and all(a[k] in rest for k in sorted(found))
 
 
 def test_html_differences_with_marked_neighbours(spark):
@@ -383,6 +387,104 @@ def test_html_differences_with_marked_neighbours(spark):
     assert html_text.article(page, [other]) == [title, text]
 
 
+# What is left out and what stays, in pages of all kinds; TEXT is what has to come out.
+TEXT = "All that is said on this page is here."
+WHOLE_PAGES = [
+    ("<article><p>{}</p></article><article class='comment'>Nice one</article>", TEXT),
+    ("<article><p>{}</p><article class=comment><p>Nice one</article></article>", TEXT),
+    ("<article>{}<div class='post-comments'><p>Nice one</div></article>", TEXT),
+    ("<article>{}<ol class='comment-list'><li>Nice one</ol></article>", TEXT),
+    ("<div class='main-menu'>Home Shop</div><div class='site-nav'>All of it</div><div class=entry>{}</div>", TEXT),
+    ("<div class='ad-container'>Buy</div><div id='related-posts'>More</div><p class='no-sidebar ad-free'>{}", TEXT),
+    ("<p title=it's>{}", TEXT),
+    ("<p title=\"abc>{}", TEXT),
+    ("<p title='a>b' class=\"c>d\">{}<p data-x=\"it's\">", TEXT),
+    ("<p title = 'a > b'>{}<br/><img alt=\"1 > 2\">", TEXT),
+    ("<script>if (a < b) { '<p>no</p>' }</script><!-- <p>no</p> --><p>{}<!-- open <p>no", TEXT),
+    ("<noscript><p>no</p></noscript><p>{}<script>no", TEXT),
+    ("<p>1 &lt; 2 &amp;amp; 3&nbsp;> 2 <p>a<b>b</b>c\n\t d &#233;&#x41;<br>{}", "1 < 2 &amp; 3 > 2 abc d éA " + TEXT),
+    ("<form>f<p>f</form><select><option>o</select><p>{}<button>b</button>", TEXT),
+    ("", ""),
+    ("<nav>only</nav>", ""),
+    ("< p > <3 {}", "< p > <3 " + TEXT),
+]
+
+
+def test_html_whole_pages(spark):
+    pages = [(k, f"http://host{k}/", page.replace("{}", TEXT)) for k, (page, _) in enumerate(WHOLE_PAGES)]
+    df = spark.createDataFrame(pages, "page_id BIGINT, url STRING, html STRING")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    for k, (page, want) in enumerate(WHOLE_PAGES):
+        assert got[k] == want, page
+
+
+def test_html_of_unclosed_elements_takes_linear_time():
+    page = "<div class=ad>x" * 40_000 + "</section>" * 40_000 + "<p>" * 40_000 + TEXT
+    start = time.perf_counter()
+    found = html_text.marked(page)
+    assert len(found) == 40_001 and time.perf_counter() - start < 20
+
+
+def plain_texts(rows):
+    """The texts of (page_id, url, html) rows, all pages sorted in one list."""
+    pages = []
+    for page_id, url, page in rows:
+        scheme = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", url or "")
+        host = None if url is None else scheme[1].lower() if scheme else ""
+        path = re.match(r"[^?#]*", (url or "")[scheme.end() if scheme else 0 :])[0]
+        lines = html_text.marked(page or "")
+        content = html_text.line_hash("\n".join(x for _, x in lines)) if lines else 0
+        pages.append((host is not None, host or "", path, url or "", page_id is not None, page_id or 0, content, lines))
+    pages.sort(key=lambda x: x[:7])
+    by_host = {}
+    for page in pages:
+        lines = page[7]
+        if not any(state & 3 == html_text.ARTICLE for state, _ in lines):
+            own = frozenset(x for state, x in lines if state & 3 == html_text.OPEN)
+            by_host.setdefault(page[:2], set()).add(own)
+    frame = {}
+    for host, different in by_host.items():
+        counts = Counter(x for own in different for x in own)
+        n = len([own for own in different if own])
+        frame[host] = {html_text.line_hash(x) for x, k in counts.items() if k >= 3 and 4 * k >= n}
+    out = Counter()
+    for k, page in enumerate(pages):
+        near = [pages[j][7] for j in (k - 1, k + 1) if 0 <= j < len(pages) and pages[j][:2] == page[:2]]
+        out[page[5], page[3], " ".join(html_text.article(page[7], near, frozenset(frame.get(page[:2], ()))))] += 1
+    return out
+
+
+def test_html_does_not_depend_on_partitions(spark):
+    dice = random.Random(12)
+    bare = "<body><div>Shop of {h}</div><p>We use what you give</p>{t}<div>Call us now</div><div>All rights of {h}</div></body>"
+    named = "<body><nav>Shop</nav><article>{t}<p>Call us now</article><p>Call us now</p></body>"
+    rows = []
+    for k in range(150):
+        host = dice.choice(["a.b", "a.b", "a.b", *(f"h{n}.c" for n in range(20))])
+        text = "".join(f"<p>{prose(dice.randrange(60), 6)}</p>" for _ in range(dice.randrange(4)))
+        layout = named if dice.random() < 0.3 else bare
+        rows.append((k, f"http://{host}/{dice.choice('xyz')}/{dice.randrange(60)}?q={dice.randrange(3)}", layout.format(h=host, t=text)))
+    rows += [rows[3], rows[3], rows[4], (4, rows[4][1], "<p>another text of the same page</p>")]
+    rows += [(900 + k, f"http://copies.d/{k}", bare.format(h="d", t=f"<p>{prose(77, 50)}</p>")) for k in range(12)]
+    rows += [(None, None, "<p>no url"), (None, None, "<p>no url"), (999, "no host", "x"), (998, "", "y"), (997, "http://a.b/x/0?q=1", None)]
+    want = plain_texts(rows)
+    old = {key: spark.conf.get(key) for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (1, 7, 61):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            df = spark.createDataFrame([(*row, "h", "p") for row in rows], "page_id BIGINT, url STRING, html STRING, host STRING, place STRING")
+            got = Counter((r.page_id or 0, r.url or "", r.text) for r in html_text.main_text(df).collect())
+            assert got == want, n
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    # The frame goes from short texts too, and copies of one article keep it.
+    short = [x[2] for x in want if x[1].startswith("http://a.b/")]
+    assert not any("All rights" in x or "Shop of" in x for x in short)
+    assert sum(prose(77, 50) in x[2] for x in want) == 12
+
+
 LAYOUTS = {
     '{"prompt": "p", "response": "r"}': [("user", "p"), ("assistant", "r")],
     '{"completion": "r", "prompt": "p"}': [("user", "p"), ("assistant", "r")],
