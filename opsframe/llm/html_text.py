@@ -300,6 +300,9 @@ def line_hash(line: str) -> int:
 FRAME_PAGES = 3
 FRAME_SHARE = 4  # one in
 
+# Ranges of pages for each partition that they are dealt to by hash: several even out.
+RANGES = 8
+
 _MARKED = r"(?is)<(?:article|main)[\s/>]|role\s*=\s*[\"']?main\b"
 KEYS = ["host", "path", "link", "page_id"]
 
@@ -369,8 +372,8 @@ class Ranges:
 
 
 def ranges_of(pages: DataFrame) -> Ranges:
-    """As many ranges as a shuffle has partitions: what comes to the driver is two keys of each."""
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """``RANGES`` for each partition of a shuffle: what comes to the driver is two keys of each."""
+    n = RANGES * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = pages.select(*KEYS).repartitionByRange(n, *KEYS)
     both = [F.min(F.struct(*KEYS)).alias("first"), F.max(F.struct(*KEYS)).alias("last")]
     found = dealt.groupBy(F.spark_partition_id().alias("range")).agg(*both).collect()
