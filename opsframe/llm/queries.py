@@ -81,7 +81,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_quality_rules")
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.cascade(table(spark, sf_dir, "documents")).drop("rejected_by")
+    return quality_rules.cascade(table(spark, sf_dir, "documents")).drop("rejected_by", "rules_run")
 
 
 @query("op8_html_text")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -78,6 +80,28 @@ def measures(text):
     return (len(own), sum(map(len, own)), symbols, dup, len(covered))
 
 
+def broken_rules(text):
+    """The quality rules that a text breaks."""
+    text = text or ""
+    own, raw = words(text), text.encode()
+    n, chars, symbols, dup, _ = measures(text)
+    lines = [line for line in text.split("\n") if WORD.search(line)]
+    counts = Counter(raw)
+    bits = -sum(c / len(raw) * math.log2(c / len(raw)) for c in counts.values())
+    tests = {
+        "symbols": 10 * symbols > 3 * n,
+        "short words": chars < 2 * n,
+        "long words": chars > 15 * n,
+        "repeated lines": 100 * dup > 50 * len(lines),
+        "bullets": len(lines) > 2 and 10 * sum(words(x)[0][0] in "-*•" for x in lines) > 9 * len(lines),
+        "lines cut off": len(lines) > 2 and 10 * sum(words(x)[-1].endswith(("...", "…")) for x in lines) > 9 * len(lines),
+        "few different words": 10 * len(set(own)) < n,
+        "one kind of character": bits < 2,
+        "compresses too well": 10 * len(zlib.compress(raw, 1)) < len(raw),
+    }
+    return {name for name, broken in tests.items() if broken}
+
+
 def duplicates(rows):
     groups = defaultdict(list)
     for d, t in rows:

@@ -97,7 +97,7 @@ def test_queries_with_sql(spark, sf_dir):
 
 def test_exact_dedup(spark, rows):
     groups = plain.duplicates(rows)
-    for options in ({}, {"capacity": 2, "max_depth": 8}):
+    for options in ({}, {"capacity": 2}):
         got = {r.doc_id: r for r in exact_dedup.exact_duplicates(frame(spark, rows), **options).collect()}
         for d, t in rows:
             own = groups[t or ""]
@@ -105,12 +105,18 @@ def test_exact_dedup(spark, rows):
             assert tuple(got[d]) == (d, max(own), len(own), d == max(own), digest)
 
 
-def test_exact_dedup_compares_bytes_where_hashes_collide(spark, rows):
+def test_exact_dedup_compares_bytes_where_fingerprints_collide(spark, rows):
     few = lambda text: F.pmod(F.length(text), F.lit(3)).cast("bigint")
-    poor = lambda text: F.lit("same")
     df = frame(spark, rows)
     good = exact_dedup.exact_duplicates(df).collect()
-    assert sorted(map(tuple, exact_dedup.exact_duplicates(df, fp=few, sha=poor).collect())) == sorted(map(tuple, good))
+    assert sorted(map(tuple, exact_dedup.exact_duplicates(df, fp=few).collect())) == sorted(map(tuple, good))
+    index, places, depth = exact_dedup.build_index(df, 4, few)
+    chains = {}
+    for r in index.collect():
+        chains.setdefault((r.bucket, r.fp), []).append((r.chain, r.text))
+    texts = {t or "" for _, t in rows}
+    assert sorted(text for chain in chains.values() for _, text in chain) == sorted(texts)
+    assert all(sorted(n for n, _ in chain) == list(range(1, len(chain) + 1)) for chain in chains.values())
 
 
 def test_exact_dedup_splits_overfull_buckets(spark):
@@ -119,13 +125,16 @@ def test_exact_dedup_splits_overfull_buckets(spark):
     filled = heads.withColumn("cell", F.shiftrightunsigned("fp", 54)).join(held, "cell").groupBy("bucket", "depth").count()
     found = filled.collect()
     assert sum(r["count"] for r in found) == 4000 and max(r["count"] for r in found) <= 100 and len(found) > 40
+    assert [exact_dedup.bits(n, 100) for n in (0, 1, 100, 101, 4000, 10**12)] == [1, 1, 4, 5, 10, exact_dedup.MAX_BITS]
 
 
 def test_deduplicate_keeps_one_row(spark):
-    df = frame(spark, [(1, "a"), (1, "a"), (2, "a"), (2, "a"), (None, "b"), (None, "b"), (3, None), (4, "")])
-    got = exact_dedup.deduplicate(df)
-    assert got.columns == df.columns
-    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == [("2", "a"), ("4", ""), ("None", "b")]
+    rows = [(1, "a"), (1, "a"), (2, "a"), (2, "a"), (None, "b"), (None, "b"), (3, None), (4, ""), (2, "c")]
+    df = frame(spark, rows).withColumnsRenamed({"fp": "bucket", "size": "row"})  # names that the operator uses itself
+    few = lambda text: F.lit(7).cast("bigint")
+    for got in (exact_dedup.deduplicate(df), exact_dedup.deduplicate(df, fp=few)):
+        assert got.columns == df.columns
+        assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == [("2", "a"), ("2", "c"), ("4", ""), ("None", "b")]
 
 
 def test_components(spark):
@@ -238,11 +247,44 @@ def test_quality_rules(spark, rows):
     assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain.measures(text)
 
 
+BAD = {
+    "symbols": "a # word * here % and $ more & of | them < and > so on",
+    "short words": "a b c d e f g h i j k l m n o p",
+    "long words": " ".join(f"{'lengthyword' * 2}{k}" for k in range(20)),
+    "repeated lines": "\n".join(["one line"] * 6 + [f"word{k} of text{k}" for k in range(2)]),
+    "bullets": "\n".join(f"{mark} point{k} here" for k, mark in enumerate("-*•- ".replace(" ", "-"))),
+    "lines cut off": "\n".join(f"text{k} goes on{end}" for k, end in enumerate(["...", "… ", "...", "…", "..."])),
+    "few different words": " ".join(f"w{k % 3}x{k % 5}" for k in (0, 0, 1, 0, 2, 2, 1, 1, 0, 1) * 50),
+    "one kind of character": " ".join("a" * (30 + k) for k in range(12)),
+    "compresses too well": " ".join(("ab" * 300 + str(k)) for k in range(12)),
+}
+
+
+def test_rules_against_plain_ones(spark, rows):
+    texts = [t for _, t in rows] + list(BAD.values()) + [prose(5, 40) + "...", "- " + prose(6, 40), "…\n" * 5, prose(7, 300)]
+    df = frame(spark, list(enumerate(texts)))
+    order = [rule.name for rule in quality_rules.RULES]
+    got = {r.doc_id: r for r in quality_rules.cascade(df, quality_rules.RULES).collect()}
+    for k, text in enumerate(texts):
+        broken = plain.broken_rules(text)
+        r = got[k]
+        assert r.kept == (not r.base_failed and not broken), text[:60]
+        if not r.base_failed:
+            first = next((name for name in order if name in broken), None)
+            assert r.rejected_by == first
+            assert r.rules_run == (order.index(first) + 1 if first else len(order))  # and none behind it
+        else:
+            assert r.rules_run == 0
+    assert all(name in plain.broken_rules(text) for name, text in BAD.items())
+    total = quality_rules.saved(quality_rules.cascade(df, quality_rules.RULES)).first()
+    assert total.asked == sum(r.rules_run for r in got.values()) and total.saved == len(order) * len(texts) - total.asked
+
+
 def test_rule_order_does_not_change_verdicts(spark, rows):
-    df = frame(spark, rows)
-    orders = [quality_rules.RULES, quality_rules.RULES[::-1]]
+    df = frame(spark, rows + [(1_000 + k, text) for k, text in enumerate(BAD.values())])
+    orders = [quality_rules.RULES, quality_rules.RULES[::-1], quality_rules.order_rules(df, sample_rows=30)]
     verdicts = [sorted((r.doc_id, r.kept) for r in quality_rules.cascade(df, order).collect()) for order in orders]
-    assert verdicts[0] == verdicts[1]
+    assert verdicts[0] == verdicts[1] == verdicts[2]
 
 
 def test_quality_model(spark, sf_dir):
