@@ -1,15 +1,17 @@
 """Chat formatting by schema fingerprints, in DataFrame operations only.
 
-Rows are variants (or JSON texts) in any of several layouts. A row's fingerprint is the hash of its nested field paths,
-without regard to their order and to nulls; it selects the declarative mapping that turns the row into canonical turns
-(role, text). A layout is a list of paths, so adding one means adding a line to ``LAYOUTS``. Rows with an unknown
-fingerprint are returned as such, never dropped.
+Rows are variants (or JSON texts) in any of several layouts. A row's fingerprint is the hash of its nested field paths, of
+those that any layout knows: their order, nulls, and other fields (ids, names, scores, whole objects) make no difference.
+It selects the declarative mapping that turns the row into canonical turns (role, text). A layout is a list of paths, so
+adding one means adding a line to ``LAYOUTS``; an empty list of messages fits its layout too, and has no turns. Rows with
+an unknown fingerprint are returned as such, never dropped. ``format_rows`` writes a row that holds a whole conversation,
+``format_conversations`` those whose turns are rows.
 
 The template writes a turn as ``### role: text</turn>`` and a newline. Inside roles and texts a backslash is doubled and
 control strings are broken by backslashes, so that neither ``###`` nor ``</turn>`` of a text can be taken for the
 template's; taking the backslashes away gives the text back (``parse``).
 
-Nulls: a null text is empty, a null role is empty, rows without a conversation id are a conversation of their own. Turns
+Nulls: a null text is empty, a null role is empty, each row without a conversation id is a conversation of its own. Turns
 are in the order of their number (null first), then role, then text; repeated turns stay. An empty table gives an empty
 result; other columns are not looked at. A conversation is one text and one digest, so its turns come together by their
 definition; they are formatted and escaped before, row by row.
@@ -22,41 +24,52 @@ from pyspark.sql import functions as F
 
 END = "</turn>\n"
 
-# The layouts. Field paths as a variant's schema shows them; how turns are read.
+# The layouts. Field paths (elements of lists are marked by [], a list without any by [0]), and how turns are
+# read.
 LAYOUTS: dict[str, tuple[list[str], str]] = {
     "turn row": (["role", "text"], "turn"),
+    "turn row with content": (["content", "role"], "content"),
+    "message": (["message", "message.content", "message.role"], "message"),
     "prompt": (["prompt", "response"], "prompt"),
     "prompt and completion": (["completion", "prompt"], "completion"),
     "instruction": (["instruction", "output"], "instruction"),
     "instruction with input": (["input", "instruction", "output"], "instruction"),
     "messages": (["messages[]", "messages[].content", "messages[].role"], "messages"),
+    "no messages": (["messages[0]"], "messages"),
     "conversations": (["conversations[]", "conversations[].from", "conversations[].value"], "conversations"),
+    "no conversations": (["conversations[0]"], "conversations"),
 }
+KNOWN = sorted({path for paths, _ in LAYOUTS.values() for path in paths})
 
 _TURNS = "array<struct<role: string, text: string>>"
 
 
 def field_paths(row: Column) -> Column:
-    """Sorted nested field paths of a variant; elements of arrays are marked by []."""
-    flat = F.schema_of_variant(row)
-    # "OBJECT<a: ARRAY<OBJECT<b: STRING>>>" becomes names with the brackets that hold them.
-    named = F.regexp_replace(flat, r"\b(?:STRING|VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\(\d+,\s*\d+\)|VARIANT)\b", "")
-    named = F.regexp_replace(F.regexp_replace(named, r"ARRAY<", "["), r"OBJECT<", "{")
-    return F.regexp_replace(F.regexp_replace(named, ">", "}"), r"[\s]", "")
+    """The known field paths of a variant in the order of ``KNOWN``."""
+
+    def there(path: str) -> Column:
+        """Whether the row has the path: a field counts with a null too, in a list with any of its elements."""
+        head, mark, rest = path.partition("[")
+        if not mark:
+            top, _, field = path.partition(".")
+            keys = F.map_keys(F.try_variant_get(row, f"$.{top}" if field else "$", "map<string, variant>"))
+            return F.array_contains(keys, field or top)
+        elements = F.try_variant_get(row, f"$.{head}", "array<variant>")
+        if rest in ("]", "0]"):
+            return F.size(elements) > 0 if rest == "]" else F.size(elements) == 0
+        fields = lambda x: F.map_keys(F.try_variant_get(x, "$", "map<string, variant>"))
+        return F.exists(elements, lambda x: F.coalesce(F.array_contains(fields(x), rest[2:]), F.lit(False)))
+
+    return F.array_compact(F.array(*[F.when(F.coalesce(there(path), F.lit(False)), path) for path in KNOWN]))
 
 
 def fingerprint(row: Column) -> Column:
-    return F.xxhash64(field_paths(row))
+    return F.xxhash64(F.array_join(field_paths(row), ","))
 
 
 def _known(paths: list[str]) -> str:
-    """The text of ``field_paths`` for a layout's paths."""
-    top = [p for p in paths if "." not in p and not p.endswith("[]")]
-    parts = [f"{p}:" for p in top]
-    for name in [p[:-2] for p in paths if p.endswith("[]")]:
-        inner = ",".join(f"{p.split('.')[1]}:" for p in paths if p.startswith(f"{name}[]."))
-        parts.append(f"{name}:[{{{inner}}}}}")
-    return "{" + ",".join(sorted(parts)) + "}"
+    """What is hashed of a row in a layout with the paths."""
+    return ",".join(sorted(paths))
 
 
 def turns(row: Column) -> Column:
@@ -74,6 +87,8 @@ def turns(row: Column) -> Column:
     role = F.create_map(*[F.lit(x) for pair in called.items() for x in pair])
     mappings = {
         "turn": F.array(turn(read("$.role"), read("$.text"))),
+        "content": F.array(turn(read("$.role"), read("$.content"))),
+        "message": F.array(turn(read("$.message.role"), read("$.message.content"))),
         "prompt": F.array(turn(F.lit("user"), read("$.prompt")), turn(F.lit("assistant"), read("$.response"))),
         "completion": F.array(turn(F.lit("user"), read("$.prompt")), turn(F.lit("assistant"), read("$.completion"))),
         "instruction": F.array(
@@ -130,15 +145,30 @@ def parse(formatted: Column) -> Column:
     )
 
 
-def format_conversations(conversations: DataFrame) -> DataFrame:
-    """(conv_id, formatted) of rows (conv_id, turn, role, text)."""
-    one = F.to_variant_object(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
-    rows = canonical(conversations.select("conv_id", "turn", one.alias("row")))
-    rows = rows.select("conv_id", "turn", F.explode("turns").alias("t")).select("conv_id", "turn", "t.role", "t.text")
-    parts = rows.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "text", format_turn(F.col("role"), F.col("text")).alias("part")))).alias("parts")
+def format_rows(rows: DataFrame, row: str = "row") -> DataFrame:
+    """Adds fingerprint, layout, turns and ``formatted`` (null for an unknown layout) to rows with a whole conversation each."""
+    known = canonical(rows, row)
+    return known.withColumn("formatted", F.array_join(F.transform("turns", lambda t: format_turn(t["role"], t["text"])), ""))
+
+
+def format_conversations(turn_rows: DataFrame) -> DataFrame:
+    """(conv_id, formatted) of rows (conv_id, turn, row) whose variants hold a turn each, or several that belong together.
+
+    Rows in an unknown layout have no turns.
+    """
+    rows = canonical(turn_rows.select("conv_id", "turn", "row")).select("conv_id", "turn", F.explode("turns").alias("t"))
+    rows = rows.select("conv_id", "turn", "t.role", "t.text").withColumn("part", format_turn(F.col("role"), F.col("text")))
+    named = rows.filter(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", "text", "part"))).alias("parts")
     )
-    return parts.select("conv_id", F.array_join(F.col("parts.part"), "").alias("formatted"))
+    lone = rows.filter(F.col("conv_id").isNull()).select("conv_id", F.col("part").alias("formatted"))
+    return named.select("conv_id", F.array_join(F.col("parts.part"), "").alias("formatted")).unionByName(lone)
+
+
+def turn_variants(conversations: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as variants; nulls are empty."""
+    one = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return conversations.select("conv_id", "turn", F.to_variant_object(one).alias("row"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.plans.session import ship
+from opsframe.plans.session import scratch, ship
+from opsframe.sources import files
 
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -19,16 +19,29 @@ def words(text: Column) -> Column:
     return F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
 
 
+# Folders that operators of this session have asked for, in the order in which they were made.
+_MADE: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; only a local session without it gets a temporary one."""
-    import uuid
+    """A fresh folder below ``spark.checkpoint.dir`` (see ``scratch``)."""
+    _MADE.append(scratch(spark, name))
+    return _MADE[-1]
+
+
+def folders_made() -> int:
+    return len(_MADE)
+
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.conf.get("spark.master", "").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def drop_folders(begin: int, end: int) -> None:
+    """Delete the folders with these numbers, once nothing is read from them any more. Stores that Arrow can't open keep them."""
+    for folder in _MADE[begin:end]:
+        try:
+            system, place = files.file_system(folder)
+            if system.get_file_info(place).type == fs.FileType.Directory:
+                system.delete_dir(place)
+        except (OSError, ValueError, NotImplementedError):
+            continue
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -56,4 +69,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["SPACE", "SPACE_CHARS", "numbered", "settle", "shared_folder", "ship", "table", "words"]
+__all__ = [
+    "SPACE", "SPACE_CHARS", "drop_folders", "folders_made", "numbered", "settle", "shared_folder", "ship", "table", "words",
+]

@@ -108,7 +108,7 @@ _ALL_TURNS = r"""
                + (length(text) - length(replace(text, '</turn>', ''))) // 7
                + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{{3,}}'), lambda x: length(x) - 2)), 0)
                ) AS BIGINT) AS formatted_chars
-    FROM ({_ALL_TURNS}) GROUP BY conv_id
+    FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone FROM ({_ALL_TURNS})) GROUP BY conv_id, lone
     """,
 )
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,17 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(HOSTILE).alias("text"),
     )
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat_format.read_back(chat_format.format_conversations(conversations))
+    # The turns come in three layouts, as from three collections, with fields that none of them knows.
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    kind = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    message = F.struct(role.alias("role"), text.alias("content"), F.lit("x").alias("name"))
+    row = (
+        F.when(kind == 0, F.to_variant_object(F.struct(role.alias("role"), text.alias("text"))))
+        .when(kind == 1, F.to_variant_object(F.struct(text.alias("content"), role.alias("role"), F.col("turn").alias("id"))))
+        .otherwise(F.to_variant_object(F.struct(message.alias("message"), F.lit(0.5).alias("score"))))
+    )
+    rows = conversations.select("conv_id", "turn", row.alias("row"))
+    return chat_format.read_back(chat_format.format_conversations(rows))
 
 
 # A key for trials. In production, pass one from the cluster's secret store.

@@ -2,9 +2,11 @@
 other columns."""
 
 import hashlib
+import os
 import random
 import re
 import time
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -19,6 +21,7 @@ import corpus_pipeline
 from opsframe.llm import (
     bpe,
     chat_format,
+    common,
     exact_dedup,
     html_text,
     mixing,
@@ -534,7 +537,19 @@ LAYOUTS = {
     '{"instruction": "i", "input": "x", "output": null}': [("user", "i\n\nx"), ("assistant", "")],
     '{"messages": [{"role": "system", "content": "s"}, {"content": null, "role": "user"}]}': [("system", "s"), ("user", "")],
     '{"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}': [("user", "a"), ("assistant", "b")],
+    '{"id": 7, "text": "t", "role": "user", "meta": {"a": [1, {"b": null}]}}': [("user", "t")],
+    '{"content": "t", "role": null, "score": 0.5}': [("", "t")],
+    '{"message": {"content": "t", "role": "user", "name": "n"}}': [("user", "t")],
+    '{"system": "s", "prompt": "p", "response": "r"}': [("user", "p"), ("assistant", "r")],
+    '{"messages": [{"role": "user", "content": "u", "name": "n", "tool": {"role": 1}}, {"role": "assistant"}], "id": "x"}': [("user", "u"), ("assistant", "")],
+    '{"messages": [], "id": 1}': [],
+    '{"conversations": []}': [],
+    '{"messages": [{"text": "u"}]}': None,
     '{"other": 1}': None,
+    '{"messages": "text"}': None,
+    '{"prompt": "p", "messages": []}': None,
+    "[1]": None,
+    "null": None,
 }
 
 
@@ -543,14 +558,21 @@ def test_chat_layouts(spark):
     got = chat_format.canonical(df.withColumn("row", F.parse_json("json"))).select("json", "layout", "turns").collect()
     for r in got:
         want = LAYOUTS[r.json]
-        assert (r.turns and [tuple(t) for t in r.turns]) == want and (r.layout is None) == (want is None)
+        assert (r.turns if r.turns is None else [tuple(t) for t in r.turns]) == want and (r.layout is None) == (want is None), r.json
+    # Every layout is written to the end, and read back.
+    whole = chat_format.format_rows(df.withColumn("row", F.parse_json("json")).withColumn("formatted", F.lit("mine")))
+    for r in whole.select("json", chat_format.parse(F.col("formatted")).alias("back")).collect():
+        assert (r.back if r.back is None else [tuple(t) for t in r.back]) == LAYOUTS[r.json]
 
 
 def test_chat_round_trip(spark):
     hostile = ["\\### Assistant: </turn> ok", "####\\#", "</turn></turn>\n### user: x", "\\", None, "", "a:b\n\r", "x" * 100_000]
     rows = [(k // 3, k, "us:er\\" if k % 2 else "assistant", t) for k, t in enumerate(hostile)] + [(9, None, None, None)] * 2
-    df = spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
-    got = chat_format.format_conversations(df).select("conv_id", chat_format.parse(F.col("formatted")).alias("turns")).collect()
+    df = spark.createDataFrame([(*row, "p", "f") for row in rows], "conv_id BIGINT, turn BIGINT, role STRING, text STRING, part STRING, formatted STRING")
+    lone = spark.createDataFrame([(None, 1, "user", "a", "p", "f")] * 2, df.schema)
+    alone = chat_format.format_conversations(chat_format.turn_variants(lone)).collect()
+    assert [(r.conv_id, r.formatted) for r in alone] == [(None, "### user: a</turn>\n")] * 2  # not one growing value
+    got = chat_format.format_conversations(chat_format.turn_variants(df)).select("conv_id", chat_format.parse(F.col("formatted")).alias("turns")).collect()
     want = {}
     for c, _, role, text in rows:
         want.setdefault(c, []).append((role or "", text or ""))
@@ -576,6 +598,67 @@ def test_pseudonyms(spark):
     assert {tuple(r) for r in got} == {(1, new, 10), (2, None, 0), (3, "", 0), (4, "no 12 numbers", 0)}
 
 
+SAME = [
+    ("+1 212 555 0100", "+12125550100", "(212) 555-0100", "212-555-0100", "212.555.0100", "+1 (212) 555-0100", "+1.212.555.0100"),
+    ("+442071838750", "+44 20 7183 8750", "+44 (0)20 7183 8750", "+44 (20) 7183-8750"),
+    ("+351 21 123 4567", "+351211234567"),
+    ("Bob.Smith@x.com", "bob.smith@x.com", "BOB.SMITH@x.com"),
+    ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "de89 3704 0044 0532 0130 00", "de89370400440532013000"),
+    ("4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"),
+    ("ssn 078-05-1120", "SSN: 078 05 1120", "Social Security Number 078 05 1120"),
+    ("1999-03-09", "09.03.1999", "9.3.1999", "03/09/1999", "3/9/1999", "March 9, 1999", "9 March 1999", "9. MARCH 1999", "march 09 1999"),
+    ("1999-12-31", "31.12.1999", "12/31/1999", "31/12/1999", "December 31, 1999", "31 December 1999"),
+]
+
+
+def canonical_value(text):
+    """What a written value stands for, without its format."""
+    months = [x.lower() for x in pseudonyms.MONTH_NAMES]
+    words = re.findall("[a-z]+", text.lower())
+    if any(x in months for x in words):
+        month = next(months.index(x) + 1 for x in words if x in months)
+        day, year = re.findall(r"\d+", text)
+        return int(year), month, int(day)
+    if m := re.fullmatch(r"(\d{4})-(\d\d)-(\d\d)", text):
+        return tuple(int(x) for x in m.groups())
+    if m := re.fullmatch(r"(\d{1,2})([./])(\d{1,2})[./](\d{4})", text):
+        first, second = int(m[1]), int(m[3])
+        month_first = m[2] == "/" and first <= 12
+        return (int(m[4]), first, second) if month_first else (int(m[4]), second, first)
+    if "@" in text or text[:2].isalpha() and text[2].isdigit():
+        return text.replace(" ", "").lower()
+    digits = re.sub(r"\D", "", text.replace("(0)", ""))
+    return digits.removeprefix("1") if len(digits) == 11 else digits
+
+
+def test_equal_values_stay_linked():
+    own, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", True)
+    for written in SAME:
+        new = [own.text(f"a {x} b") for x in written]
+        assert [n for _, n in new] == [1] * len(written), (written, new)
+        assert len({canonical_value(x) for x in written}) == len({canonical_value(x[2:-2]) for x, _ in new}) == 1, new
+        assert all(x[2:-2] != y and back.text(x) == (f"a {y} b", 1) for (x, _), y in zip(new, written))
+    for same in ("version 1.2.3.4", "v1.2.3.4", "13/13/1999", "March 32, 1999", "078 05 1120 and more", "Marching 3, 1999"):
+        assert own.text(same) == (same, 0)
+
+
+def test_days_are_permuted_and_every_layout_undone():
+    own, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", True)
+    members, places = pseudonyms._classes()
+    every = sorted(places)
+    assert len(every) == 73_049
+    new = {day: own._day(day.year, day.month, day.day) for day in every}
+    assert sorted(new.values()) == every and all(back._day(y.year, y.month, y.day) == x for x, y in list(new.items())[::7])
+    dice = random.Random(2)
+    layouts = ("{y}-{m:02d}-{d:02d}", "{d}.{m}.{y}", "{d:02d}.{m:02d}.{y}", "{d:02d}.{m}.{y}", "{m}/{d}/{y}", "{m:02d}/{d:02d}/{y}", "{d}/{m}/{y}", "{d:02d}/{m:02d}/{y}")
+    for day in dice.sample(every, 400):
+        for layout in layouts:
+            text = layout.format(y=day.year, m=day.month, d=day.day)
+            there, n = own.text(text)
+            assert n == 1 and back.text(there) == (text, 1), (text, there)
+            assert len(there) == len(text)
+
+
 def test_pseudonyms_of_values_followed_by_more():
     own, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", True)
     values = {"4111 1111 1111 1111": (" 12/27", " 123", "-123", " 12", " 1234", " 04/2029 123"), "3782 822463 10005": (" 1234",)}
@@ -612,7 +695,9 @@ def test_empty_tables(spark):
         bpe.digests(docs, RANKS, public_tokenizers.PATTERN), pseudonyms.pseudonymise(docs, b"k"),
         html_text.main_text(spark.createDataFrame([], "page_id BIGINT, url STRING, html STRING")),
         chat_format.read_back(
-            chat_format.format_conversations(spark.createDataFrame([], "conv_id BIGINT, turn BIGINT, role STRING, text STRING"))
+            chat_format.format_conversations(
+                chat_format.turn_variants(spark.createDataFrame([], "conv_id BIGINT, turn BIGINT, role STRING, text STRING"))
+            )
         ),
     ]
     assert [df.count() for df in made] == [0] * len(made)
@@ -644,6 +729,41 @@ def test_pipeline(spark, sf_dir):
         docs = path
 
 
+def test_pipeline_on_hostile_rows(spark, sf_dir, rows):
+    """Nulls in every column, odd and long texts, repeated rows and ids, columns with names that operators use."""
+    own = [*rows[:40], (None, "text without an id"), (None, None), (3, "one"), (3, "another text of this id"), *rows[28:31]]
+    docs = frame(spark, own).withColumnsRenamed({"fp": "row", "size": "bucket"})
+    docs = docs.unionByName(docs.limit(2).withColumns({"source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")}))
+    stages = dict(corpus_pipeline.STAGES)
+    columns, listed = docs.columns, lambda df: Counter((r.doc_id, r.text or "") for r in df.collect())
+    good = exact_dedup.settle(stages["quality classifier"](spark, docs, sf_dir), "good")
+    assert good.columns == columns and not listed(good) - listed(docs)
+    distinct = exact_dedup.settle(stages["exact dedup"](spark, docs, sf_dir), "distinct")
+    largest = {}
+    for d, t in listed(docs):
+        largest[t] = max(largest.get(t, -1), -1 if d is None else d)
+    assert distinct.columns == columns
+    assert listed(distinct) == Counter((None if d == -1 else d, t) for t, d in largest.items())
+    single = exact_dedup.settle(stages["n-gram Jaccard join"](spark, distinct, sf_dir), "single")
+    assert single.columns == columns and not listed(single) - listed(distinct)
+    assert {"one", "text without an id"} <= {t for _, t in listed(single)}
+    mix = exact_dedup.settle(stages["mixing sources to target weights"](spark, single, sf_dir), "mix")
+    assert mix.columns == columns and set(listed(mix)) <= set(listed(single)) and max(listed(mix).values()) <= 2
+    ids = stages["byte-level BPE encoding and decoding"](spark, mix, sf_dir).collect()
+    assert Counter((r.doc_id, r.decoded_sha256) for r in ids) == Counter(
+        {(d, hashlib.sha256(t.encode()).hexdigest()): n for (d, t), n in listed(mix).items()}
+    )
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        none = stage(spark, docs.limit(0), sf_dir)
+        assert none.columns == columns and none.count() == 0, name
+
+
+def test_pipeline_deletes_what_stages_have_written(spark, sf_dir, monkeypatch, place):
+    monkeypatch.setattr(common, "scratch", lambda spark, name: f"{place}/{name}-{uuid.uuid4().hex}")
+    made = corpus_pipeline.run(spark, sf_dir)
+    assert len(os.listdir(place)) == 1 and made.count() > 0
+
+
 def test_pipeline_ends_in_token_ids(spark):
     own = [(k, t) for k, t in enumerate(ODD)] + [(3, "one")]
     got = corpus_pipeline.STAGES[-1][1](spark, frame(spark, own), None).collect()
@@ -656,6 +776,6 @@ def test_pipeline_ends_in_token_ids(spark):
 
 
 def test_entry_without_this_part():
-    names = [f"op{k}_" for k in range(1, 11)]
+    names = [f"op{k}_" for k in range(1, 14)]
     found = [n for n in entry.queries() if n.startswith("op")]
     assert all(sum(n.startswith(p) for n in found if n[: len(p)] == p) >= 1 for p in names) and "pipeline" in entry.queries()
