@@ -1,7 +1,14 @@
 """A training corpus from the documents: stages that each write Parquet and read what the stage before has written.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
-columns of ``docs``; the last gives token ids.
+columns of ``docs``, whatever they are called; the last gives token ids.
+
+Null texts are empty texts, and empty texts are documents: the classifier judges them by what it has learned, the
+largest id of them stays as of other equal texts, they are linked with nothing, the mix takes them for no words, and they
+have no tokens. A null id is the smallest. Rows that repeat an id and its text become one in the second stage; rows of one
+id with different texts go together with the classifier and the n-gram join, which judge ids, and are texts of their own
+elsewhere. Null sources and languages are groups of their own. Long texts are read whole. Of an empty table nothing is
+left, with the same columns; without labels the classifier keeps everything.
 """
 
 from __future__ import annotations
@@ -10,18 +17,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from opsframe.llm import bpe, exact_dedup, mixing, ngram_join, quality_model
-from opsframe.llm.common import settle, table
+from opsframe.llm.common import drop_folders, folders_made, settle, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; rows that share an id go together, if all are rejected."""
     return quality_model.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest id stays."""
+    """Of equal texts (null: empty), the row with the largest id stays, once."""
     return exact_dedup.deduplicate(docs)
 
 
@@ -53,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What the stages before have written is deleted once the next one has been."""
+    docs, begin = table(spark, sf_dir, "documents"), folders_made()
     for name, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        drop_folders(begin, folders_made() - 1)
+        begin = folders_made() - 1
     return docs
