@@ -51,14 +51,11 @@ def field_paths(row: Column) -> Column:
         """Whether the row has the path: a field counts with a null too, in a list with any of its elements."""
         head, mark, rest = path.partition("[")
         if not mark:
-            top, _, field = path.partition(".")
-            keys = F.map_keys(F.try_variant_get(row, f"$.{top}" if field else "$", "map<string, variant>"))
-            return F.array_contains(keys, field or top)
+            return F.try_variant_get(row, f"$.{path}", "variant").isNotNull()
         elements = F.try_variant_get(row, f"$.{head}", "array<variant>")
         if rest in ("]", "0]"):
             return F.size(elements) > 0 if rest == "]" else F.size(elements) == 0
-        fields = lambda x: F.map_keys(F.try_variant_get(x, "$", "map<string, variant>"))
-        return F.exists(elements, lambda x: F.coalesce(F.array_contains(fields(x), rest[2:]), F.lit(False)))
+        return F.exists(elements, lambda x: F.try_variant_get(x, f"$.{rest[2:]}", "variant").isNotNull())
 
     return F.array_compact(F.array(*[F.when(F.coalesce(there(path), F.lit(False)), path) for path in KNOWN]))
 
