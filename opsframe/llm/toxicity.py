@@ -17,6 +17,7 @@ tables give empty results; other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -91,11 +92,12 @@ def train(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], ["turn", "toxic", "places"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [
-            (int(label > 0), np.frombuffer(own, "<u4").astype(np.int64))
+        labelled = (
+            (int(label.as_py() > 0), np.frombuffer(own.as_py(), "<u4").astype(np.int64))
             for batch in batches
-            for label, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-        ]
+            for label, own in zip(batch.column(1), batch.column(2), strict=True)
+        )
+        rows = list(islice(labelled, fit_rows))  # rows that repeat an id are bounded too
         state = Ftrl(1 << bits, **options)
         for _ in range(epochs):
             for label, own in rows:
