@@ -10,11 +10,16 @@ Three kinds of evidence add up as log odds:
 - its path within the host, shrunk towards its host in the same way.
 
 Host and path shares are grouped sums of all documents; a host with a third of all rows is summed in parts by the
-map tasks. A document is kept if its posterior probability of being good is at least ``least``.
+map tasks. The shares that score a document are those of the other documents: what it counts itself, its label too, is
+left out of its path, its host and the global share. How strongly shares are shrunk is estimated from all. A document is
+kept if its posterior probability of being good is at least ``least``.
 
-Nulls: a null text is empty, null hosts and paths are groups of their own. Repeated rows count each. Labels without a
-document, or with a null, are not used; of several labels of a document all count in the fit. Without labels, or with one kind only,
-nothing can be learnt and every document is kept with probability 0.5. Empty tables give empty results.
+Rows meet the sums of their host and path in joins. Groups with at least a ``1 / HOT`` of all documents, of which there
+are no more than ``HOT``, are broadcast, so no task joins a larger part than that for one key.
+
+Nulls: a null text is empty, null hosts and paths are groups of their own. Repeated rows count each, also in the bound
+of the fit. Labels without a document, or with a null, are not used; of several labels of a document all count in the
+fit. Without labels, or with one kind only, nothing can be learnt and every document is kept with probability 0.5. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ ship(__name__)
 
 FIT_ROWS = 20_000
 RANGES = 12  # ranges per measure
+HOT = 1_024
 
 _UPPER = kind(bytes(range(ord("A"), ord("Z") + 1)))
 _DIGIT = kind(b"0123456789")
@@ -122,7 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
 
     kind_ = docs.schema["doc_id"].dataType.simpleString()
     rows = found.select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    rows = rows.mapInArrow(measure, f"doc_id {kind_}, quality int, x array<double>").toPandas()
+    rows = rows.mapInArrow(measure, f"doc_id {kind_}, quality int, x array<double>")
+    # Rows that repeat an id are bounded too: what is gathered are measures, the first ones in the sample's order.
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(fit_rows).toPandas()
     if not len(rows) or rows["quality"].nunique() < 2:
         return None
     rows = rows.sort_values(["doc_id", "quality"], kind="stable")
@@ -149,18 +157,30 @@ def evidence(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
-def _shrunk(groups: DataFrame, above: str) -> Column:
+def _shrunk(good: Column, n: Column, above: Column, strength: float) -> Column:
     """Posterior share of ``good`` of ``n`` with the share ``above`` as the prior's mean and ``strength`` its weight."""
-    return (F.col("good") + F.col("strength") * F.col(above)) / (F.col("n") + F.col("strength"))
+    return (good + F.lit(strength) * above) / (n + F.lit(strength))
+
+
+def _beside(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` with the columns of their group, of which ``n`` counts its documents among ``total``. Null keys are equal."""
+    named = groups.withColumnsRenamed({key: f"of_{key}" for key in keys})
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"of_{key}"))
+    frequent = F.col(n) * HOT >= total
+    hot = F.broadcast(named.filter(frequent))  # at most HOT rows
+    others = rows.join(hot, same, "left_anti").join(named.filter(~frequent), same)
+    return rows.join(hot, same).unionByName(others).drop(*[f"of_{key}" for key in keys])
 
 
-def _strength(groups: DataFrame, above: str) -> DataFrame:
-    """One row: how many documents the prior is worth. Groups that differ no more than by chance get a strong prior."""
-    p = F.col(above)
+def _strength(groups: DataFrame, good: Column, n: Column, p: Column) -> float:
+    """How many documents the prior is worth. Groups that differ no more than by chance get a strong prior."""
     chance = F.sum(p * (1 - p))  # what n * (share - p)^2 adds up to if groups differ by chance only
-    seen = F.sum(F.col("n") * F.pow(F.col("good") / F.col("n") - p, 2))
-    spread = F.greatest((seen - chance) / F.greatest(F.sum(F.col("n") * p * (1 - p)), F.lit(1e-9)), F.lit(1e-4))
-    return groups.agg(F.least(F.lit(10_000.0), F.greatest(F.lit(2.0), 1 / spread - 1)).alias("strength"))
+    seen = F.sum(n * F.pow(good / n - p, 2))
+    spread = F.greatest((seen - chance) / F.greatest(F.sum(n * p * (1 - p)), F.lit(1e-9)), F.lit(1e-4))
+    found = groups.agg(F.least(F.lit(10_000.0), F.greatest(F.lit(2.0), 1 / spread - 1)).alias("strength"))
+    return float(found.first()["strength"] or 2.0)
 
 
 def _logit(p: Column) -> Column:
@@ -174,31 +194,35 @@ def posterior(
     """One row per row of ``docs``: doc_id, evidence, host_share, path_share, score, kept."""
     model = fit(docs, labels, fit_rows)
     known = docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "text")
-    seen = settle(evidence(known, model, ["doc_id", "host", "path"]), "evidence")
+    seen = evidence(known, model, ["doc_id", "host", "path"])
     base = 0.5 if model is None else float(1 / (1 + np.exp(-model.prior)))
     marks = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id")
     marks = marks.agg(F.avg((F.col("quality") > 0).cast("double")).alias("mark"))
     guess = 1 / (1 + F.exp(-(F.col("evidence") + float(np.log(base / (1 - base))))))
-    counted = seen.join(marks, "doc_id", "left").withColumn("good", F.coalesce("mark", guess))
+    counted = seen.join(marks, "doc_id", "left").withColumn("good", F.coalesce("mark", guess)).drop("mark")
+    counted = settle(counted, "evidence")
 
-    paths = settle(counted.groupBy("host", "path").agg(F.sum("good").alias("good"), F.count("*").alias("n")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+    paths = counted.groupBy("host", "path").agg(F.sum("good").alias("path_good"), F.count("*").alias("path_n"))
+    paths = settle(paths, "paths")
+    hosts = paths.groupBy("host").agg(F.sum("path_good").alias("host_good"), F.sum("path_n").alias("host_n"))
+    hosts = settle(hosts, "hosts")
     # One row each: the global share, then how alike hosts are, then paths.
-    share = hosts.agg((F.sum("good") / F.sum("n")).alias("all")).first()["all"] or 0.5
-    hosts = hosts.withColumn("all", F.lit(float(share)))
-    host_strength = float(_strength(hosts, "all").first()["strength"] or 2.0)
-    hosts = hosts.withColumn("strength", F.lit(host_strength))
-    hosts = hosts.select(F.col("host").alias("of_host"), _shrunk(hosts, "all").alias("host_share"))
-    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).drop("of_host")
-    path_strength = float(_strength(paths, "host_share").first()["strength"] or 2.0)
-    paths = paths.withColumn("strength", F.lit(path_strength))
-    paths = paths.select(
-        F.col("host").alias("of_host"), F.col("path").alias("of_path"), "host_share",
-        _shrunk(paths, "host_share").alias("path_share"),
-    )
-    same = F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path"))
+    everything = hosts.agg(F.sum("host_good").alias("good"), F.sum("host_n").alias("n")).first()
+    total, good = everything["n"] or 0, everything["good"] or 0.0
+    share = F.lit(good / total if total else 0.5)
+    of_hosts = _strength(hosts, F.col("host_good"), F.col("host_n"), share)
+    paths = _beside(paths, hosts, ["host"], "host_n", total)
+    host_share = _shrunk(F.col("host_good"), F.col("host_n"), share, of_hosts)
+    of_paths = _strength(paths, F.col("path_good"), F.col("path_n"), host_share)
+
+    # The same shares without the document that they score.
+    found = _beside(counted, paths, ["host", "path"], "path_n", total)
+    own = F.col("good")
+    others = (F.lit(good) - own) / (total - 1) if total > 1 else F.lit(0.5)
+    found = found.withColumn("host_share", _shrunk(F.col("host_good") - own, F.col("host_n") - 1, others, of_hosts))
+    found = found.withColumn("path_share", _shrunk(F.col("path_good") - own, F.col("path_n") - 1, F.col("host_share"), of_paths))
     score = 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_share")))))
-    found = seen.join(paths, same).withColumn("score", F.lit(0.5) if model is None else score)
+    found = found.withColumn("score", F.lit(0.5) if model is None else score)
     kept = F.lit(True) if model is None else F.col("score") >= least
     return found.select("doc_id", "evidence", "host_share", "path_share", "score", kept.alias("kept"))
 

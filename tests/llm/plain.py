@@ -107,3 +107,30 @@ def duplicates(rows):
     for d, t in rows:
         groups[t or ""].append(d)
     return groups
+
+
+def shares(rows):
+    """(host share, path share) of each (host, path, good), from all other rows; priors as strong as groups differ."""
+
+    def grouped(key):
+        sums = defaultdict(lambda: [0.0, 0])
+        for row in rows:
+            sums[key(row)][0] += row[2]
+            sums[key(row)][1] += 1
+        return sums
+
+    def strength(sums, prior):
+        chance = sum(prior(k) * (1 - prior(k)) for k in sums)
+        seen = sum(n * (good / n - prior(k)) ** 2 for k, (good, n) in sums.items())
+        scale = max(sum(n * prior(k) * (1 - prior(k)) for k, (_, n) in sums.items()), 1e-9)
+        return min(10_000, max(2, 1 / max((seen - chance) / scale, 1e-4) - 1))
+
+    hosts, paths = grouped(lambda row: row[0]), grouped(lambda row: row[:2])
+    total, good = len(rows), sum(row[2] for row in rows)
+    a = strength(hosts, lambda host: good / total)
+    b = strength(paths, lambda path: (hosts[path[0]][0] + a * good / total) / (hosts[path[0]][1] + a))
+    found = []
+    for host, path, own in rows:
+        above = (hosts[host][0] - own + a * (good - own) / (total - 1)) / (hosts[host][1] - 1 + a)
+        found.append((above, (paths[host, path][0] - own + b * above) / (paths[host, path][1] - 1 + b)))
+    return found

@@ -300,11 +300,70 @@ def test_quality_model(spark, sf_dir):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got.values())
 
 
-def test_quality_model_shrinks_sparse_sites():
-    x = np.array([[0.0], [1.0]] * 50)
-    model = quality_model.Model(x, np.array([0.0, 1.0] * 50))
-    low, high = model.evidence(np.array([[0.0], [1.0]]))
-    assert low < 0 < high
+def sites(spark, n=600):
+    """Documents of sites of very different sizes and kinds, some without host or path; a third has no label."""
+    dice, own, marks = random.Random(3), [], []
+    for k in range(n):
+        host = None if k % 50 == 0 else "hot" if k % 3 == 0 else f"h{int(dice.paretovariate(0.6)) % 60}"
+        path = None if k % 41 == 0 else dice.choice("ab")
+        good = dice.random() < {"hot": 0.9, None: 0.5}.get(host, 0.2 if hash_of(host) % 2 else 0.95)
+        own.append((k, prose(k, 60) if good != (dice.random() < 0.1) else "BUY | NOW !!! " * 12, path, host))
+        if k % 3:
+            marks.append((k, int(good)))
+    return spark.createDataFrame(own, "doc_id long, text string, lang string, source string"), marks
+
+
+def hash_of(text):
+    return int(hashlib.sha256(str(text).encode()).hexdigest()[:4], 16)
+
+
+@pytest.mark.parametrize("hot", [1, 8, 1_024])
+def test_quality_model_shrinks_sparse_sites(spark, monkeypatch, hot):
+    """Against a plain version: sums by host and path without the document itself, whichever groups are broadcast."""
+    monkeypatch.setattr(quality_model, "HOT", hot)
+    docs, marks = sites(spark)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_model.posterior(docs, labels).collect()}
+    prior, known = quality_model.fit(docs, labels).prior, dict(marks)
+    listed = docs.collect()
+    own = [(r.source, r.lang, known.get(r.doc_id, 1 / (1 + np.exp(-got[r.doc_id].evidence - prior)))) for r in listed]
+    assert len(got) == len(listed)
+    for r, (host_share, path_share) in zip(listed, plain.shares(own), strict=True):
+        x = got[r.doc_id]
+        assert (x.host_share, x.path_share) == (pytest.approx(host_share), pytest.approx(path_share))
+        assert x.score == pytest.approx(1 / (1 + np.exp(-x.evidence) * (1 - path_share) / path_share))
+        assert x.kept == (x.score >= 0.5)
+
+
+def test_a_label_is_left_out_of_the_shares_that_score_it(spark):
+    """Equal texts, so labels are all that differ: of a site's two documents each is scored by the other's label."""
+    docs = spark.createDataFrame([(k, "same words", "p", f"h{k // 2}") for k in range(40)], "doc_id long, text string, lang string, source string")
+    marks = [(k, int((k // 2) % 2 == 0 if k > 1 else k)) for k in range(40)]
+    got = {r.doc_id: r for r in quality_model.posterior(docs, spark.createDataFrame(marks, "doc_id long, quality int")).collect()}
+    assert got[0].path_share > 0.5 > got[1].path_share  # 0 is bad and 1 good, on one site
+    assert all((got[k].path_share > 0.5) == (k // 2 % 2 == 0) for k in range(2, 40))
+
+
+def test_quality_model_on_held_out_labels(spark):
+    """What was not learnt from is judged right, bad documents are found, and good ones are kept."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = toxicity.held_out(F.col("doc_id"))
+    got = {r.doc_id: r.kept for r in quality_model.posterior(docs, labels.filter(~held)).collect()}
+    marks = labels.filter(held).collect()
+    bad, good = [m for m in marks if m.quality == 0], [m for m in marks if m.quality == 1]
+    assert len(bad) > 5 and len(good) > 30
+    assert np.mean([not got[m.doc_id] for m in bad]) >= 0.7
+    assert np.mean([got[m.doc_id] for m in good]) >= 0.9
+
+
+def test_fits_are_bounded_where_ids_repeat(spark):
+    """One labelled id has most rows; the bound counts rows, and the result is there."""
+    own = [(1, prose(1, 30))] * 500 + [(k, prose(k, 30) + (" vile" if k % 2 else "")) for k in range(2, 40)]
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(1, 40)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, own)
+    assert quality_model.posterior(docs, labels, fit_rows=45).count() == len(own)
+    assert toxicity.toxicity(docs, labels, fit_rows=45).count() == len(own)
 
 
 def test_models_without_usable_labels(spark, rows):
