@@ -158,36 +158,44 @@ STEP_FAILED = r"(?s)^(?:Paso fallido|Acción fallida): (.*)\z"
 STEP_FAILED_AT = r"(?s)^Paso \d+ falló: (.*)\. Detengo la secuencia\.\z"
 
 
-def _said(text: Column, title: str, name: str, done: str, failed: tuple[str, ...]) -> Column:
-    """What a line says of a step: null, or a struct of title, n, total, message, done.
+def _cut(text: Column, title: str, name: str, done: str, failed: tuple[str, ...]) -> Column:
+    """A line's layout, in one pass over it: the match is exchanged for its groups, each behind a separator.
 
-    One pass over the line tells which layout it has (they exclude each other; ``done`` has no groups): the match is
-    exchanged for its groups, each behind a separator. Lines that have the separator themselves are taken apart group by
-    group.
+    Layouts exclude each other, so they are one pattern; ``done`` has no groups. Other lines are one part.
     """
     one = "|".join(f"(?:{layout})" for layout in (title, f"({name})", f"({done})", *failed))
-    first_message = 7  # behind number, total and title, the line with a name, the name, and the line of success
-    groups = range(1, first_message + len(failed))
-    cut = F.split(F.regexp_replace(text, one, _GAP + _GAP.join(f"${k}" for k in groups) + _GAP), _GAP)
-    at = lambda k: F.get(cut, F.lit(k))
-    quick = F.struct(
-        F.when(at(1) != "", at(3)).when(at(4) != "", at(5)).alias("title"),
-        at(1).alias("n"),
-        at(2).alias("total"),
-        F.coalesce(*[F.nullif(at(first_message + k), F.lit("")) for k in range(len(failed))]).alias("message"),
-        (at(6) != "").alias("done"),
-    )
-    part = lambda pattern, k: F.regexp_extract(text, pattern, k)
-    slow = F.struct(
-        F.when(text.rlike(title), part(title, 3)).when(text.rlike(name), part(name, 1)).alias("title"),
-        part(title, 1).alias("n"),
-        part(title, 2).alias("total"),
-        F.coalesce(*[F.nullif(part(pattern, 1), F.lit("")) for pattern in failed]).alias("message"),
-        text.rlike(done).alias("done"),
-    )
-    return F.when(F.contains(text, F.lit(_GAP)), slow).when(F.size(cut) > len(groups), quick)
+    groups = range(1, _FIRST_MESSAGE + len(failed))
+    return F.split(F.regexp_replace(text, one, _GAP + _GAP.join(f"${k}" for k in groups) + _GAP), _GAP)
 
 
+def _said(text: Column, cut: Column, title: str, name: str, done: str, failed: tuple[str, ...]) -> dict[str, Column]:
+    """What a line says of a step: title, n, total, message, done; nulls where it says nothing.
+
+    ``cut`` is a column, so that the line is read once. Lines that have the separator themselves are taken apart group
+    by group.
+    """
+    at = lambda k: F.get(cut, F.lit(k))
+    part = lambda pattern, k: F.regexp_extract(text, pattern, k)
+    messages = [F.nullif(at(_FIRST_MESSAGE + k), F.lit("")) for k in range(len(failed))]
+    quick = {
+        "title": F.when(at(1) != "", at(3)).when(at(4) != "", at(5)),
+        "n": at(1),
+        "total": at(2),
+        "message": F.coalesce(*messages),
+        "done": at(6) != "",
+    }
+    slow = {
+        "title": F.when(text.rlike(title), part(title, 3)).when(text.rlike(name), part(name, 1)),
+        "n": part(title, 1),
+        "total": part(title, 2),
+        "message": F.coalesce(*[F.nullif(part(pattern, 1), F.lit("")) for pattern in failed]),
+        "done": text.rlike(done),
+    }
+    odd, found = F.contains(text, F.lit(_GAP)), F.size(cut) >= _FIRST_MESSAGE + len(failed)
+    return {key: F.when(odd, slow[key]).when(found, quick[key]) for key in quick}
+
+
+_FIRST_MESSAGE = 7  # behind number, total and title, the line with a name, the name, and the line of success
 _GAP = "\u0001"
 
 
@@ -207,17 +215,19 @@ def step_runs(
     """
     # Lines are read before they are shuffled: what they say is far shorter than they are.
     opens = F.coalesce(F.col("text").isin(*SEPARATORS) if marker is None else marker, F.lit(False)).alias("_opens")
-    said = lines.select("service", "seq", "ts", opens, _said(F.col("text"), title, name, done, failed).alias("_said"))
-    said = said.select(
+    text, layouts = F.col("text"), (title, name, done, failed)
+    cut = lines.select("service", "seq", "ts", "text", opens, _cut(text, *layouts).alias("_cut"))
+    said = _said(text, F.col("_cut"), *layouts)
+    said = cut.select(
         "service",
         "seq",
         "ts",
         "_opens",
-        F.col("_said.title").alias("_title"),
-        S.to_int(F.col("_said.n")).alias("_n"),
-        S.to_int(F.col("_said.total")).alias("_total"),
-        F.col("_said.message").alias("_message"),
-        F.coalesce(F.col("_said.done"), F.lit(False)).alias("_done"),
+        said["title"].alias("_title"),
+        S.to_int(said["n"]).alias("_n"),
+        S.to_int(said["total"]).alias("_total"),
+        said["message"].alias("_message"),
+        F.coalesce(said["done"], F.lit(False)).alias("_done"),
     )
     rows = segment_by_marker(said, F.col("_opens"), width=width).filter(F.col("segment") > 0)
 
