@@ -20,7 +20,8 @@ from opsframe.plans.session import ship
 ship(__name__)
 
 READ = 1 << 20  # bytes that are read from a program at once
-SPILL = 1 << 25  # bytes of mapper output that are sorted and combined at once
+FEED = 1 << 20  # bytes of lines that are given to a program at once; a longer line is a block of its own
+SPILL = 1 << 23  # bytes of mapper output that are sorted and combined at once; sorting takes some ten times as much
 TAIL = 4_000  # bytes of its last messages that are kept for the error
 
 LINE = pa.schema([("line", pa.string())])
@@ -104,9 +105,10 @@ class Program:
                 parts.append(part)
                 held += len(part)
                 if held >= size and (end := part.rfind(b"\n") + 1):
-                    yield b"".join(parts[:-1]) + part[:end]
-                    parts = [part[end:]]
+                    parts[-1] = part[:end]
+                    whole, parts = b"".join(parts), [part[end:]]
                     held = len(parts[0])
+                    yield whole
             rest = b"".join(parts)
             if rest:
                 yield rest if rest.endswith(b"\n") else rest + b"\n"
@@ -128,8 +130,14 @@ class Program:
 
 
 def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Buffer | bytes]:
+    """The lines of the first column as blocks of about ``FEED`` bytes, however large the batches are."""
     for batch in batches:
-        yield as_lines(batch.column(0))
+        column = batch.column(0)
+        sizes = pc.fill_null(pc.binary_length(column, memory_pool=pa.system_memory_pool()), 0)
+        block = np.cumsum(np.asarray(sizes, np.int64) + 1) // FEED  # of each line, by where it ends
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(column)]
+        for start, end in zip(cuts, cuts[1:]):
+            yield as_lines(column.slice(start, end - start))
 
 
 def piped(command: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -144,10 +152,10 @@ def piped(command: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 def keys_of(lines: pa.StringArray) -> pa.StringArray:
     """What is before the first tab of each line; whole lines without one."""
-    offsets = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1].astype(np.int64)
+    offsets = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1]
     raw = np.frombuffer(lines.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    offsets -= offsets[0]
-    tabs = np.append(np.flatnonzero(raw == TAB), len(raw))
+    offsets = offsets - offsets[0]
+    tabs = np.append(np.flatnonzero(raw == TAB), len(raw)).astype(np.int32)
     ends = np.minimum(tabs[np.searchsorted(tabs, offsets[:-1])], offsets[1:])
     edge = np.zeros(len(raw) + 1, np.int8)  # 1 where a key begins, -1 behind it; empty keys cancel out
     np.add.at(edge, offsets[:-1], 1)
@@ -179,5 +187,7 @@ def mapped_and_combined(mapper: str, combiner: str) -> Callable[[Iterator[pa.Rec
             together = as_lines(by_key(cut(data).column(0)))
             for combined in Program(combiner, [together]).output():
                 yield cut(combined)
+            del data, together
+            pa.system_memory_pool().release_unused()  # freed blocks go back to the system, or they add up block by block
 
     return run

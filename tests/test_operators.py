@@ -87,6 +87,20 @@ def test_a_hot_key_leaves_map_tasks_combined(spark, monkeypatch, spill):
     assert dict(map(tuple, text.pipe_mapreduce(lines, program(MAPPER), program(REDUCER), program(REDUCER)).collect())) == want
 
 
+def test_programs_are_fed_in_blocks_of_bounded_size(monkeypatch):
+    import pyarrow as pa
+
+    from opsframe.operators import pipes
+
+    lines = ["x" * (n % 50) for n in range(1_000)] + ["y" * 5_000, None, "", "é", "z"]
+    monkeypatch.setattr(pipes, "FEED", 1_000, raising=False)
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.RecordBatch.from_arrays([pa.array(["cut off", *lines], kind)], names=["text"]).slice(1)
+        blocks = [bytes(block) for block in pipes.inputs(iter([batch, batch.slice(0, 0), batch.slice(3, 2)]))]
+        assert b"".join(blocks).decode() == "".join(f"{x or ''}\n" for x in [*lines, *lines[3:5]])
+        assert max(map(len, blocks)) < 6_100 and max(len(block) for block in blocks if b"y" not in block) < 1_100
+
+
 def test_slices_hold_whole_lines(monkeypatch):
     monkeypatch.setattr(text, "SLICE_CHARS", 10)
     lines = pd.Series(["abc", "defg", None, "x" * 25, "", "y"])
