@@ -214,7 +214,7 @@ FROM customer, range(4) r(n)"""
 def properties(v):
     """Property files written for every host, each with its own address."""
     place = scratch(v.spark, "properties")
-    customers = v["customer"].select(F.concat(F.lit("h"), "c_custkey").alias("host"))
+    customers = v["customer"].select(F.concat(F.lit("h"), "c_custkey").alias("host")).repartition("host")
     templates = [
         ("core-site.xml", "fs.defaultFS", "hdfs://localhost:9000"),
         ("core-site.xml", "hadoop.tmp.dir", "{{.URI}}/data/hadoop_tmp"),

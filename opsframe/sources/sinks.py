@@ -51,7 +51,11 @@ def fill_properties(properties: DataFrame, uri: Column) -> DataFrame:
     return properties.withColumn("value", S.template_fill(F.col("value"), uri))
 
 
-def write_properties(properties: DataFrame, path: str, by: str = "file") -> None:
-    """Property XML files, one folder per file name."""
-    writer = properties.write.mode("overwrite").format("xml")
+# Properties in one file: an XML file is read whole by one task, and these are some 15 MB.
+FILE_PROPERTIES = 100_000
+
+
+def write_properties(properties: DataFrame, path: str, by: str = "file", most: int = FILE_PROPERTIES) -> None:
+    """Property XML files, one folder per file name, of at most ``most`` properties each."""
+    writer = properties.write.mode("overwrite").format("xml").option("maxRecordsPerFile", most)
     writer.option("rootTag", "configuration").option("rowTag", "property").partitionBy(by).save(path)

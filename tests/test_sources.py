@@ -269,6 +269,18 @@ def test_properties(spark, place):
     assert got == {("core-site.xml", "fs.defaultFS", "hdfs://localhost:9000"), ("core-site.xml", "x", "a & b")}
 
 
+def test_property_files_are_of_bounded_size(spark, place):
+    named = spark.range(250, numPartitions=1).select(
+        F.concat(F.lit("h"), "id").alias("host"), F.lit("x").alias("name"), F.lit("a & <b>").alias("value"), F.lit("core-site.xml").alias("file")
+    )
+    assert sinks.FILE_PROPERTIES <= 100_000
+    sinks.write_properties(named, f"{place}/p", most=100)
+    read = readers.read_properties(spark, f"{place}/p")
+    assert sorted(map(tuple, read.select(*named.columns).collect())) == sorted(map(tuple, named.collect()))
+    sizes = read.groupBy(F.col("_metadata.file_path")).count()
+    assert sorted(r["count"] for r in sizes.collect()) == [50, 100, 100]
+
+
 def test_digests(spark, place):
     put(place, "f/x.bin", b"abc")
     put(place, "f/x.gz", b"abc")  # as it is, whatever the name says
