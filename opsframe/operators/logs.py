@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions import scalars as S
-from opsframe.operators.ordered import CHUNK, Fold, newest_rows, running
+from opsframe.operators.ordered import CHUNK, TASK_ROWS, Extent, Fold, extent, newest_rows, running
 
 # Retention sizes, and the rows that separate the steps of a run.
 RING_SIZE = 2000
@@ -83,17 +83,28 @@ def since_clear(lines: DataFrame, clears: DataFrame) -> DataFrame:
 
 
 def segment_by_marker(
-    lines: DataFrame, marker: Column | None = None, sink: str = "service", width: int = CHUNK
+    lines: DataFrame,
+    marker: Column | None = None,
+    sink: str = "service",
+    width: int = CHUNK,
+    known: Extent | None = None,
+    chunks: str | None = None,
 ) -> DataFrame:
-    """Number the segments that separator rows open; lines before the first one are in segment 0."""
+    """Number the segments that separator rows open; lines before the first one are in segment 0.
+
+    ``known`` and ``chunks`` are those of ``running``.
+    """
     marker = F.col("text").isin(*SEPARATORS) if marker is None else marker
     fold = Fold("sum", F.coalesce(marker, F.lit(False)).cast("bigint"))
-    return running(lines, [sink], "seq", {"segment": fold}, width)
+    return running(lines, [sink], "seq", {"segment": fold}, width, known=known, chunks=chunks)
 
 
-def first_match_wins(lines: DataFrame, match: Column, restart: Column, width: int = CHUNK) -> DataFrame:
+def first_match_wins(
+    lines: DataFrame, match: Column, restart: Column, width: int = CHUNK, per_task: int = TASK_ROWS
+) -> DataFrame:
     """First non-blank match of each run; a restart row opens the next run of its service."""
-    runs = segment_by_marker(lines, restart, width=width).withColumn("_match", match)
+    known = extent(lines, "seq", width, per_task)
+    runs = segment_by_marker(lines, restart, width=width, known=known).withColumn("_match", match)
     found = runs.filter(F.col("_match") != "").groupBy("service", F.col("segment").alias("run"))
     return found.agg(F.min("seq").alias("seq"), F.min_by("_match", "seq").alias("match"))
 
@@ -207,12 +218,14 @@ def step_runs(
     failed: tuple[str, ...] = (STEP_FAILED, STEP_FAILED_AT),
     marker: Column | None = None,
     width: int = CHUNK,
+    per_task: int = TASK_ROWS,
 ) -> DataFrame:
     """One row per executed step, recovered from a run's log: title, place, first and last line, outcome.
 
     A separator row opens a step. It is ``failed`` (with the first message) if a line says so, else ``done``
-    if a line says so, else ``open``.
+    if a line says so, else ``open``. The lines are counted first, and dealt to tasks of about ``per_task``.
     """
+    known = extent(lines, "seq", width, per_task)
     # Lines are read before they are shuffled: what they say is far shorter than they are.
     opens = F.coalesce(F.col("text").isin(*SEPARATORS) if marker is None else marker, F.lit(False)).alias("_opens")
     text, layouts = F.col("text"), (title, name, done, failed)
@@ -229,12 +242,13 @@ def step_runs(
         said["message"].alias("_message"),
         F.coalesce(said["done"], F.lit(False)).alias("_done"),
     )
-    rows = segment_by_marker(said, F.col("_opens"), width=width).filter(F.col("segment") > 0)
+    numbered = segment_by_marker(said, F.col("_opens"), width=width, known=known, chunks="_chunk")
 
     def first(column: str) -> Column:
-        return F.min_by(column, F.when(F.col(column).isNotNull(), F.col("seq")))
+        return F.min(F.when(F.col(column).isNotNull(), F.struct("seq", F.col(column).alias("value"))))
 
-    runs = rows.groupBy("service", "segment").agg(
+    # Lines of a chunk are together already, so this needs no shuffle.
+    runs = numbered.filter(F.col("segment") > 0).groupBy("service", "segment", "_chunk").agg(
         first("_title").alias("title"),
         first("_n").alias("n"),
         first("_total").alias("total"),
@@ -244,5 +258,14 @@ def step_runs(
         first("_message").alias("message"),
         F.max("_done").alias("_done"),
     )
+    if not known.single:  # a step may lie in several chunks
+        if known.tasks:
+            runs = runs.repartition(known.tasks, "service", "segment")
+        earliest = [F.min(name).alias(name) for name in ("title", "n", "total", "started")]
+        count = F.coalesce(F.sum("lines"), F.lit(0)).alias("lines")
+        runs = runs.groupBy("service", "segment").agg(
+            *earliest, F.max("ended").alias("ended"), count, F.min("message").alias("message"), F.max("_done").alias("_done")
+        )
+    runs = runs.drop("_chunk").withColumns({name: F.col(f"{name}.value") for name in ("title", "n", "total", "message")})
     outcome = F.when(F.col("message").isNotNull(), "failed").when(F.col("_done"), "done").otherwise("open")
     return runs.withColumn("outcome", outcome).drop("_done")

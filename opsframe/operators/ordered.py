@@ -7,6 +7,7 @@ chunk, and a second, far smaller window over the summaries that carries state fr
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -19,6 +20,11 @@ from pyspark.sql import types as T
 
 # Sequence numbers per window task, which bounds the rows of a task.
 CHUNK = 1_000_000
+# Rows that a task is dealt where they are counted first. Shuffled rows are small and may be millions in the 64 MB that
+# Spark gives a task, which then holds them unpacked in its sorts.
+TASK_ROWS = 250_000
+# Tasks that unbounded map tasks deal to. For more, each would sort what it writes, in its memory.
+MOST_TASKS = 200
 # Groups that the newest rows of one key are split into before the last step.
 SALTS = 512
 
@@ -37,6 +43,34 @@ class Fold:
     before: bool = False
 
 
+@dataclass(frozen=True)
+class Extent:
+    """What is known of a sequence before it is run through; by default nothing.
+
+    ``tasks``: how many tasks its rows are dealt to; by default, as many as Spark makes of its shuffle partitions.
+    ``single``: all numbers are in one chunk, so that nothing is carried.
+    """
+
+    tasks: int | None = None
+    single: bool = False
+
+
+def extent(df: DataFrame, order: str, width: int = CHUNK, per_task: int = TASK_ROWS) -> Extent:
+    """Count the rows of a sequence and its chunks, in one pass over ``order``."""
+    chunk = F.call_function("div", F.col(order), F.lit(width))
+    counts = F.count("*").alias("rows"), F.count(order).alias("numbered")
+    seen = df.agg(*counts, F.min(chunk).alias("lowest"), F.max(chunk).alias("highest")).first()
+    tasks = math.ceil(seen.rows / per_task)
+    single = seen.numbered == seen.rows and seen.lowest == seen.highest
+    return Extent(tasks if tasks > 1 else None, single)
+
+
+def dealt(df: DataFrame, keys: Sequence[str], per_task: int, most: int = MOST_TASKS) -> DataFrame:
+    """The rows, with those of a key in one partition and about ``per_task`` in each, as far as ``most`` of them allow."""
+    tasks = min(math.ceil(df.count() / per_task), most)
+    return df.repartition(tasks, *keys) if tasks > 1 else df
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,6 +79,8 @@ def running(
     width: int = CHUNK,
     backwards: bool = False,
     levels: int = 1,
+    known: Extent | None = None,
+    chunks: str | None = None,
 ) -> DataFrame:
     """Add one column per fold, computed along ``order`` within ``keys``.
 
@@ -55,7 +91,11 @@ def running(
     For a sequence with few rows per ``width`` numbers (timestamps, say) take a larger width, or ``levels=2``:
     the summaries are then summed up in chunks in their turn, which leaves at most a few million rows to the last
     window for any 64-bit sequence and the default width.
+
+    ``known`` is the ``extent`` of ``df`` for this width, or nothing. ``chunks`` names a column for the chunk: rows of a
+    (key, chunk) are in one partition of the result.
     """
+    known = known or Extent()
     chunk = f"_chunk{levels}"
     inputs = {name: f"_in_{name}" for name in folds}
     rows = df.select(
@@ -64,10 +104,49 @@ def running(
         *[fold.column.alias(inputs[name]) for name, fold in folds.items()],
     )
 
+    # In one chunk, the keys alone say which rows belong together, also to what follows.
+    together = list(keys) if known.single else [*keys, chunk]
+    spread = rows.repartition(known.tasks, *together) if known.tasks else rows
+    if known.single:
+        joined = spread.select("*", *[F.lit(None).alias(f"_carry_{name}") for name in folds])
+    else:
+        joined = _carried(rows, spread, keys, order, folds, width, backwards, levels)
+
+    inside = W.partitionBy(*together).orderBy(F.col(order).desc() if backwards else F.col(order).asc())
+    out = []
+    for name, fold in folds.items():
+        value, carry = F.col(inputs[name]), F.col(f"_carry_{name}")
+        so_far = inside.rowsBetween(W.unboundedPreceding, -1 if fold.before else W.currentRow)
+        if fold.kind == "sum":
+            # A null means that there was no value at all so far.
+            local = F.sum(value).over(so_far)
+            combined = F.coalesce(local + carry, local, carry)
+        elif fold.kind == "last":
+            combined = F.coalesce(F.last(value, ignorenulls=True).over(so_far), carry)
+        else:
+            first = F.lag(F.lit(True)).over(inside).isNull()
+            combined = F.when(first, carry).otherwise(F.lag(value).over(inside))
+        out.append(combined.alias(name))
+    kept = [F.col(chunk).alias(chunks)] if chunks else []
+    return joined.select(*[F.col(column) for column in df.columns], *kept, *out)
+
+
+def _carried(
+    rows: DataFrame,
+    spread: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    folds: Mapping[str, Fold],
+    width: int,
+    backwards: bool,
+    levels: int,
+) -> DataFrame:
+    """The spread rows with what earlier chunks hand to theirs, from summaries of the rows as they came."""
+    chunk = f"_chunk{levels}"
     newest = F.min_by if backwards else F.max_by
     totals = []
     for name, fold in folds.items():
-        value = F.col(inputs[name])
+        value = F.col(f"_in_{name}")
         if fold.kind == "sum":
             total = F.sum(value)
         elif fold.kind == "last":
@@ -99,24 +178,7 @@ def running(
     )
     # Plain equality, so that the window below finds its partitioning already there.
     same = reduce(and_, [F.col(key) == F.col(f"_key_{key}") for key in [*keys, chunk]])
-    joined = rows.join(carried, same, "left")
-
-    inside = W.partitionBy(*keys, chunk).orderBy(F.col(order).desc() if backwards else F.col(order).asc())
-    out = []
-    for name, fold in folds.items():
-        value, carry = F.col(inputs[name]), F.col(f"_carry_{name}")
-        so_far = inside.rowsBetween(W.unboundedPreceding, -1 if fold.before else W.currentRow)
-        if fold.kind == "sum":
-            # A null means that there was no value at all so far.
-            local = F.sum(value).over(so_far)
-            combined = F.coalesce(local + carry, local, carry)
-        elif fold.kind == "last":
-            combined = F.coalesce(F.last(value, ignorenulls=True).over(so_far), carry)
-        else:
-            first = F.lag(F.lit(True)).over(inside).isNull()
-            combined = F.when(first, carry).otherwise(F.lag(value).over(inside))
-        out.append(combined.alias(name))
-    return joined.select(*[F.col(column) for column in df.columns], *out)
+    return spread.join(carried, same, "left")
 
 
 def newest_rows(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opsframe.functions import scalars as S
 from opsframe.operators import logs
+from opsframe.operators.ordered import extent
 from opsframe.plans.registry import Inputs, query
 
 LEVEL = r"""CASE WHEN regexp_matches(text, '(?i)\b(ERROR|FATAL|SEVERE|Exception|Traceback)\b') THEN 'ERROR'
@@ -106,7 +107,8 @@ def _(v):
     "log_lines",
 )
 def _(v):
-    return logs.segment_by_marker(v["log_lines"]).select("service", "seq", "segment")
+    lines = v["log_lines"]
+    return logs.segment_by_marker(lines, known=extent(lines, "seq")).select("service", "seq", "segment")
 
 
 @query(

@@ -238,6 +238,28 @@ def test_step_runs(spark):
     assert logs.step_runs(lines).orderBy("segment").collect() == got
 
 
+def test_tasks_of_step_runs_hold_a_bounded_number_of_lines(spark):
+    # Short runs of 12 lines each, and one long run that crosses chunks, far below what Spark gives to one task.
+    number = F.col("id") % 12
+    said = F.element_at(
+        F.array(*[F.lit(x) for x in ("=" * 60, "[1/3] one", "work", "Paso completado: one", "─" * 60, "Paso fallido: x")]),
+        (F.col("id") % 6 + 1).cast("int"),
+    )
+    stamp = F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts")
+    short = spark.range(2400).select(
+        F.concat(F.lit("s"), F.floor(F.col("id") / 12)).alias("service"), number.alias("seq"), stamp, said.alias("text")
+    )
+    long = spark.range(600).select(F.lit("long").alias("service"), F.col("id").alias("seq"), stamp, said.alias("text"))
+    for lines, width in [(short, 1000), (short.union(long), 1000), (short.union(long), 50)]:
+        dealt = logs.step_runs(lines, width=width, per_task=100)
+        held = dealt.groupBy(F.spark_partition_id()).agg(F.sum("lines")).collect()
+        assert len(held) > 10 and max(row[1] for row in held) < (800 if width == 1000 else 400)
+        whole = logs.step_runs(lines, width=10_000, per_task=10_000)
+        assert sorted(map(repr, dealt.collect())) == sorted(map(repr, whole.collect()))
+        assert dealt.schema == whole.schema
+    assert dealt.filter("service = 'long'").agg(F.count("*"), F.sum("lines")).first()[:] == (200, 600)
+
+
 def test_a_trial_run_takes_the_first_rows(spark):
     lines = spark.createDataFrame([(3, "c"), (1, "a a"), (2, "b")], "n INT, text STRING")
     assert rows(text.trial_run(lines, ["n"], text.word_count, 2)) == [("a", 2), ("b", 1)]

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from opsframe.operators.ordered import Fold, latest_by, newest_rows, running
+from opsframe.operators.ordered import Extent, Fold, dealt, extent, latest_by, newest_rows, running
 
 
 def rows_with_a_hot_key(n=400, seed=5):
@@ -84,3 +84,29 @@ def test_a_hot_key_is_spread_over_tasks(spark):
         assert done.filter("k = 'hot'").agg(F.max("n")).first()[0] == 20_000
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("width", [7, 100, 1_000_000])
+def test_running_over_a_counted_sequence(spark, width):
+    rows = rows_with_a_hot_key()
+    df = spark.createDataFrame(rows, "k STRING, seq BIGINT, v BIGINT").repartition(5)
+    known = extent(df, "seq", width, per_task=30)
+    assert known == Extent(14, width == 1_000_000)
+    value = F.col("v")
+    folds = {"total": Fold("sum", value), "last": Fold("last", value), "before": Fold("lag", value)}
+    for backwards in (False, True):
+        got = running(df, ["k"], "seq", folds, width, backwards, known=known, chunks="chunk")
+        assert {(r.k, r.seq): (r.total, r.last, r.before) for r in got.collect()} == by_hand(rows, backwards)
+        places = got.select("k", "chunk", F.spark_partition_id()).distinct().collect()
+        assert len(places) == len({(r.k, r.chunk) for r in places})
+        assert got.select(F.spark_partition_id()).distinct().count() > 5
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    df = spark.range(1000).select((F.col("id") % 100).alias("k"), "id")
+    for per_task, most, tasks in [(50, 200, 20), (50, 8, 8), (1000, 200, None)]:
+        got = dealt(df, ["k"], per_task, most)
+        assert got.rdd.getNumPartitions() == (tasks or df.rdd.getNumPartitions())
+        assert got.agg(F.count("*"), F.sum("id")).first()[:] == (1000, 499500)
+        if tasks:
+            assert got.select("k", F.spark_partition_id()).distinct().count() == 100
