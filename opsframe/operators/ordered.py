@@ -106,7 +106,10 @@ def running(
 
     # In one chunk, the keys alone say which rows belong together, also to what follows.
     together = list(keys) if known.single else [*keys, chunk]
-    spread = rows.repartition(known.tasks, *together) if known.tasks else rows
+    tasks = known.tasks
+    if tasks and not known.single:  # with fewer than its own, Spark would shuffle the rows once more for the join
+        tasks = max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = rows.repartition(tasks, *together) if tasks else rows
     if known.single:
         joined = spread.select("*", *[F.lit(None).alias(f"_carry_{name}") for name in folds])
     else:

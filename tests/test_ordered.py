@@ -100,6 +100,10 @@ def test_running_over_a_counted_sequence(spark, width):
         places = got.select("k", "chunk", F.spark_partition_id()).distinct().collect()
         assert len(places) == len({(r.k, r.chunk) for r in places})
         assert got.select(F.spark_partition_id()).distinct().count() > 5
+    # Fewer tasks than shuffle partitions would be shuffled once more where the join is a merge join.
+    few = running(df, ["k"], "seq", folds, width, known=Extent(2, known.single))
+    tasks = 2 if known.single else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert f", {tasks}), REPARTITION_BY_NUM" in few._jdf.queryExecution().executedPlan().toString()
 
 
 def test_rows_are_dealt_by_their_number(spark):
