@@ -65,6 +65,18 @@ def _both(a: str, b: str, percent: int) -> str:
     return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
 
 
+def _late(low: str, high: str, percent: int) -> list[str]:
+    """What sets of sizes from low to high need falls with their size, but for the ceilings: least at high or so few below."""
+    steps = -(-100 * (100 + percent) // percent**2)
+    return [f"greatest({low}, {high} - {d})" for d in range(steps)]
+
+
+def _either(n: str, low: str, high: str, percent: int) -> str:
+    """The prefix tokens that a set of size n shares at least with one it links with, wherever their prefixes end."""
+    sizes = (low, *_late(low, high, percent))
+    return f"least({', '.join(f'{_both(n, m, percent)} - {_kept(f"greatest({n}, {m})", percent)}' for m in sizes)})"
+
+
 def needed(n: str, last: str, low: str, high: str, first: str, final: str, percent: int) -> Column:
     """How many prefix tokens a set shares at least with one that it links with, of a size from low to high.
 
@@ -72,12 +84,9 @@ def needed(n: str, last: str, low: str, high: str, first: str, final: str, perce
     the rest of its tokens. ``last`` is where the set's prefix ends, ``first`` to ``final`` where those of the others do.
     """
     mine = f"{_both(n, low, percent)} - {_kept(n, percent)}"
-    # What members need falls with their size, but for the ceilings: the least is at high or so few sizes below.
-    steps = -(-100 * (100 + percent) // percent**2)
-    late = [f"greatest({low}, {high} - {d})" for d in range(steps)]
-    theirs = ", ".join(f"{_both(n, m, percent)} - {_kept(m, percent)}" for m in late)
-    either = ", ".join(f"{_both(n, m, percent)} - {_kept(f'greatest({n}, {m})', percent)}" for m in (low, *late))
-    chosen = f"CASE WHEN {last} < {first} THEN {mine} WHEN {last} > {final} THEN least({theirs}) ELSE least({either}) END"
+    theirs = ", ".join(f"{_both(n, m, percent)} - {_kept(m, percent)}" for m in _late(low, high, percent))
+    either = _either(n, low, high, percent)
+    chosen = f"CASE WHEN {last} < {first} THEN {mine} WHEN {last} > {final} THEN least({theirs}) ELSE {either} END"
     return F.greatest(F.lit(1), F.expr(chosen))
 
 
@@ -205,6 +214,29 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, rep, hub, place = token[-1:], rep[-1:], hub[-1:], place[-1:]
 
 
+def overlaps(rows: DataFrame, percent: int) -> DataFrame:
+    """Of rows (token, rep, place, n, hub, band, tied), the groups (met_hub, met_band) that a class (rep) has to ask.
+
+    A class shares c prefix tokens with those members of a group that have them and whose sizes, low to high, may fit its
+    own; the last ones have the places i and j. Sizes are compared with each token, before the pairs are shuffled: most
+    that meet in a token are too far apart. A member that links has all its shared tokens in rows that stay.
+    """
+    matrix = rows.groupBy("token", F.col("hub").alias("met_hub"), F.col("band").alias("met_band")).agg(
+        F.count("*").alias("held"), F.max("place").alias("met_place"), F.min("n").alias("low"), F.max("n").alias("high")
+    )
+    # A class doesn't ask what the same hub ties it to, and of two groups of different hubs one asks the other.
+    own = "NOT tied AND (band <> met_band OR held > 1)"
+    ask = F.expr(f"if(hub = met_hub, {own}, xxhash64(met_hub, met_band) < xxhash64(hub, band))")
+    fits = F.expr(f"100 * high >= {percent} * n AND {percent} * low <= 100 * n")
+    met = rows.join(matrix, "token").filter(ask & fits).groupBy("rep", "n", "met_hub", "met_band")
+    low = F.greatest(F.min("low"), F.expr(f"({percent} * n + 99) div 100"))
+    high = F.least(F.max("high"), F.expr(f"100 * n div {percent}"))
+    met = met.agg(
+        F.count("*").alias("c"), F.max("place").alias("i"), F.max("met_place").alias("j"), low.alias("low"), high.alias("high")
+    )
+    return met.filter("low <= high").filter(f"c >= {_either('n', 'low', 'high', percent)}")
+
+
 def with_texts(docs: DataFrame, sides: DataFrame) -> DataFrame:
     """Adds the text of ``rep``. Texts, compressed in the exchange, are smaller than their sets of hashes."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
@@ -338,7 +370,7 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     # A few shared tokens make no group: such classes stay alone, where bounds are sharpest.
     alike = F.expr(f"8 * votes >= n - {_kept('n', percent)}")
     hub = F.when(alike, F.col("hub")).otherwise(F.col("rep"))
-    grouped = reps.select("rep", "n", "last", hub.alias("hub"), F.xxhash64(hub, size_class).alias("grp"), "votes")
+    grouped = reps.select("rep", "n", "last", hub.alias("hub"), size_class.alias("band"), "votes")
     grouped = settle(grouped, "groups")
 
     # Members that share a good part of their prefix with their hub are checked against it. (Others are left to the
@@ -356,28 +388,24 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     tied = settle(sides.mapInArrow(_tied(percent), "u bigint, v bigint").distinct(), "tied")
     yes = tied.select(F.col("u").alias("rep"), F.lit(True).alias("yes"))
     is_tied = F.coalesce("yes", F.lit(False)) | (F.col("rep") == F.col("hub"))
-    members = grouped.join(yes, "rep", "left").select("rep", "n", "last", "hub", "grp", is_tied.alias("tied"))
+    members = grouped.join(yes, "rep", "left")
+    grp = F.xxhash64("hub", "band").alias("grp")
+    members = members.select("rep", "n", "last", "hub", "band", grp, is_tied.alias("tied"))
     members = settle(members, "members")
 
-    # The matrix has the tokens of each group. A query must share enough of its own with a group; it doesn't ask what
-    # the same hub ties it to, and of two groups of different hubs one asks the other.
+    # The matrix has the tokens of each group. A query must share enough of its own with a group. What the groups' other
+    # members and the prefixes' ends rule out as well is looked up for the few pairs that are left.
     groups = members.groupBy("grp").agg(
-        F.ceil(F.count("*") / BLOCK).cast("bigint").alias("blocks"), F.min("n").alias("low"), F.max("n").alias("high"),
-        F.min("last").alias("first"), F.max("last").alias("final"), F.count("*").alias("members"),
+        F.ceil(F.count("*") / BLOCK).cast("bigint").alias("blocks"), F.min("last").alias("first"), F.max("last").alias("final"),
+        F.count("*").alias("members"),
     )
-    rows = shared.select("token", "rep", "place").join(members, "rep")
-    matrix = rows.groupBy("token", F.col("grp").alias("met"), F.col("hub").alias("met_hub")).agg(
-        F.count("*").alias("held"), F.max("place").alias("met_place")
-    )
-    ask = F.expr("if(hub = met_hub, NOT tied AND (grp <> met OR held > 1), met < grp)")
-    overlap = rows.join(matrix, "token").filter(ask).groupBy("rep", "n", "last", F.col("met").alias("grp"))
-    low = F.greatest(F.col("low"), F.expr(f"({percent} * n + 99) div 100"))
-    high = F.least(F.col("high"), F.expr(f"100 * n div {percent}"))
-    overlap = overlap.agg(F.count("*").alias("c"), F.max("place").alias("i"), F.max("met_place").alias("j")).join(groups, "grp").withColumns({"low": low, "high": high})
+    rows = shared.select("token", "rep", "place").join(members.select("rep", "n", "hub", "band", "tied"), "rep")
+    met = overlaps(rows, percent).withColumn("grp", F.xxhash64("met_hub", "met_band"))
+    overlap = met.join(members.select("rep", "last"), "rep").join(groups, "grp")
     enough = needed("n", "last", "low", "high", "first", "final", percent)
     # Against a single class also what either side has behind the last shared token bounds the overlap.
     alone = F.expr(f"members > 1 OR c + least(n - 1 - i, low - 1 - j) >= {_both('n', 'low', percent)}")
-    asked = settle(overlap.filter("low <= high").filter(alone & (F.col("c") >= enough)).select("rep", "grp", "blocks"), "asked")
+    asked = settle(overlap.filter(alone & (F.col("c") >= enough)).select("rep", "grp", "blocks"), "asked")
     asked_groups = asked.select("grp", "blocks").distinct()
     placed = members.join(asked_groups, "grp")
     asked = asked.select("rep", "grp", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))

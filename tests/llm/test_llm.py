@@ -2,6 +2,7 @@
 other columns."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -202,6 +203,43 @@ def test_ngram_join_of_sets_that_only_link_with_the_smaller_member(spark):
     assert {tuple(r) for r in ngram_join.similar_documents(frame(spark, own)).collect()} == want
 
 
+def test_ngram_join_meets_groups_of_fitting_sizes_only(spark):
+    rng, sets = random.Random(11), {}
+    for k in range(60):
+        base = rng.sample(range(1000, 10**6), rng.randrange(8, 90))
+        base += rng.sample(range(40), 6)  # a few tokens that sets of all sizes share, at the head of the order
+        for i in range(3):
+            gone = set(rng.sample(base, len(base) * i // 10))
+            sets[3 * k + i] = sorted(set(base) - gone) + [10**6 + 10 * k + i]
+    hub = {r: r - r % 3 if r % 2 else r for r in sets}
+    band = {r: int(math.log(len(s)) / math.log(1.1)) for r, s in sets.items()}
+    rows = [
+        (token, r, place, len(s), hub[r], band[r], False)
+        for r, s in sets.items()
+        for place, token in enumerate(s[: len(s) - (80 * len(s) + 99) // 100 + 1])
+    ]
+    schema = "token BIGINT, rep BIGINT, place BIGINT, n BIGINT, hub BIGINT, band BIGINT, tied BOOLEAN"
+    got = {(r.rep, r.met_hub, r.met_band) for r in ngram_join.overlaps(spark.createDataFrame(rows, schema), 80).collect()}
+    fit = lambda a, b: 80 * len(sets[a]) <= 100 * len(sets[b]) and 80 * len(sets[b]) <= 100 * len(sets[a])
+    near = {(a, hub[b], band[b]) for a in sets for b in sets if a != b and fit(a, b)}
+    assert got <= near
+    links = 0
+    for a in sets:
+        for b in range(a + 1, max(sets) + 1):
+            if 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a], *sets[b]}):
+                links += 1
+                assert (a, hub[b], band[b]) in got or (b, hub[a], band[a]) in got
+    assert links == 60
+
+
+def test_ngram_join_of_a_passage_in_texts_of_all_sizes(spark):
+    passage = prose(77, 9)
+    own = [(k, f"{passage} {prose(9000 + k, 4 + 5 * (k // 3))}") for k in range(0, 90, 3)]
+    own += [(d + 1, f"{text} {prose(9500 + d, 1 + d // 10)}") for d, text in own]
+    want = {(d, *v) for d, v in plain.similar(own).items()}
+    assert {tuple(r) for r in ngram_join.similar_documents(frame(spark, own)).collect()} == want
+
+
 def test_ngram_join_without_ids(spark):
     got = ngram_join.similar_documents(frame(spark, [(None, "a b"), (5, "a b"), (None, "c"), (None, None)])).collect()
     assert Counter(tuple(r) for r in got) == {(None, 1, 5): 1, (5, 1, 5): 1, (None, 1, None): 1, (None, 0, None): 1}
